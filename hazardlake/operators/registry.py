@@ -144,7 +144,7 @@ def export_cell(df: DataFrame, column: str) -> Column:
         text = F.when(c, "Yes").otherwise("No")
         text = F.when(c.isNull(), "").otherwise(text)
     elif kind in ("double", "float"):
-        text = F.format_string("%.2f", F.round(c, 2))
+        text = F.when(c.isNotNull(), F.format_string("%.2f", F.round(c, 2)))
     elif kind.startswith("array"):
         text = F.concat_ws(" | ", c)
     else:

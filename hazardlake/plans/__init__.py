@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["dashboards"]
+_MODULES = ["dashboards", "texts"]
 
 
 def load_queries():

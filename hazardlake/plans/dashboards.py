@@ -36,7 +36,7 @@ def _(t: Tables):
 
 @query("d2_barrier_filter", views("reports", "analyses") + """
 SELECT id, report_id, array_to_string(barrier_failure, '|') AS barrier_failure FROM reports JOIN analyses ON id = report_pk
-WHERE len(list_filter(barrier_failure, x -> contains(lower(x), 'brand#1'))) > 0""")
+WHERE len(list_filter(barrier_failure, lambda x: contains(lower(x), 'brand#1'))) > 0""")
 def _(t: Tables):
     return rg.filter_registry(t.reports, t.analyses, barrier="BRAND#1").select("id", "report_id", _joined_list("barrier_failure"))
 
