@@ -20,6 +20,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def fence(value: Column) -> Column:
+    """The same value, marked so that filters above it stay above it.
+
+    A filter on a costly derived column would otherwise be rewritten in terms of the raw text,
+    and the whole derivation would be evaluated again, often many times, inside the filter.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def constant(value: Any, schema: str) -> Column:
     """A nested literal; folded to one constant by the optimizer."""
     return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), schema)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hazardlake.functions import spans
 from hazardlake.functions import text as tx
-from hazardlake.functions.columns import all_labels, constant, first_label, has_any, let, word_list
+from hazardlake.functions.columns import all_labels, constant, fence, first_label, has_any, let, word_list
 from hazardlake.lexicon import DEFAULT, Lexicon
 from hazardlake.operators.conditions import breached_labels, rule_conditions, term_positions
 from hazardlake.vocab import english, foreign
@@ -273,10 +273,10 @@ def with_matches(df: DataFrame, text_col: str = "report_text", lexicon: Lexicon
     found = spans.merged_matches(F.col("english_matches"), F.col("foreign_matches"))
     none = F.array().cast(f"array<{MATCH}>")
     return (df.withColumn("clean_text", tx.analysis_text(F.col(text_col)))
-            .withColumn("low_text", F.lower(text))
+            .withColumn("low_text", fence(F.lower(text)))
             .withColumns({"english_matches": F.coalesce(spans.english_matches(text, low, lexicon), none),
                           "foreign_matches": F.coalesce(spans.foreign_matches(text, low, lexicon), none)})
-            .withColumn("matches", found)
+            .withColumn("matches", fence(found))
             .drop("english_matches", "foreign_matches"))
 
 

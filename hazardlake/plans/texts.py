@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hazardlake.functions import spans
 from hazardlake.functions import text as tx
-from hazardlake.functions.columns import any_of, let
+from hazardlake.functions.columns import any_of, fence, let
 from hazardlake.lexicon import DEFAULT as LEX
 from hazardlake.operators import analysis as na
 from hazardlake.operators import dedupe as dd
@@ -44,7 +44,7 @@ FP_SQL = r"trim(regexp_replace(lower({0}), '[^a-z0-9\x{{900}}-\x{{9ff}}]+', ' ',
 
 
 def clean_texts(t: Tables):
-    return t.texts.withColumn("clean_text", tx.analysis_text(F.col("report_text"))).withColumn("low_text", F.lower("clean_text"))
+    return t.texts.withColumn("clean_text", tx.analysis_text(F.col("report_text"))).withColumn("low_text", fence(F.lower("clean_text")))
 
 
 # ---- B: cleaning ------------------------------------------------------------
@@ -264,10 +264,11 @@ OCCURRENCES = TEXTS + f""",
 lex(ord, r, p, neg, one) AS (VALUES {_LEX_ROWS}),
 rules(r, rule) AS (VALUES {_RULE_ROWS}),
 cand AS (SELECT doc_id, ord, r, p, neg, one, string_split(low_text, p) AS pieces FROM low JOIN lex ON contains(low_text, p)),
-occ AS (SELECT doc_id, ord, r, p, neg, one, array_to_string(pieces[1:i], p) AS pre, array_to_string(pieces[i + 1:], p) AS post
+spot AS (SELECT doc_id, ord, r, p, neg, one, CAST(list_sum(list_transform(pieces[1:i], lambda x: length(x))) + (i - 1) * length(p) AS BIGINT) AS pos
   FROM cand, unnest(range(1, len(pieces))) u(i)),
+occ AS (SELECT a.*, substr(low_text, greatest(pos - 60, 0) + 1, least(pos, 60)) AS pre, substr(low_text, pos + length(p) + 1, 60) AS post FROM spot a JOIN low USING (doc_id)),
 ok AS (SELECT doc_id, ord, r, p, neg,
-    regexp_matches(regexp_replace(right(pre, 60), {_NUL}, '', 'g'), {_NEG}) OR regexp_matches(regexp_replace(left(post, 60), {_NUL}, '', 'g'), {_NEG}) AS negated
+    regexp_matches(regexp_replace(pre, {_NUL}, '', 'g'), {_NEG}) OR regexp_matches(regexp_replace(post, {_NUL}, '', 'g'), {_NEG}) AS negated
   FROM occ WHERE NOT one OR (NOT regexp_matches(pre, '[a-z0-9_\\-''\\x{{2d}}]$') AND NOT (p = 'guard' AND starts_with(post, 'rail')))),
 hit AS (SELECT * FROM ok WHERE negated OR NOT neg)
 """
