@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["dashboards", "texts"]
+_MODULES = ["dashboards", "texts", "labels"]
 
 
 def load_queries():
