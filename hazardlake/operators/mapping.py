@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardlake.vocab.headers import CANONICAL_FIELDS, HEADER_SYNONYMS, TEXT_HINTS
@@ -71,9 +71,9 @@ def location_detail(headers: Sequence[str], mapping: Mapping[str, str | None]) -
     return None
 
 
-def map_columns(df: DataFrame, override: Mapping[str, str | None] | None = None) -> DataFrame:
-    """Project a table of any layout on the canonical fields (as text), plus the site detail."""
+def map_columns(df: DataFrame, override: Mapping[str, str | None] | None = None, keep: Mapping[str, Column] | None = None) -> DataFrame:
+    """Project a table of any layout on the canonical fields (as text), plus the site detail and columns to keep."""
     mapping = resolve_mapping(df.columns, override)
     detail = location_detail(df.columns, mapping)
     column = lambda name: F.col(f"`{name}`").cast("string") if name else F.lit(None).cast("string")
-    return df.select(*[column(mapping[f]).alias(f"in_{f}") for f in CANONICAL_FIELDS], column(detail).alias("in_location_detail"))
+    return df.select(*[c.alias(n) for n, c in (keep or {}).items()], *[column(mapping[f]).alias(f"in_{f}") for f in CANONICAL_FIELDS], column(detail).alias("in_location_detail"))

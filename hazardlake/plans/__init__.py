@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["dashboards", "texts", "labels"]
+_MODULES = ["dashboards", "texts", "labels", "models"]
 
 
 def load_queries():

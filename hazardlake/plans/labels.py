@@ -154,9 +154,14 @@ _FSTOP = ", ".join(q(w) for w in dict.fromkeys(fb.SIGNAL_STOP))
 _DOMAIN = ", ".join(q(w) for w in LEX.domain_words)
 _GRAMS_SQL = TEXTS + rf""",
 w AS (SELECT doc_id, quality = 1 AS human, toxic = 1 AS ai, regexp_extract_all(lower(report_text), '[a-z0-9'']+|[\x{{900}}-\x{{9ff}}]+') AS ws FROM labels JOIN texts USING (doc_id)),
-g AS (SELECT DISTINCT doc_id, human, ai, n AS words, ws[i:i + n - 1] AS gram FROM w, (VALUES (2), (3), (4)) ns(n), unnest(range(1, len(ws) - n + 2)) u(i)),
-k AS (SELECT doc_id, human, ai, words, array_to_string(gram, ' ') AS phrase FROM g WHERE len(list_intersect(gram, [{_DOMAIN}])) > 0
-  AND len(list_filter(gram, lambda x: x NOT IN ({_FSTOP}))) > 0 AND length(array_to_string(gram, ' ')) >= 6),
+t0 AS (SELECT doc_id, human, ai, i, ws[i] AS w FROM w, unnest(range(1, len(ws) + 1)) u(i)),
+t1 AS (SELECT *, w IN ({_DOMAIN}) AS d, w IN ({_FSTOP}) AS f FROM t0),
+t2 AS (SELECT *, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4, lead(d) OVER o AS d2, lead(d, 2) OVER o AS d3, lead(d, 3) OVER o AS d4,
+  lead(f) OVER o AS f2, lead(f, 2) OVER o AS f3, lead(f, 3) OVER o AS f4 FROM t1 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, human, ai, 2 AS words, w || ' ' || w2 AS phrase FROM t2 WHERE (d OR d2) AND NOT (f AND f2)
+  UNION SELECT doc_id, human, ai, 3, w || ' ' || w2 || ' ' || w3 FROM t2 WHERE w3 IS NOT NULL AND (d OR d2 OR d3) AND NOT (f AND f2 AND f3)
+  UNION SELECT doc_id, human, ai, 4, w || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM t2 WHERE w4 IS NOT NULL AND (d OR d2 OR d3 OR d4) AND NOT (f AND f2 AND f3 AND f4)),
+k AS (SELECT * FROM g WHERE length(phrase) >= 6),
 c AS (SELECT phrase, words, count_if(human AND NOT ai) AS missed, count_if(NOT human AND ai) AS wrong, count_if(human = ai) AS agreed FROM k GROUP BY 1, 2)
 """
 
