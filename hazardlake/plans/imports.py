@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardlake.lexicon import DEFAULT, Lexicon
@@ -16,13 +16,16 @@ ANALYSIS_FIELDS = {"activity": "analysis_activity", "consequence": "potential_co
 
 
 def import_reports(rows: DataFrame, store: DataFrame | None = None, override: dict | None = None, source: str | None = None,
-                   lexicon: Lexicon = DEFAULT) -> DataFrame:
+                   row_no: Column | None = None, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """Map, normalise, guard against duplicates, analyse, apply file values.
 
     Only the duplicate guard shuffles, and only fixed-width keys decide there; the analysis is a
     narrow step over the rows that passed.  Empty and duplicate rows stay in the result, marked.
+
+    Without ``row_no`` rows are numbered in scan order, which is stable for files and tables; pass a
+    column of your own where the input comes out of a shuffle.
     """
-    shaped = normalise(map_columns(rows, override, keep={"row_no": F.monotonically_increasing_id()}), "row_no")
+    shaped = normalise(map_columns(rows, override, keep={"row_no": F.monotonically_increasing_id() if row_no is None else row_no}), "row_no")
     guarded = import_guard(shaped, store)
     renamed = guarded.select("row_no", "report_text", "report_type", "date", "site", "source_id", "import_state", "duplicate_of",
                              *[F.col(f).alias(f"file_{f}") for f in FILE_FIELDS])

@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 from hazardlake.operators import datasets as ds
 from hazardlake.operators import learning as ml
 from hazardlake.operators import metrics as me
-from hazardlake.operators import normalise as nm
-from hazardlake.plans.catalog import query, views
+from hazardlake.plans.catalog import query
 from hazardlake.plans.imports import import_reports
-from hazardlake.sources import files
 from hazardlake.sources.tables import Tables
 from hazardlake.streaming import arrivals
 
@@ -39,7 +37,7 @@ def _(t: Tables):
 
 @query("m2_m3_model_comparison")
 def _(t: Tables):
-    return ml.cross_validate(_folded(t, 3), 3, ["logistic", "bayes", "svm", "tree"], vocabulary=500)
+    return ml.cross_validate(_folded(t, 2), 2, ["logistic", "bayes", "svm", "tree"], vocabulary=500)
 
 
 @query("m4_discriminant")
@@ -51,7 +49,7 @@ def _(t: Tables):
 
 @query("m5_grouped_folds")
 def _(t: Tables):
-    return ml.cross_validate(ml.grouped_folds(_cases(t), "source", 3), 3, ["logistic"], vocabulary=500)
+    return ml.cross_validate(ml.grouped_folds(_cases(t), "source", 2), 2, ["logistic"], vocabulary=500)
 
 
 @query("m5_learning_curve")
@@ -98,10 +96,10 @@ def _scratch() -> str:
 def _(t: Tables):
     schema = t.raw("events").schema
     rows = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
-    return _drain(t, arrivals.weekly_stream(rows.withColumn("sif", F.col("value") > 50), "ts", "sif"), "complete")
+    return _drain(t, arrivals.weekly_stream(rows.withColumns({"sif": F.col("value") > 50, "ts": F.col("ts").cast("timestamp")}), "ts", "sif"), "complete")
 
 
-@query("n6_review_state", views("reviews").replace("reviews AS (", "reviews AS (") + "SELECT event_id % 1000 AS report_pk, arg_max(event_type, event_id) AS decision, max(event_id) AS review_id FROM events GROUP BY 1")
+@query("n6_review_state", "SELECT event_id % 1000 AS report_pk, arg_max(event_type, event_id) AS decision, max(event_id) AS review_id FROM events GROUP BY 1")
 def _(t: Tables):
     rows = t.spark.readStream.schema(t.raw("events").schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
     reviews = rows.select(F.col("event_id").alias("id"), (F.col("event_id") % 1000).alias("report_pk"), F.col("event_type").alias("decision"))
