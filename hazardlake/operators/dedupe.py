@@ -19,6 +19,12 @@ def first_of_key(df: DataFrame, key: str, order: Column, value: Column) -> DataF
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(order.alias("o"), value.alias("v"))).alias("first"))
 
 
+def join_first(keyed: DataFrame, first: DataFrame, row: Column) -> DataFrame:
+    """Left join on ``_key``; rows without a key are spread by their own id instead of meeting in one task."""
+    spread = keyed.withColumn("_on", F.coalesce("_key", F.concat(F.lit("~"), row.cast("string"))))
+    return spread.join(first.withColumnRenamed("_key", "_on"), "_on", "left").drop("_on")
+
+
 def import_guard(batch: DataFrame, store: DataFrame | None, text_col: str = "report_text", row_col: str = "row_no") -> DataFrame:
     """Marks each batch row as ``new``, ``duplicate`` or ``empty`` and names what it repeats.
 
@@ -35,7 +41,7 @@ def import_guard(batch: DataFrame, store: DataFrame | None, text_col: str = "rep
                               F.col("report_id").alias("v"))
         owners = owners.unionByName(stored)
     first = first_of_key(owners, "_key", F.col("o"), F.col("v"))
-    joined = keyed.join(first, "_key", "left")
+    joined = join_first(keyed, first, F.col(row_col))
     blank = F.col("_key").isNull()
     own = (F.col("first.o.rank") == 1) & (F.col("first.o.at") == F.col(row_col))
     return joined.withColumns({
@@ -48,7 +54,7 @@ def split_duplicates(df: DataFrame, text_col: str, order: Column, id_col: str) -
     """Adds ``is_duplicate``: every row but the first of its fingerprint, and every row without one."""
     keyed = df.withColumn("_key", text_key(F.col(text_col)))
     first = first_of_key(keyed, "_key", order, F.col(id_col)).select("_key", F.col("first.v").alias("_owner"))
-    return (keyed.join(first, "_key", "left")
+    return (join_first(keyed, first, F.col(id_col))
             .withColumn("is_duplicate", ~F.coalesce(F.col("_owner") == F.col(id_col), F.lit(False))).drop("_key", "_owner"))
 
 

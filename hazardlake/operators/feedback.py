@@ -51,10 +51,15 @@ def phrases(text: Column, domain: list[str], sizes: tuple[int, ...] = (2, 3, 4))
         starts = F.when(F.size(ws) >= n, F.sequence(F.lit(1), F.size(ws) - (n - 1))).otherwise(F.array().cast("array<int>"))
         grams = F.transform(starts, lambda i: F.slice(ws, i, n))
         useful = F.filter(grams, lambda g: F.exists(g, lambda x: x["d"]) & ~F.forall(g, lambda x: x["s"]))
-        return F.transform(useful, lambda g: F.struct(F.array_join(F.transform(g, lambda x: x["w"]), " ").alias("phrase"), F.lit(n).alias("words")))
+        return F.transform(useful, lambda g: F.array_join(F.transform(g, lambda x: x["w"]), " "))
 
+    # Plain strings: the distinct is hashed, so long texts stay linear.
     joined = let(marked, lambda ws: F.concat(*[runs(ws, n) for n in sizes]))
-    return F.array_distinct(F.filter(joined, lambda p: F.length(p["phrase"]) >= MIN_PHRASE))
+    return F.array_distinct(F.filter(joined, lambda p: F.length(p) >= MIN_PHRASE))
+
+
+def word_count(phrase: Column) -> Column:
+    return F.size(F.split(phrase, " "))
 
 
 def phrase_counts(feedback: DataFrame, domain: list[str], text_col: str = "report_text") -> DataFrame:
@@ -67,9 +72,10 @@ def phrase_counts(feedback: DataFrame, domain: list[str], text_col: str = "repor
     wrong = F.coalesce(~F.col("human_sif") & F.col("ai_sif"), F.lit(False))
     side = F.when(missed, "+").when(wrong, "-").otherwise("=")
     rows = feedback.select(side.alias("side"), F.explode_outer(phrases(F.col(text_col), domain)).alias("p")).filter(F.col("p").isNotNull())
-    return rows.groupBy(F.col("p.phrase").alias("phrase"), F.col("p.words").alias("words")).agg(
+    counts = rows.groupBy(F.col("p").alias("phrase")).agg(
         F.count_if(F.col("side") == "+").alias("missed"), F.count_if(F.col("side") == "-").alias("wrong"),
         F.count_if(F.col("side") == "=").alias("agreed"))
+    return counts.withColumn("words", word_count(F.col("phrase")))
 
 
 def mine_signals(feedback: DataFrame, domain: list[str], text_col: str = "report_text") -> DataFrame:

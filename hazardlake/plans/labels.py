@@ -14,14 +14,14 @@ from hazardlake.operators import metrics as me
 from hazardlake.operators import similarity as sm
 from hazardlake.plans.catalog import query, views
 from hazardlake.plans.texts import FP_SQL, TEXTS, q
-from hazardlake.sources.tables import Tables
+from hazardlake.sources.tables import Tables, spread
 
 # ---- J: similarity ------------------------------------------------------------
 
 
 def _similar_input(t: Tables):
     k = F.col("doc_id")
-    return t.raw("documents").select(
+    return spread(t.raw("documents")).select(
         k.alias("id"), F.col("text").alias("report_text"), F.when(k % 9 != 0, F.concat(F.lit("Rule "), (k % 10).cast("string"))).alias("rule"),
         F.col("lang").alias("hazard"), F.upper("source").alias("activity"),
         F.array(F.concat(F.lit("B"), (k % 7).cast("string")), F.concat(F.lit("B"), (k % 11).cast("string"))).alias("barriers"))
@@ -174,7 +174,7 @@ def _(t: Tables):
 @query("k5_candidate_filter", _GRAMS_SQL + "SELECT words, count(DISTINCT phrase) AS phrases FROM k GROUP BY 1")
 def _(t: Tables):
     rows = _labelled_feedback(t).select(F.explode_outer(fb.phrases(F.col("report_text"), LEX.domain_words)).alias("p")).filter("p IS NOT NULL")
-    return rows.select("p.words", "p.phrase").distinct().groupBy("words").agg(F.count(F.lit(1)).alias("phrases"))
+    return rows.distinct().groupBy(fb.word_count(F.col("p")).alias("words")).agg(F.count(F.lit(1)).alias("phrases"))
 
 
 @query("k6_signals", _GRAMS_SQL + """, x AS (SELECT phrase, '+' AS direction, missed AS reports, words FROM c WHERE missed > 0 AND agreed = 0 UNION ALL SELECT phrase, '-', wrong, words FROM c WHERE wrong > 0 AND agreed = 0)

@@ -38,6 +38,16 @@ RULES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "NEVER
 DECISIONS = {"view": "confirmed", "error": "rejected", "signup": "edited", "click": "reviewed"}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share the rows among all cores when the scan has fewer splits than the cluster has cores.
+
+    Text work is bound by processor time; a table of any size has more splits than cores and is
+    left as it is, so no text is shuffled there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """Lazily read views of one data folder."""
 
@@ -151,7 +161,7 @@ class Tables:
         """doc_id, report_text (whole document behind an opening sentence), lang, source, date; some texts are blank."""
         opening = F.get(F.from_json(F.lit(_json(SENTENCES)), "array<string>"), (F.col("doc_id") % len(SENTENCES)).cast("int"))
         text = F.when(F.col("doc_id") % 40 == 17, F.lit("   ")).otherwise(F.concat(opening, F.lit(" "), F.col("text")))
-        return self.raw("documents").select(
+        return spread(self.raw("documents")).select(
             "doc_id", text.alias("report_text"), "lang", "source",
             F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 90).cast("int")).alias("date"))
 
