@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hazardlake.functions.columns import fence, let
 from hazardlake.functions.text import fingerprint
 
 
 def text_key(text: Column) -> Column:
     """Fixed-width key of a fingerprint; null for texts without one. Long texts never enter a shuffle as keys."""
-    fp = fingerprint(text)
-    return F.when(fp != "", F.sha2(fp, 256))
+    return fence(let(fingerprint(text), lambda fp: F.when(fp != "", F.sha2(fp, 256))))
 
 
 def first_of_key(df: DataFrame, key: str, order: Column, value: Column) -> DataFrame:
@@ -63,8 +63,8 @@ def duplicate_groups(df: DataFrame, text_col: str, id_col: str, min_length: int
 
     Members stay rows: a group of any size never becomes one list.
     """
-    fp = fingerprint(F.col(text_col))
-    keyed = df.select(id_col, F.when(F.length(fp) >= min_length, F.sha2(fp, 256)).alias("_key")).filter(F.col("_key").isNotNull())
+    key = fence(let(fingerprint(F.col(text_col)), lambda fp: F.when(F.length(fp) >= min_length, F.sha2(fp, 256))))
+    keyed = df.select(id_col, key.alias("_key")).filter(F.col("_key").isNotNull())
     groups = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("group_size"), F.min(id_col).alias("first_id")).filter(F.col("group_size") > 1)
     return keyed.join(groups, "_key").select(id_col, "group_size", "first_id")
 
