@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +11,11 @@ from pyspark.sql import functions as F
 from hazardlake.operators import datasets as ds
 from hazardlake.operators import learning as ml
 from hazardlake.operators import metrics as me
-from hazardlake.plans.catalog import query
+from hazardlake.plans.catalog import query, views
 from hazardlake.plans.imports import import_reports
+from hazardlake.plans.texts import LEX, _RULESETS_SQL, clean_texts
+from hazardlake.functions import spans
+from hazardlake.sources import files
 from hazardlake.sources.tables import Tables
 from hazardlake.streaming import arrivals
 
@@ -88,8 +92,10 @@ def _(t: Tables):
     return done.select("source_id", "import_state", "date", "site", "sif_potential", "priority", "life_saving_rule", "source")
 
 
-def _scratch() -> str:
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+def _scratch(t: Tables) -> str:
+    """A new folder in the shared place the cluster names; a local one only where none is named."""
+    shared = t.spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared}/scratch-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
 @query("n4_weekly_stream", "SELECT CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS report_count, count_if(value > 50) AS sif_count FROM events GROUP BY 1")
@@ -108,9 +114,80 @@ def _(t: Tables):
 
 def _drain(t: Tables, out: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what is there and return its last state from a written table."""
-    folder = _scratch()
+    folder = _scratch(t)
     step = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out")
     run = (out.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", f"{folder}/ckpt")
            .trigger(availableNow=True).start())
     run.awaitTermination()
     return t.spark.read.parquet(f"{folder}/out")
+
+
+# ---- A: files written from the tables and read back ---------------------------
+
+@query("a1_csv_scan", "SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role, md5(trim(text)) AS text FROM conversations")
+def _(t: Tables):
+    path = f"{_scratch(t)}/csv"
+    rows = t.raw("conversations").select(*[F.col(c).cast("string") for c in ("conv_id", "turn", "role", "text")])
+    rows.write.csv(path, header=True, escape='"')
+    return files.read_delimited(t.spark, path).select("conv_id", "turn", "role", F.md5(F.trim("text")).alias("text"))
+
+
+@query("a5_chunk_scan", "SELECT o_orderstatus, count(*) AS n, true AS named FROM orders GROUP BY 1")
+def _(t: Tables):
+    path = f"{_scratch(t)}/chunks"
+    t.raw("orders").select("o_orderkey", "o_orderstatus").repartition(4).write.csv(path, header=True)
+    read = files.read_chunks(t.spark, path)
+    return read.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("source_file").endswith(".csv")).alias("named"))
+
+
+@query("a8_append_store", views("reports") + "SELECT source, 2 * count(*) AS n FROM reports GROUP BY 1")
+def _(t: Tables):
+    path = f"{_scratch(t)}/store"
+    for _n in range(2):
+        files.append_reports(t.reports.select("id", "report_text", "source"), path)
+    return t.spark.read.parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a10_split_sink", "SELECT CASE WHEN o_orderkey % 10 < 6 THEN 'train' WHEN o_orderkey % 10 < 8 THEN 'validation' ELSE 'test' END AS split, count(*) AS n FROM orders GROUP BY 1")
+def _(t: Tables):
+    path = f"{_scratch(t)}/splits"
+    k = F.col("o_orderkey") % 10
+    split = F.when(k < 6, "train").when(k < 8, "validation").otherwise("test")
+    files.write_splits(t.raw("orders").select(split.alias("split"), F.col("o_orderkey").alias("report_id"), "o_orderstatus"), ["report_id", "o_orderstatus"], path)
+    return t.spark.read.option("header", "true").csv(path).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a11_phase_cache", views("findings") + "SELECT report_pk, priority FROM findings")
+def _(t: Tables):
+    return files.phase_cache(t.findings, f"{_scratch(t)}/phase").select("report_pk", "priority")
+
+
+@query("a12_flexible_columns", "SELECT doc_id, CAST(quality AS VARCHAR) AS case_label, length(text) AS chars FROM labels JOIN documents USING (doc_id)")
+def _(t: Tables):
+    rows = t.raw("labels").join(t.raw("documents"), "doc_id").withColumnRenamed("quality", "target")
+    return files.labelled_columns(rows).select("doc_id", "case_label", F.length("case_text").alias("chars"))
+
+
+# ---- evaluation of the rule engine ---------------------------------------------
+
+def _verdicts(t: Tables) -> DataFrame:
+    text, low = F.col("clean_text"), F.col("low_text")
+    hit = (F.size(spans.english_matches(text, low, LEX)) > 0) | (F.size(spans.foreign_matches(text, low, LEX)) > 0)
+    rows = clean_texts(t).filter("low_text IS NOT NULL").select("doc_id", "lang", hit.alias("predicted"))
+    return rows.join(t.raw("labels").select("doc_id", (F.col("quality") == 1).alias("truth")), "doc_id")
+
+
+_VERDICT_SQL = _RULESETS_SQL + """, v AS (SELECT l.doc_id, low.lang, quality = 1 AS truth, l.doc_id IN (SELECT doc_id FROM e UNION SELECT doc_id FROM f) AS predicted
+  FROM labels l JOIN low USING (doc_id) WHERE low_text IS NOT NULL)
+"""
+
+
+@query("m11_engine_evaluation", _VERDICT_SQL + """, m AS (SELECT lang, count_if(truth AND predicted) AS tp, count_if(NOT truth AND predicted) AS fp, count_if(truth AND NOT predicted) AS fn,
+  count_if(NOT truth AND NOT predicted) AS tn FROM v GROUP BY 1) SELECT lang, tp, fp, fn, tn FROM m""")
+def _(t: Tables):
+    return me.confusion(_verdicts(t), F.col("truth"), F.col("predicted"), ["lang"]).select("lang", "tp", "fp", "fn", "tn")
+
+
+@query("d12_wrong_cases", _VERDICT_SQL + "SELECT doc_id, lang, truth, predicted FROM v WHERE truth <> predicted AND lang = 'en'")
+def _(t: Tables):
+    return _verdicts(t).filter((F.col("truth") != F.col("predicted")) & (F.col("lang") == "en")).select("doc_id", "lang", "truth", "predicted")
