@@ -13,6 +13,7 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def session(app: str = "hazardlake", **conf: str) -> SparkSession:
@@ -22,10 +23,23 @@ def session(app: str = "hazardlake", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Only a session on one machine (``local[...]``) may go without; it gets a folder under /tmp.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
+    return _LOCAL_FOLDERS[app]
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; fall back to a local one only when none is named."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
+    """Make ``checkpoint()`` write to the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
