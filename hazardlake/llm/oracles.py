@@ -1,7 +1,53 @@
 """DuckDB SQL that must give the rows of the queries; operators that SQL can't express are tested by brute force instead."""
 
+from hazardlake.llm.licenses import CONTAINMENT, PHRASES, TEMPLATES, template_words
+
 SQL: dict[str, str] = {}
 
+_LOWER = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER.format(t="coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _values(rows: list[tuple[str, list[str]]]) -> str:
+    return "(VALUES " + ", ".join(f"('{label}', {words})" for label, words in rows) + ")"
+
+
+SQL["op2_licenses"] = rf"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+phrases AS (SELECT * FROM {_values([(label, phrase.split()) for phrase, label in PHRASES])} p(label, p)),
+hits AS (SELECT r, label, i FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM w), phrases WHERE w[i] = p[1] AND w[i:i + len(p) - 1] = p),
+base AS (SELECT r, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM hits GROUP BY r),
+templates AS (SELECT label, p, list_distinct(p) AS t FROM {_values([(label, template_words(text)) for label, text in TEMPLATES])} p(label, p)),
+near AS (SELECT r, w, label, p, t FROM w, templates WHERE len(list_intersect(w, t)) >= {CONTAINMENT} * len(t) - 1e-9),
+blocks AS (SELECT r, label, t, w[k * len(p) + 1:k * len(p) + 2 * len(p)] AS b FROM (SELECT *, unnest(range(0, ((len(w) - 1) // len(p)) + 1)) AS k FROM near)),
+held AS (SELECT r, label, max(len(list_intersect(b, t)) / len(t)) AS share FROM blocks GROUP BY r, label),
+reached AS (SELECT r, label, share FROM held WHERE share >= {CONTAINMENT} - 1e-9),
+labels AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM hits UNION ALL SELECT r, label FROM reached) GROUP BY r),
+best AS (SELECT r, max(share) AS share FROM reached GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM w LEFT JOIN base USING (r) LEFT JOIN labels USING (r) LEFT JOIN best USING (r)"""
+
+SQL["op7_line_dedup"] = r"""
+WITH lines AS (SELECT doc_id, i, line, translate(regexp_replace(regexp_replace(line, '^[ 	-]+', ''), '[ 	-]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+frequent AS (SELECT k, max(doc_id) AS owner FROM lines WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT lines.*, owner IS NOT NULL AND owner <> doc_id AS gone FROM lines LEFT JOIN frequent USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM marked GROUP BY doc_id"""
+
+SQL["op3_decontamination"] = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+windows AS (SELECT DISTINCT item_id, x, len(x) AS n FROM (SELECT item_id, w[i:i + least(10, len(w)) - 1] AS x FROM (SELECT *, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0))),
+sizes AS (SELECT DISTINCT n FROM windows),
+spots AS (SELECT doc_id, n, i, w[i:i + n - 1] AS x FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes)),
+hits AS (SELECT doc_id, item_id, i, spots.n FROM spots JOIN windows USING (x)),
+places AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hits),
+n_hit AS (SELECT doc_id, count(*) AS n_hit FROM places GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM hits GROUP BY doc_id),
+report AS (SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+  FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN items USING (doc_id))
+SELECT * FROM report"""
+
 SQL["op10_exact_dedup"] = r"""
 WITH plain AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
 best AS (SELECT t, first(doc_id ORDER BY n DESC, doc_id) AS keep_id, count(*) AS group_size FROM plain GROUP BY t)

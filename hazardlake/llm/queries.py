@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hazardlake.llm.decontaminate import contamination
 from hazardlake.llm.exact_dedup import exact_duplicates
+from hazardlake.llm.licenses import license_notices
+from hazardlake.llm.line_dedup import line_report
 from hazardlake.llm.oracles import SQL as SQL  # noqa: PLC0414
+from hazardlake.llm.packing import packed
 from hazardlake.llm.simhash import near_duplicates
+from hazardlake.llm.token_scan import token_counts
 from hazardlake.llm.url_filter import url_verdicts
 
 
@@ -18,6 +23,12 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": lambda spark, folder: near_duplicates(_table(spark, folder, "documents")),
+    "op2_licenses": lambda spark, folder: license_notices(_table(spark, folder, "documents")),
+    "op3_decontamination": lambda spark, folder: contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"),
+    "op6_token_counts": lambda spark, folder: token_counts(_table(spark, folder, "documents")),
+    "op7_line_dedup": lambda spark, folder: line_report(_table(spark, folder, "documents")),
+    "op8_packing": lambda spark, folder: packed(_table(spark, folder, "documents")),
     "op9_url_filter": lambda spark, folder: url_verdicts(_table(spark, folder, "pages")),
     "op10_exact_dedup": lambda spark, folder: exact_duplicates(spark, f"{folder}/documents.parquet"),
 }
