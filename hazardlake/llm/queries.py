@@ -12,8 +12,10 @@ from hazardlake.llm.licenses import license_notices
 from hazardlake.llm.line_dedup import line_report
 from hazardlake.llm.oracles import SQL as SQL  # noqa: PLC0414
 from hazardlake.llm.packing import packed
+from hazardlake.llm.pii import personal_data
 from hazardlake.llm.simhash import near_duplicates
 from hazardlake.llm.token_scan import token_counts
+from hazardlake.llm.toxicity import toxicity
 from hazardlake.llm.url_filter import url_verdicts
 
 
@@ -26,6 +28,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_licenses": lambda spark, folder: license_notices(_table(spark, folder, "documents")),
     "op3_decontamination": lambda spark, folder: contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"),
+    "op4_toxicity": lambda spark, folder: toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels")),
+    "op5_pii": lambda spark, folder: personal_data(_table(spark, folder, "documents")),
     "op6_token_counts": lambda spark, folder: token_counts(_table(spark, folder, "documents")),
     "op7_line_dedup": lambda spark, folder: line_report(_table(spark, folder, "documents")),
     "op8_packing": lambda spark, folder: packed(_table(spark, folder, "documents")),
