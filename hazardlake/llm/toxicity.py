@@ -82,10 +82,19 @@ def _grams(data: bytes) -> np.ndarray:
     return codes
 
 
-def _new_stretches(data: bytes, known: np.ndarray) -> bytes:
-    """The stretches of a text whose letter groups ordinary texts don't have, a blank between them."""
+def _telling(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
+    """Letter groups that no ordinary text has and several toxic ones share."""
+    known = np.unique(np.concatenate([np.unique(_grams(t)) for t in ordinary]))
+    codes, texts = np.unique(np.concatenate([np.unique(_grams(t)) for t in toxic]), return_counts=True)
+    return np.setdiff1d(codes[texts >= max(2, len(toxic) // 500)], known, assume_unique=True)
+
+
+def _stretches(data: bytes, telling: np.ndarray) -> bytes:
+    """The stretches of a text that telling letter groups cover, a blank between them."""
     codes = _grams(data)
-    fresh = np.flatnonzero(known[np.minimum(np.searchsorted(known, codes), len(known) - 1)] != codes) if len(known) else np.arange(len(codes))
+    if not len(telling) or not len(codes):
+        return b""
+    fresh = np.flatnonzero(telling[np.minimum(np.searchsorted(telling, codes), len(telling) - 1)] == codes)
     cover = np.zeros(len(data) + 1, np.int64)
     np.add.at(cover, fresh, 1)
     np.add.at(cover, fresh + GRAM, -1)
@@ -117,9 +126,9 @@ def fit(toxic: list[bytes], ordinary: list[bytes], rate: float) -> Model:
     if not toxic or not ordinary:
         return Model(b"", b"", np.zeros(0), np.zeros(0), np.zeros(0), rate if toxic else 0.0)
     learn, judge = ordinary[::2], ordinary[1::2] or ordinary
-    known = np.unique(np.concatenate([np.unique(_grams(t)) for t in learn]))
-    # Toxic texts are mostly plain prose: what ordinary texts have too says nothing, the rest is worth a dictionary.
-    bad = _dictionary(TOXIC_BYTES, [_new_stretches(t, known)[:4096] for t in toxic], 16, 6) or b" "
+    # Toxic texts are mostly plain prose: only what they share and ordinary ones lack is worth a dictionary.
+    telling = _telling(toxic, learn)
+    bad = _dictionary(TOXIC_BYTES, [_stretches(t, telling) for t in toxic], 16, 6) or b" "
     plain = _dictionary(ORDINARY_BYTES, [t[i:i + 256] for t in learn for i in range(0, min(len(t), 2048), 256)], 64, 8) or b" "
     # Ordinary windows that the toxic dictionary still helps go into the ordinary one, so that they cancel out.
     for k in range(ROUNDS):
