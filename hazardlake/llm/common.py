@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hazardlake.session import shared_folder
@@ -51,6 +52,18 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def by_place(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by place, since Arrow functions can't take every name (``a.b``, say)."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def filter_batches(docs: DataFrame, run) -> DataFrame:
+    """Rows of ``docs`` that ``run`` keeps; it gets Arrow batches with the text's UTF-8 bytes as last column, and returns them without it."""
+    plain = by_place(docs)
+    text = F.col(f"c{docs.columns.index('text')}")
+    return plain.withColumn("bytes", text.cast("binary")).mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def field(df: DataFrame, name: str, as_name: str | None = None) -> T.StructField:
     """The column's field, nullable, under the given name."""
     return T.StructField(as_name or name, df.schema[name].dataType, True)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazardlake.llm.common import bounded_batches, field, free_name, words
+from hazardlake.llm.common import bounded_batches, field, filter_batches, words
 
 WINDOW = 10
 # Benchmark text sent to every executor at a time; a larger benchmark is searched block after block.
@@ -77,7 +77,7 @@ def _bound(values, low: np.ndarray, high: np.ndarray, wish: np.ndarray, right: b
     low, high = low.copy(), high.copy()
     while (live := low < high).any():
         middle = (low + high) // 2
-        seen = values(np.minimum(middle, high - live))
+        seen = values(middle)
         up = live & ((seen <= wish) if right else (seen < wish))
         low, high = np.where(up, middle + 1, low), np.where(live & ~up, middle, high)
     return low
@@ -98,7 +98,7 @@ def search(text: np.ndarray, order: np.ndarray, tests: Tests) -> Matches:
     depth = 0
     while len(mine):
         wish = tests.flat[tests.start[mine] + depth]
-        values = lambda k, d=depth: text[order[k] + d]
+        values = lambda k, d=depth: text[order[np.minimum(k, len(order) - 1)] + d]
         new_low = _bound(values, low, high, wish, False)
         new_high = _bound(values, new_low, high, wish, True)
         live = new_low < new_high
@@ -227,7 +227,6 @@ def _pass(frame: DataFrame, tests, last: bool) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that share no window with the benchmark, all columns kept and in place."""
     bounded_batches(docs.sparkSession)
-    text = free_name(docs.columns, "text_bytes")
     for tests in _blocks(benchmark, window, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(tests)
 
@@ -236,5 +235,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                 keep = pa.array([not f.items for f in scan(batch.column(batch.num_columns - 1).to_pylist(), shared.value)], pa.bool_())
                 yield batch.select(range(batch.num_columns - 1)).filter(keep)
 
-        docs = docs.withColumn(text, F.col("text").cast("binary")).mapInArrow(run, docs.schema)
+        docs = filter_batches(docs, run)
     return docs

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazardlake.llm.common import bounded_batches, field, stage
+from hazardlake.llm.common import bounded_batches, by_place, field, free_name, stage
 
 MIN_LENGTH, LIMIT = 20, 3
 KEYS_PER_SHARD = 1 << 16
@@ -222,7 +222,7 @@ def repeated_lines(state: LineState, holders: DataFrame) -> DataFrame:
 def _with_dropped(docs: DataFrame, state: LineState) -> DataFrame:
     """``docs`` and, behind its columns, the keys of the lines to drop; documents without doc_id are joined to each other."""
     lost = repeated_lines(state, state.holders)
-    return docs.alias("d").join(lost.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")), "left").select("d.*", F.col("l.dropped").alias("_dropped"))
+    return docs.alias("d").join(lost.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")), "left").select("d.*", F.col("l.dropped").alias(free_name(docs.columns, "lost_keys")))
 
 
 def _cut(text: bytes | None, dropped: list[bytes] | None, least: int) -> tuple[list[bytes], int]:
@@ -264,6 +264,7 @@ def drop_repeated_lines(docs: DataFrame, limit: int = LIMIT, least: int = MIN_LE
             kept = [b"\n".join(_cut(t.encode(), d, least)[0]).decode() if t is not None and d else t for t, d in zip(texts, batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             columns[at] = pa.array(kept, kind)
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=plain.names)
 
-    return _with_dropped(docs, state).mapInArrow(run, T.StructType([field(docs, c) for c in docs.columns]))
+    plain = by_place(docs).schema
+    return by_place(_with_dropped(docs, state)).mapInArrow(run, plain).toDF(*docs.columns)

@@ -109,4 +109,4 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     place = free_name(docs.columns, "place")
     stays = docs.filter(F.col("doc_id").isNotNull()).join(found, "doc_id", "left_semi")
     first = stays.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(place) == 1)
-    return first.select(docs.columns).union(docs.filter(F.col("doc_id").isNull()))
+    return first.drop(place).union(docs.filter(F.col("doc_id").isNull()))

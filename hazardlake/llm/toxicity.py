@@ -8,11 +8,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard as zs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazardlake.llm.common import bounded_batches, field, free_name
+from hazardlake.llm.common import bounded_batches, field, filter_batches
 
 WINDOW, STEP, THRESHOLD = 64, 48, 0.3
 # Bounds of the fitted sample: rows of each class, and bytes of a text (longer ones are not fitted on, but are scored whole).
@@ -157,17 +157,17 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_or
     return fit([bytes(r["text"]) for r in found if r["toxic"] > 0], [bytes(r["text"]) for r in found if r["toxic"] <= 0], share)
 
 
-def _scores(docs: DataFrame, model: Model, schema: T.StructType, made) -> DataFrame:
-    """Append the text's bytes, score them batch by batch, and let ``made`` build the output of a batch from its scores."""
-    bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _scoring(spark: SparkSession, model: Model, made):
+    """A batch function that scores the text bytes in the last column and lets ``made`` build the output from batch and scores."""
+    bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = shared.value.scorer()
         for batch in batches:
             yield made(batch, np.array([score((t or b"").lower()) for t in batch.column(batch.num_columns - 1).to_pylist()], float))
 
-    return docs.withColumn(free_name(docs.columns, "text_bytes"), F.col("text").cast("binary")).mapInArrow(run, schema)
+    return run
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -178,12 +178,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     each get a row, a missing doc_id counts as held out; an empty table gives an empty result; other columns are ignored.
     """
     names = ["doc_id", "held_out", "score", "predicted"]
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    run = _scoring(docs.sparkSession, train(docs, labels), lambda batch, s: pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=names))
     schema = T.StructType([field(docs, "doc_id"), *(T.StructField(n, t) for n, t in zip(names[1:], (T.BooleanType(), T.DoubleType(), T.IntegerType()), strict=True))])
-    return _scores(rows, train(docs, labels), schema, lambda batch, s: pa.RecordBatch.from_arrays(
-        [batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=names))
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with a score below the threshold, all columns kept and in place."""
-    return _scores(docs, train(docs, labels), docs.schema, lambda batch, s: batch.select(range(batch.num_columns - 1)).filter(pa.array(s < threshold)))
+    return filter_batches(docs, _scoring(docs.sparkSession, train(docs, labels), lambda batch, s: batch.select(range(batch.num_columns - 1)).filter(pa.array(s < threshold))))
