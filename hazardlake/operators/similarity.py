@@ -1,4 +1,4 @@
-"""Similar reports: exact scores of any number of query reports against the newest reports."""
+"""Similar reports: exact scores of stated reports against all others, and the repeats of every report."""
 
 from __future__ import annotations
 
@@ -6,15 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardlake.functions.text import similarity_tokens
 
-POOL_LIMIT, MIN_SCORE, DUPLICATE_SCORE = 2_500, 0.16, 0.88
+MIN_SCORE, DUPLICATE_SCORE = 0.16, 0.88
+# Queries sent to the tasks at a time.
+QUERY_BLOCK = 256
 # Weight of token overlap, rule, barrier, hazard and activity.
 W_TOKENS, W_RULE, W_BARRIER, W_HAZARD, W_ACTIVITY = 0.50, 0.18, 0.12, 0.08, 0.12
-RESULT = "query_id long, match_id long, place int, score double"
 
 
 def comparable(df: DataFrame) -> DataFrame:
@@ -32,50 +33,112 @@ def _postings(lists) -> dict[str, np.ndarray]:
     return {v: np.array(at) for v, at in found.items()}
 
 
-def similar_reports(queries: DataFrame, reports: DataFrame, k: int = 5, pool_limit: int = POOL_LIMIT,
-                    min_score: float = MIN_SCORE) -> DataFrame:
-    """The k best matches of each query among the ``pool_limit`` newest other reports.
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    first = np.lexsort((ids, -scores))[:k]
+    return ids[first], scores[first]
 
-    The pool is part of the definition and never exceeds its limit, so it is shared with the
-    tasks as inverted lists.  Queries stay where they are: work grows linearly with them, and
-    no pair rows are made or shuffled.
+
+def similar_reports(queries: DataFrame, reports: DataFrame, k: int = 5, min_score: float = MIN_SCORE, block_rows: int = QUERY_BLOCK) -> DataFrame:
+    """The k best matches of each query among all other reports.
+
+    The queries go to the tasks in blocks of about ``block_rows`` as inverted lists, and the reports stream
+    past them where they lie: work grows with queries times reports, no pair rows are made, and each
+    task sends at most k rows per query to the final choice.  Meant for a stated set of queries; the repeats of
+    every report are found by ``near_duplicates``.
     """
     spark = queries.sparkSession
-    # One spare row replaces a query that is itself in the pool.
-    newest = reports.orderBy(F.desc("id")).limit(pool_limit + 1)
-    pool = comparable(newest).orderBy(F.desc("id")).toPandas()
-    shared = spark.sparkContext.broadcast(pool)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = shared.value
-        size, ids = len(rows), rows["id"].to_numpy()
-        by_token, by_barrier = _postings(rows["tokens"]), _postings(rows["barriers"])
-        width = np.array([len(t) for t in rows["tokens"]])
-        equal = {c: _postings([[v] if v else [] for v in rows[c]]) for c in ("rule", "hazard", "activity")}
-        nobody = np.array([], dtype=int)
-        for batch in batches:
-            out = []
-            for q in batch.itertuples(index=False):
-                if not len(q.tokens) or not size:
-                    continue
-                lists = [by_token[t] for t in q.tokens if t in by_token]
-                inter = np.bincount(np.concatenate(lists), minlength=size) if lists else np.zeros(size)
-                total = W_TOKENS * (inter / (width + len(q.tokens) - inter))
-                barrier = [by_barrier[b] for b in q.barriers if b in by_barrier]
-                for hits, weight in ((equal["rule"].get(q.rule, nobody), W_RULE),
-                                     (np.unique(np.concatenate(barrier)) if barrier else nobody, W_BARRIER),
-                                     (equal["hazard"].get(q.hazard, nobody), W_HAZARD),
-                                     (equal["activity"].get(q.activity, nobody), W_ACTIVITY)):
-                    total[hits] += weight
-                usable = (width > 0) & (ids != q.id)
-                if size > pool_limit and q.id not in ids:
-                    usable[pool_limit:] = False
-                kept = np.flatnonzero(usable & (total >= min_score))
-                best = kept[np.lexsort((ids[kept], -total[kept]))][:k]
-                out += [(q.id, int(ids[n]), place, float(total[n])) for place, n in enumerate(best)]
-            yield pd.DataFrame(out, columns=["query_id", "match_id", "place", "score"])
-
-    return comparable(queries).mapInPandas(score, RESULT)
+    asked = comparable(queries).filter(F.size("tokens") > 0)
+    blocks = max(1, -(-asked.count() // block_rows))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    pool = comparable(reports).filter(F.size("tokens") > 0)
+
+    def score(shared):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            rows = shared.value
+            size, own = len(rows["id"]), np.array(rows["id"], dtype=np.int64)
+            by_token, by_barrier = _postings(rows["tokens"]), _postings(rows["barriers"])
+            width = np.array([len(t) for t in rows["tokens"]])
+            equal = {c: _postings([[v] if v else [] for v in rows[c]]) for c in ("rule", "hazard", "activity")}
+            nobody = np.array([], dtype=int)
+            best = [(np.zeros(0, np.int64), np.zeros(0))] * size
+            for batch in batches:
+                total = np.zeros((len(batch), size))
+                for row, r in zip(total, batch.itertuples(index=False), strict=True):
+                    lists = [by_token[t] for t in r.tokens if t in by_token]
+                    inter = np.bincount(np.concatenate(lists), minlength=size) if lists else np.zeros(size)
+                    row += W_TOKENS * (inter / (width + len(r.tokens) - inter))
+                    barrier = [by_barrier[b] for b in r.barriers if b in by_barrier]
+                    for hits, weight in ((equal["rule"].get(r.rule, nobody), W_RULE), (np.unique(np.concatenate(barrier)) if barrier else nobody, W_BARRIER),
+                                         (equal["hazard"].get(r.hazard, nobody), W_HAZARD), (equal["activity"].get(r.activity, nobody), W_ACTIVITY)):
+                        row[hits] += weight
+                ids = batch["id"].to_numpy()
+                for n in range(size):
+                    least = max(min_score, best[n][1][-1]) if len(best[n][1]) == k else min_score
+                    kept = np.flatnonzero((total[:, n] >= least) & (ids != own[n]))
+                    if len(kept):
+                        best[n] = _best(np.concatenate((best[n][0], ids[kept])), np.concatenate((best[n][1], total[kept, n])), k)
+            yield pd.DataFrame([(q, int(i), float(s)) for q, (found, scores) in zip(own.tolist(), best, strict=True) for i, s in zip(found, scores, strict=True)],
+                               columns=["query_id", "match_id", "score"])
+        return run
+
+    found = None
+    for b in range(blocks):
+        block = asked.filter(F.col("block") == b).drop("block").collect()  # about block_rows rows
+        shared = spark.sparkContext.broadcast({c: [r[c] for r in block] for c in ("id", "tokens", "rule", "hazard", "activity", "barriers")})
+        part = pool.mapInPandas(score(shared), "query_id long, match_id long, score double")
+        found = part if found is None else found.union(part)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "match_id")
+    return found.withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < k).select("query_id", "match_id", "place", "score")
+
+
+def _token_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """``(a, b, jaccard)`` of the different token sets ``(set, tokens)`` with a Jaccard of at least ``least``: tokens are ordered by rarity, and
+    two sets that close must share one of their rarest ``n - ceil(least n) + 1``."""
+    each = sets.select("set", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("held_by"))
+    place = Window.partitionBy("set").orderBy("held_by", "token")
+    rare = (each.join(counts, "token").withColumn("at", F.row_number().over(place)).filter(F.col("at") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
+            .select("set", "n", "token"))
+    a, b = (rare.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), "token") for x in "ab")
+    met = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
+    tokens = lambda x: sets.select(F.col("set").alias(x), F.col("tokens").alias(f"t{x}"))
+    shared = F.size(F.array_intersect("ta", "tb"))
+    close = met.join(tokens("a"), "a").join(tokens("b"), "b").withColumn("jaccard", shared / (F.size("ta") + F.size("tb") - shared)).filter(F.col("jaccard") >= least - 1e-9)
+    return close.select("a", "b", "jaccard")
+
+
+def near_duplicates(reports: DataFrame) -> DataFrame:
+    """``(query_id, match_id, score)``: the best match of every report, if it is close enough to be the same report.
+
+    All other weights together leave 0.375 of the least score to the tokens, so only token sets with a Jaccard of 0.75
+    or more count.  Reports equal in everything that is scored are one profile with its two smallest ids; profiles
+    are compared, not copies, so a group of copies of any size stays linear.
+    """
+    features = ["set", "rule", "hazard", "activity", "barriers"]
+    rows = comparable(reports).filter(F.size("tokens") > 0).withColumns({"tokens": F.array_sort("tokens"), "barriers": F.array_sort(F.array_distinct("barriers"))})
+    rows = rows.withColumn("set", F.sha2(F.array_join("tokens", " "), 256))
+    plain = rows.select("id", *[F.coalesce(c, F.lit("")).alias(c) if c != "barriers" else F.array_join(c, "\n").alias(c) for c in features])
+    profiles = plain.groupBy(*features).agg(F.min("id").alias("first"))
+    second = plain.join(profiles, features).filter("id <> first").groupBy("first").agg(F.min("id").alias("second"))
+    profiles = profiles.join(second, "first", "left")
+    sets = rows.groupBy("set").agg(F.first("tokens").alias("tokens"))
+    pairs = _token_pairs(sets, (DUPLICATE_SCORE - 0.005 - W_RULE - W_BARRIER - W_HAZARD - W_ACTIVITY) / W_TOKENS)
+    ways = pairs.union(pairs.select("b", "a", "jaccard")).union(sets.select("set", "set", F.lit(1.0)))
+    side = lambda x, key: profiles.select(F.col("set").alias(key), *[F.col(c).alias(f"{x}_{c}") for c in [*features[1:], "first", "second"]])
+    same = lambda c: (F.col(f"p_{c}") == F.col(f"q_{c}")) & (F.col(f"p_{c}") != "")
+    lists = lambda x: F.split(f"{x}_barriers", "\n")
+    add = lambda test, weight: F.when(test, F.lit(weight)).otherwise(0.0)
+    score = (F.lit(W_TOKENS) * F.col("jaccard") + add(same("rule"), W_RULE) + add((F.col("p_barriers") != "") & (F.col("q_barriers") != "") & F.arrays_overlap(lists("p"), lists("q")), W_BARRIER)
+             + add(same("hazard"), W_HAZARD) + add(same("activity"), W_ACTIVITY))
+    scored = ways.join(side("p", "a"), "a").join(side("q", "b"), "b").withColumn("score", score).filter(F.round(F.least("score", F.lit(0.99)) + 1e-9, 2) >= DUPLICATE_SCORE)
+    option = lambda i: F.struct((-F.col("score")).alias("worse"), i.alias("id"))
+    itself = F.col("p_first") == F.col("q_first")
+    best = scored.groupBy(F.col("p_first").alias("first")).agg(
+        F.min(F.when(~itself, option(F.col("q_first")))).alias("other"), F.min(F.when(itself & F.col("p_second").isNotNull(), option(F.col("p_second")))).alias("by_first"),
+        F.min(F.when(itself, option(F.col("p_first")))).alias("by_copy"))
+    chosen = F.least("other", F.when(F.col("id") == F.col("first"), F.col("by_first")).otherwise(F.col("by_copy")))
+    told = plain.join(profiles.select(*features, "first"), features).select("id", "first").join(best, "first").withColumn("m", chosen).filter("m is not null")
+    return told.select(F.col("id").alias("query_id"), F.col("m.id").alias("match_id"), (-F.col("m.worse")).alias("score"))
 
 
 def with_shared_concepts(matches: DataFrame, reports: DataFrame) -> DataFrame:
@@ -86,8 +149,3 @@ def with_shared_concepts(matches: DataFrame, reports: DataFrame) -> DataFrame:
     return both.select("query_id", "match_id", "place", F.round(F.least(F.col("score"), F.lit(0.99)) + 1e-9, 2).alias("similarity"),
                        same("rule").alias("common_rule"), same("hazard").alias("common_hazard"), same("activity").alias("common_activity"),
                        F.array_sort(F.array_intersect("q_barriers", "m_barriers")).alias("common_barriers"))
-
-
-def near_duplicates(matches: DataFrame) -> DataFrame:
-    """The best match of each query when it is close enough to be the same report."""
-    return matches.filter((F.col("place") == 0) & (F.round(F.least("score", F.lit(0.99)) + 1e-9, 2) >= DUPLICATE_SCORE))

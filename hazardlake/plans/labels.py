@@ -14,32 +14,38 @@ from hazardlake.operators import metrics as me
 from hazardlake.operators import similarity as sm
 from hazardlake.plans.catalog import query, views
 from hazardlake.plans.texts import FP_SQL, TEXTS, q
-from hazardlake.sources.tables import Tables, spread
+from hazardlake.sources.tables import Tables
 
 # ---- J: similarity ------------------------------------------------------------
 
 
 def _similar_input(t: Tables):
     k = F.col("doc_id")
-    return spread(t.raw("documents")).select(
+    return t.raw("documents").select(
         k.alias("id"), F.col("text").alias("report_text"), F.when(k % 9 != 0, F.concat(F.lit("Rule "), (k % 10).cast("string"))).alias("rule"),
         F.col("lang").alias("hazard"), F.upper("source").alias("activity"),
         F.array(F.concat(F.lit("B"), (k % 7).cast("string")), F.concat(F.lit("B"), (k % 11).cast("string"))).alias("barriers"))
 
 
 _STOP_SQL = ", ".join(q(w) for w in dict.fromkeys(tx.SIMILARITY_STOP))
-_PAIRS_SQL = rf"""WITH d AS (SELECT doc_id AS id, CASE WHEN doc_id % 9 <> 0 THEN doc_id % 10 END AS rule, lang, source, row_number() OVER (ORDER BY doc_id DESC) AS rk FROM documents),
+# A search asks for every hundredth report, among all reports; ``WHOM`` says which.
+_ALL_PAIRS_SQL = rf"""WITH d AS (SELECT doc_id AS id, CASE WHEN doc_id % 9 <> 0 THEN doc_id % 10 END AS rule, lang, source FROM documents),
 tok AS (SELECT DISTINCT id, token FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9'']+|[\x{{900}}-\x{{9ff}}]+')) AS token FROM documents)
   WHERE length(token) >= 3 AND token NOT IN ({_STOP_SQL})),
 sz AS (SELECT id, count(*) AS n FROM tok GROUP BY 1),
 it AS (SELECT a.id AS a, b.id AS b, count(*) AS i FROM tok a JOIN tok b USING (token) WHERE a.id <> b.id GROUP BY 1, 2),
 p AS (SELECT x.id AS query_id, y.id AS match_id, coalesce(i, 0) AS i, sx.n AS nx, sy.n AS ny, x.rule = y.rule AS same_rule,
     x.id % 7 = y.id % 7 OR x.id % 11 = y.id % 11 OR x.id % 7 = y.id % 11 OR x.id % 11 = y.id % 7 AS same_barrier, x.lang = y.lang AS same_hazard, x.source = y.source AS same_activity
-  FROM d x JOIN d y ON x.id <> y.id AND y.rk - CASE WHEN x.rk < y.rk THEN 1 ELSE 0 END <= 2500 JOIN sz sx ON sx.id = x.id JOIN sz sy ON sy.id = y.id LEFT JOIN it ON it.a = x.id AND it.b = y.id),
+  FROM d x JOIN d y ON x.id <> y.id JOIN sz sx ON sx.id = x.id JOIN sz sy ON sy.id = y.id LEFT JOIN it ON it.a = x.id AND it.b = y.id),
 s AS (SELECT *, 0.5::DOUBLE * (i::DOUBLE / (nx + ny - i)) + CASE WHEN same_rule THEN 0.18::DOUBLE ELSE 0 END + CASE WHEN same_barrier THEN 0.12::DOUBLE ELSE 0 END
   + CASE WHEN same_hazard THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN same_activity THEN 0.12::DOUBLE ELSE 0 END AS score FROM p),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, match_id) - 1 AS place FROM s WHERE score >= 0.16::DOUBLE) WHERE place < 5)
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, match_id) - 1 AS place FROM s WHERE score >= 0.16::DOUBLE AND WHOM) WHERE place < 5)
 """
+_PAIRS_SQL = _ALL_PAIRS_SQL.replace("WHOM", "query_id % 100 = 0")
+
+
+def _asked(rows):
+    return rows.filter(F.col("id") % 100 == 0)
 
 
 @query("j1_token_sets", rf"""SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9'']+|[\x{{900}}-\x{{9ff}}]+')), lambda x: length(x) >= 3 AND x NOT IN ({_STOP_SQL}))) AS tokens FROM documents""")
@@ -50,13 +56,12 @@ def _(t: Tables):
 @query("j2_similar_reports", _PAIRS_SQL + "SELECT query_id, match_id, place, round(least(score, 0.99::DOUBLE) + 1e-9::DOUBLE, 2) AS similarity, CASE WHEN same_rule THEN 'Rule ' || (match_id % 10) END AS common_rule FROM top")
 def _(t: Tables):
     rows = _similar_input(t)
-    return sm.with_shared_concepts(sm.similar_reports(rows, rows), rows).select("query_id", "match_id", "place", "similarity", "common_rule")
+    return sm.with_shared_concepts(sm.similar_reports(_asked(rows), rows), rows).select("query_id", "match_id", "place", "similarity", "common_rule")
 
 
-@query("j3_near_duplicates", _PAIRS_SQL + "SELECT query_id, match_id FROM top WHERE place = 0 AND round(least(score, 0.99::DOUBLE) + 1e-9::DOUBLE, 2) >= 0.88::DOUBLE")
+@query("j3_near_duplicates", _ALL_PAIRS_SQL.replace("WHOM", "true") + "SELECT query_id, match_id FROM top WHERE place = 0 AND round(least(score, 0.99::DOUBLE) + 1e-9::DOUBLE, 2) >= 0.88::DOUBLE")
 def _(t: Tables):
-    rows = _similar_input(t)
-    return sm.near_duplicates(sm.similar_reports(rows, rows)).select("query_id", "match_id")
+    return sm.near_duplicates(_similar_input(t)).select("query_id", "match_id")
 
 
 _GROUPS_SQL = "WITH f AS (SELECT doc_id, " + FP_SQL.format("text") + " AS fp FROM documents), g AS (SELECT doc_id, count(*) OVER (PARTITION BY fp) AS group_size, min(doc_id) OVER (PARTITION BY fp) AS first_id FROM f WHERE length(fp) >= 8) "
@@ -84,18 +89,23 @@ def _(t: Tables):
     return counts.crossJoin(F.broadcast(total)).select("conv_id", "shared", (F.col("n") + F.col("base_size") - F.col("shared")).alias("united"))  # one row
 
 
-@query("h2_recent_with_similar")
+_RECENT_SQL = ("WITH " + Tables.FINDINGS_SQL + ", " + _ALL_PAIRS_SQL.removeprefix("WITH ").replace(
+    "WHOM", "query_id IN (SELECT doc_id FROM documents JOIN findings ON report_pk = doc_id WHERE priority = 'HIGH' ORDER BY doc_id DESC LIMIT 10)"))
+
+
+@query("h2_recent_with_similar", _RECENT_SQL + "SELECT query_id, match_id, place, round(score, 9) AS score FROM top WHERE place < 3")
 def _(t: Tables):
     rows = _similar_input(t)
-    recent = rows.orderBy(F.desc("id")).limit(10)
-    return sm.similar_reports(recent, rows, k=3)
+    high = t.findings.filter("priority = 'HIGH'").select(F.col("report_pk").alias("id"))
+    recent = rows.join(high, "id", "left_semi").orderBy(F.desc("id")).limit(10)
+    return sm.similar_reports(recent, rows, k=3).withColumn("score", F.round("score", 9))
 
 
 @query("e5_match_enrichment", _PAIRS_SQL + "SELECT query_id, match_id, source AS site FROM top JOIN documents ON doc_id = match_id")
 def _(t: Tables):
     rows = _similar_input(t)
     names = t.raw("documents").select(F.col("doc_id").alias("match_id"), F.col("source").alias("site"))
-    return sm.similar_reports(rows, rows).join(names, "match_id").select("query_id", "match_id", "site")
+    return sm.similar_reports(_asked(rows), rows).join(names, "match_id").select("query_id", "match_id", "site")
 
 
 @query("d13_solved_references", _PAIRS_SQL.replace("WITH d AS", views("reviews") + ", d AS") + """,
@@ -106,7 +116,7 @@ def _(t: Tables):
     rows = _similar_input(t)
     solved = latest_review(t.reviews).filter(F.col("decision").isin(VERIFIED)).select(
         F.col("report_pk").alias("match_id"), "decision", F.col("comments").isNotNull().alias("has_notes"))
-    return sm.similar_reports(rows, rows).join(solved, "match_id").select("query_id", "match_id", "decision", "has_notes")
+    return sm.similar_reports(_asked(rows), rows).join(solved, "match_id").select("query_id", "match_id", "decision", "has_notes")
 
 
 # ---- K: feedback ----------------------------------------------------------------

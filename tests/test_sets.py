@@ -56,29 +56,56 @@ def test_sampling_ignores_partitioning(spark):
     assert first == {r["id"] for r in ds.sample_per_group(df.repartition(11), "g", "id", 40).collect()} and len(first) == 80
 
 
+def _score(q, p):
+    mine, other = set(q[1].split()), set(p[1].split())
+    if not mine or not other:
+        return 0
+    s = 0.5 * len(mine & other) / len(mine | other) + 0.18 * (p[2] is not None and p[2] == q[2]) + 0.12 * bool(set(p[5]) & set(q[5]))
+    return s + 0.08 * (p[3] == q[3]) + 0.12 * (p[4] is not None and q[4] is not None and p[4].lower() == q[4].lower())
+
+
+REPORT = "id long, report_text string, rule string, hazard string, activity string, barriers array<string>"
+
+
+def _reports(n, words, most, seed=11):
+    rng = random.Random(seed)
+    return [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, most))), rng.choice(["r1", "r2", None]), rng.choice(["h1", "h2"]),
+             rng.choice(["Lift", "lift", "Dig", None]), rng.sample(["b1", "b2", "b3"], rng.randrange(3))) for i in range(n)]
+
+
+WORDS = ["valve", "pump", "crane", "permit", "ladder", "harness", "gas", "leak", "guard", "tank"]
+
+
 def test_similarity_against_brute_force(spark):
-    rng = random.Random(11)
-    words = ["valve", "pump", "crane", "permit", "ladder", "harness", "gas", "leak", "guard", "tank"]
-    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 7))), rng.choice(["r1", "r2", None]), rng.choice(["h1", "h2"]),
-             rng.choice(["Lift", "lift", "Dig", None]), rng.sample(["b1", "b2", "b3"], rng.randrange(3))) for i in range(60)]
-    df = spark.createDataFrame(rows, "id long, report_text string, rule string, hazard string, activity string, barriers array<string>")
+    rows = _reports(60, WORDS, 7)
+    df = spark.createDataFrame(rows, REPORT)
     got = {}
-    for r in sm.similar_reports(df, df, k=4, pool_limit=40).collect():
+    for r in sm.similar_reports(df, df, k=4, block_rows=7).orderBy("query_id", "place").collect():
         got.setdefault(r["query_id"], []).append((r["match_id"], round(r["score"], 9)))
     for q in rows:
-        pool = sorted((r for r in rows if r[0] != q[0]), key=lambda r: -r[0])[:40]
-        scored, mine = [], set(q[1].split())
-        for p in pool:
-            other = set(p[1].split())
-            if not mine or not other:
-                continue
-            s = 0.5 * len(mine & other) / len(mine | other) + 0.18 * (p[2] is not None and p[2] == q[2]) + 0.12 * bool(set(p[5]) & set(q[5]))
-            s += 0.08 * (p[3] == q[3]) + 0.12 * (p[4] is not None and q[4] is not None and p[4].lower() == q[4].lower())
-            if s >= 0.16 - 1e-12:
-                scored.append((p[0], round(s, 9)))
+        scored = [(p[0], round(s, 9)) for p in rows if p[0] != q[0] and (s := _score(q, p)) >= 0.16 - 1e-12]
         assert got.get(q[0], []) == sorted(scored, key=lambda x: (-x[1], x[0]))[:4]
 
 
+def test_the_oldest_of_many_reports_is_found(spark):
+    rows = [(0, "unique twin words here", "r", "h", "a", ["b"])] + _reports(3000, WORDS, 7)[1:] + [(3000, "unique twin words here", "r", "h", "a", ["b"])]
+    df = spark.createDataFrame(rows, REPORT)
+    found = sm.similar_reports(df.filter("id = 3000"), df, k=1)
+    assert [(r["query_id"], r["match_id"]) for r in found.collect()] == [(3000, 0)]
+    assert {(r["query_id"], r["match_id"]) for r in sm.near_duplicates(df).filter("query_id in (0, 3000)").collect()} == {(3000, 0), (0, 3000)}
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rows = _reports(150, WORDS[:5], 6, 3) + [(200 + i, "same old words again", "r1", "h1", "Dig", ["b1"]) for i in range(4)]
+    got = {r["query_id"]: r["match_id"] for r in sm.near_duplicates(spark.createDataFrame(rows, REPORT)).collect()}
+    want = {}
+    for q in rows:
+        score, other = min((-round(_score(q, p), 9), p[0]) for p in rows if p[0] != q[0])
+        if round(min(-score, 0.99) + 1e-9, 2) >= 0.88:
+            want[q[0]] = other
+    assert want and got == want
+
+
 def test_variants_are_new_and_distinct(spark):
     seeds = spark.createDataFrame([(1, "Pump 12 leaked. The worker left."), (2, "Crane 3 swung. The technician ran."), (3, "Tank 9 was hot. It was shut.")],
                                   "id int, text string").withColumn("rule", F.lit("r"))
