@@ -26,8 +26,6 @@ after before into onto than very just about every some any all more most other s
 did does doing am""".split()
 SIMILARITY_WORD = r"[a-z0-9']+|[\x{900}-\x{9ff}]+"
 
-MAX_ANALYSIS_CHARS = 50_000
-
 # White space as str.split() sees it (the engine's own \\s is ASCII only), and the characters trimmed from cells.
 SPACE = (r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
          r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
@@ -45,14 +43,8 @@ def collapse(text: Column) -> Column:
 
 
 def analysis_text(text: Column) -> Column:
-    """Text the analysis reads: collapsed, without zero-width blanks, at most 50 000 characters plus an ellipsis.
-
-    Null when nothing is left.
-    """
-    clean = F.replace(collapse(text), F.lit(ZERO_WIDTH), F.lit(""))
-    capped = F.when(F.length(clean) > MAX_ANALYSIS_CHARS,
-                    F.concat(F.substring(clean, 1, MAX_ANALYSIS_CHARS), F.lit("..."))).otherwise(clean)
-    return blank_to_null(F.btrim(capped))
+    """Text the analysis reads, whole: collapsed, without zero-width blanks; null when nothing is left."""
+    return blank_to_null(F.btrim(F.replace(collapse(text), F.lit(ZERO_WIDTH), F.lit(""))))
 
 
 def cell(value: Column) -> Column:

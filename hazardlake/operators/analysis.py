@@ -210,7 +210,7 @@ def explanation(c: dict[str, Column]) -> Column:
 
 
 def _sentence_case(text: Column) -> Column:
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1_000)))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substr(text, F.lit(2))))
 
 
 def summary(c: dict[str, Column]) -> Column:

@@ -46,7 +46,7 @@ def _iso(value: Column) -> Column:
 
 
 def _narrative(value: Column) -> Column:
-    return F.substring(tx.collapse(F.coalesce(value, F.lit(""))), 1, 10_000)
+    return tx.collapse(F.coalesce(value, F.lit("")))
 
 
 def map_mine_accidents(df: DataFrame) -> DataFrame:
@@ -57,9 +57,9 @@ def map_mine_accidents(df: DataFrame) -> DataFrame:
         F.concat(F.lit("MSHA-"), F.replace(incident, F.lit("|"), F.lit("-"))).alias("report_id"), incident.alias("incident_id"),
         F.lit("MSHA mine accident").alias("report_type"),
         F.coalesce(F.nullif(g("OPERATOR_NAME"), F.lit("")), g("CONTROLLER_NAME")).alias("site_name"),
-        F.substring(g("AI_ACTY_DESC"), 1, 128).alias("activity"), _iso(g("AI_DT")).alias("date_reported"),
-        _narrative(F.col("AI_NARR")).alias("description"), F.substring(g("INJ_DEGR_DESC"), 1, 64).alias("actual_severity"),
-        F.substring(g("UG_LOCATION"), 1, 128).alias("location_detail"), F.lit("msha").alias("source_name"))
+        g("AI_ACTY_DESC").alias("activity"), _iso(g("AI_DT")).alias("date_reported"),
+        _narrative(F.col("AI_NARR")).alias("description"), g("INJ_DEGR_DESC").alias("actual_severity"),
+        g("UG_LOCATION").alias("location_detail"), F.lit("msha").alias("source_name"))
 
 
 def map_incident_summaries(df: DataFrame) -> DataFrame:
@@ -101,11 +101,11 @@ def map_offshore_incidents(df: DataFrame) -> DataFrame:
     key = F.concat(F.lit("BSEE-"), g("SN_EV_MASTERS"))
     return df.filter(g("SN_EV_MASTERS") != "").select(
         key.alias("report_id"), key.alias("incident_id"), F.lit("BSEE offshore incident").alias("report_type"),
-        F.substring(g("Operator Name"), 1, 128).alias("site_name"),
-        F.substring(F.concat_ws(" / ", *flagged(OPERATIONS), F.nullif(g("Other Operation"), F.lit(""))), 1, 128).alias("activity"),
+        g("Operator Name").alias("site_name"),
+        F.concat_ws(" / ", *flagged(OPERATIONS), F.nullif(g("Other Operation"), F.lit(""))).alias("activity"),
         _iso(g("Date")).alias("date_reported"), _narrative(F.col("`Incident Summary`")).alias("description"),
         F.when(deaths > 0, "Fatality").when(injuries > 0, "Injury").otherwise("").alias("actual_severity"),
-        F.substring(place, 1, 128).alias("location_detail"), F.lit("bsee").alias("source_name"),
+        place.alias("location_detail"), F.lit("bsee").alias("source_name"),
         F.concat_ws(" / ", *flagged(CAUSES)).alias("causes"))
 
 
@@ -130,7 +130,7 @@ def flat_outputs(analysed: DataFrame) -> DataFrame:
         "*", joined("equipment").alias("equipment_text"), joined("barrier_failure").alias("barrier_text"), text("life_saving_rule").alias("lsr"),
         F.when(F.col("sif_potential"), "1").otherwise("0").alias("sif_label"), text("potential_consequence").alias("potential_severity"),
         joined("evidence").alias("precursor"), text("confidence").alias("sif_probability"), text("explanation").alias("reason"),
-        joined("suggested_actions").alias("suggested_immediate_action"), F.substring(F.coalesce("summary", F.lit("")), 1, 500).alias("short_summary"))
+        joined("suggested_actions").alias("suggested_immediate_action"), F.coalesce("summary", F.lit("")).alias("short_summary"))
 
 
 # ---- sampling and splits -----------------------------------------------------

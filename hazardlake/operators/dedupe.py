@@ -36,17 +36,19 @@ def import_guard(batch: DataFrame, store: DataFrame | None, text_col: str = "rep
     owners = keyed.select("_key", F.struct(F.lit(1).alias("rank"), F.col(row_col).cast("long").alias("at")).alias("o"),
                           F.col(row_col).cast("string").alias("v"))
     if store is not None:
-        stored = store.select(text_key(F.col("report_text")).alias("_key"),
+        # Keys written at import are read as they are; only those of the batch go on to the aggregate.
+        known = F.col("text_key") if "text_key" in store.columns else text_key(F.col("report_text"))
+        stored = store.select(known.alias("_key"),
                               F.struct(F.lit(0).alias("rank"), F.col("id").cast("long").alias("at")).alias("o"),
                               F.col("report_id").alias("v"))
-        owners = owners.unionByName(stored)
+        owners = owners.unionByName(stored.join(owners.select("_key").distinct(), "_key", "left_semi"))
     first = first_of_key(owners, "_key", F.col("o"), F.col("v"))
     joined = join_first(keyed, first, F.col(row_col))
     blank = F.col("_key").isNull()
     own = (F.col("first.o.rank") == 1) & (F.col("first.o.at") == F.col(row_col))
     return joined.withColumns({
         "import_state": F.when(blank, F.lit("empty")).when(own, F.lit("new")).otherwise(F.lit("duplicate")),
-        "duplicate_of": F.when(~blank & ~own, F.col("first.v")),
+        "duplicate_of": F.when(~blank & ~own, F.col("first.v")), "text_key": F.col("_key"),
     }).drop("_key", "first")
 
 

@@ -15,17 +15,17 @@ SIGNAL_STOP = """the and was were with from that this have had has been not but
 report said told while during when then they their there him them who which will would should could also after before
 been being into onto than very just about every some any all more most other such only work worker workers site team
 job made make done""".split()
-MAX_SIGNALS, MIN_PHRASE = 8, 6
+MIN_PHRASE = 6
 
 
 def capture(reviews: DataFrame, findings: DataFrame) -> DataFrame:
-    """Review decisions with the analysis at review time; human rule and priority default to it."""
+    """Review decisions with the analysis at review time; the reviewer's corrected rule and priority, or else its own."""
     joined = reviews.join(findings.select("report_pk", F.col("sif_potential").alias("ai_sif"), F.col("life_saving_rule").alias("ai_rule"),
                                           F.col("priority").alias("ai_priority")), "report_pk", "left")
     return joined.select(
         "id", "report_pk", F.coalesce("decision", F.lit("reviewed")).alias("decision"), "ai_sif", "ai_rule", "ai_priority",
         human_sif(F.coalesce("decision", F.lit("reviewed")), F.col("ai_sif")).alias("human_sif"),
-        F.coalesce(F.lit(None).cast("string"), "ai_rule").alias("human_rule"), F.col("ai_priority").alias("human_priority"))
+        F.coalesce("corrected_rule", "ai_rule").alias("human_rule"), F.coalesce("corrected_priority", "ai_priority").alias("human_priority"))
 
 
 def summary(feedback: DataFrame) -> DataFrame:
@@ -78,13 +78,14 @@ def phrase_counts(feedback: DataFrame, domain: list[str], text_col: str = "repor
     return counts.withColumn("words", word_count(F.col("phrase")))
 
 
-def mine_signals(feedback: DataFrame, domain: list[str], text_col: str = "report_text") -> DataFrame:
-    """At most eight signals: missed-SIF phrases first, by count, none seen in agreeing reports."""
+def mine_signals(feedback: DataFrame, domain: list[str], text_col: str = "report_text", k: int = 8) -> DataFrame:
+    """The k most frequent missed-SIF phrases and the k most frequent false-alarm phrases, none seen in agreeing reports."""
     free = phrase_counts(feedback, domain, text_col).filter(F.col("agreed") == 0)
     sides = F.array(F.struct(F.lit("+").alias("direction"), F.col("missed").alias("reports")),
                     F.struct(F.lit("-").alias("direction"), F.col("wrong").alias("reports")))
     rows = free.select("phrase", "words", F.explode(sides).alias("s")).select("phrase", "words", "s.direction", "s.reports").filter(F.col("reports") > 0)
-    return (rows.orderBy(F.col("direction"), F.desc("reports"), "phrase").limit(MAX_SIGNALS)
+    top = lambda side: rows.filter(F.col("direction") == side).orderBy(F.desc("reports"), "phrase").limit(k)
+    return (top("+").unionByName(top("-"))
             .select("phrase", "direction", "reports", (F.col("reports") * F.col("words")).alias("weight")))
 
 

@@ -10,8 +10,6 @@ from hazardlake.functions.columns import blank_to_null, first_label, let
 from hazardlake.operators.ranking import group_positions
 from hazardlake.vocab.headers import RULE_FIELD_HINTS
 
-# Longest kept value per field.
-MAX_TEXT, MAX_LONG, MAX_NAME, MAX_ID, MAX_TYPE = 20_000, 256, 128, 64, 32
 NO_DETAIL = ["na", "n/a", "-", "nil", "none"]
 # File field and the analysis column it overrides, in order.
 OVERRIDES = [
@@ -22,23 +20,24 @@ OVERRIDES = [
 MODIFIED = "struct<field:string,canonical:string,ai:array<string>,used:array<string>,changed:boolean>"
 
 
-def capped(value: Column, limit: int) -> Column:
-    return blank_to_null(F.substring(tx.cell(value), 1, limit))
+def whole(value: Column) -> Column:
+    """Trimmed value of any length; null when blank."""
+    return blank_to_null(tx.cell(value))
 
 
 def merged_site(site: Column, detail: Column) -> Column:
-    """Site with its detail behind a middle dot, 128 characters at most."""
+    """Site with its detail behind a middle dot."""
     base, extra = tx.cell(site), tx.cell(detail)
     usable = (base != "") & (extra != "") & ~F.lower(extra).isin(NO_DETAIL)
     full = F.when(usable, F.concat(base, F.lit(" · "), extra)).otherwise(base)
-    return blank_to_null(F.substring(full, 1, MAX_NAME))
+    return blank_to_null(full)
 
 
 def joined_text(title: Column, body: Column) -> Column:
     """Title and body as one text; a title equal to the body is dropped."""
     t, b = tx.cell(title), tx.cell(body)
     lead = F.when((t != "") & (t != b), F.concat(F.rtrim(t, F.lit(".")), F.lit(".")))
-    return F.substring(tx.strip(F.concat_ws(" ", lead, blank_to_null(b))), 1, MAX_TEXT)
+    return tx.strip(F.concat_ws(" ", lead, blank_to_null(b)))
 
 
 def normalise(mapped: DataFrame, *keep: str) -> DataFrame:
@@ -46,18 +45,18 @@ def normalise(mapped: DataFrame, *keep: str) -> DataFrame:
     c = lambda f: F.col(f"in_{f}")
     return mapped.select(
         *keep, joined_text(c("title"), c("text")).alias("report_text"), tx.cell(c("title")).alias("title"),
-        capped(c("report_type"), MAX_TYPE).alias("report_type"), tx.parse_date(c("date")).alias("date"),
-        merged_site(c("site"), c("location_detail")).alias("site"), capped(c("activity"), MAX_NAME).alias("activity"),
-        capped(c("report_id"), MAX_ID).alias("source_id"), capped(c("hazard"), MAX_NAME).alias("hazard"),
-        capped(c("consequence"), MAX_LONG).alias("consequence"), tx.list_cell(tx.cell(c("barrier_failure"))).alias("barrier_failure"),
-        capped(c("location"), MAX_NAME).alias("location"), tx.list_cell(tx.cell(c("equipment"))).alias("equipment"),
-        capped(c("unsafe_type"), MAX_TYPE).alias("unsafe_type"), capped(c("rule"), MAX_ID).alias("rule"))
+        whole(c("report_type")).alias("report_type"), tx.parse_date(c("date")).alias("date"),
+        merged_site(c("site"), c("location_detail")).alias("site"), whole(c("activity")).alias("activity"),
+        whole(c("report_id")).alias("source_id"), whole(c("hazard")).alias("hazard"),
+        whole(c("consequence")).alias("consequence"), tx.list_cell(tx.cell(c("barrier_failure"))).alias("barrier_failure"),
+        whole(c("location")).alias("location"), tx.list_cell(tx.cell(c("equipment"))).alias("equipment"),
+        whole(c("unsafe_type")).alias("unsafe_type"), whole(c("rule")).alias("rule"))
 
 
 def source_label(name: Column | None) -> Column:
-    """``upload:<file>``, at most 64 characters."""
+    """``upload:<file>``."""
     raw = F.lit("upload") if name is None else F.concat(F.lit("upload:"), F.coalesce(name, F.lit("")))
-    return F.coalesce(blank_to_null(F.substring(F.trim(raw), 1, MAX_ID)), F.lit("upload"))
+    return F.coalesce(blank_to_null(F.trim(raw)), F.lit("upload"))
 
 
 def next_report_number(store: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def filter_status(reports: DataFrame, reviews: DataFrame, status: str) -> DataFr
 
 
 def newest_first(df: DataFrame, limit: int) -> DataFrame:
-    return df.orderBy(F.desc_nulls_last("date"), F.desc("id")).limit(min(limit, 10_000))
+    return df.orderBy(F.desc_nulls_last("date"), F.desc("id")).limit(limit)
 
 
 def search_fields(df: DataFrame, needle: str, columns: list[str]) -> DataFrame:
@@ -131,9 +131,9 @@ def human_sif(decision: Column, ai_sif: Column) -> Column:
 
 
 def display_source(source: Column) -> Column:
-    """Upload prefix removed, 64 characters at most, ``upload`` when blank."""
-    label = F.substring(F.coalesce(F.nullif(F.trim(source), F.lit("")), F.lit("upload")), 1, 64)
-    return F.when(label.startswith("upload:"), F.substring(label, 8, 64)).otherwise(label)
+    """Upload prefix removed, ``upload`` when blank."""
+    label = F.coalesce(F.nullif(F.trim(source), F.lit("")), F.lit("upload"))
+    return F.when(label.startswith("upload:"), F.substr(label, F.lit(8))).otherwise(label)
 
 
 def export_cell(df: DataFrame, column: str) -> Column:

@@ -137,10 +137,10 @@ def _(t: Tables):
 SELECT id, date, priority, sif_potential, (CASE priority WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END) * 100
   + CASE WHEN sif_potential THEN 0 ELSE 10 END AS queue_rank
 FROM s WHERE fpk IS NOT NULL AND processing_status = 'analyzed' AND review_status = 'pending'
-ORDER BY queue_rank, date DESC NULLS LAST, id LIMIT 200""")
+ORDER BY queue_rank, date DESC NULLS LAST, id""")
 def _(t: Tables):
     queue = rg.review_queue(rg.review_status(rg.with_analysis(t.reports, t.findings), t.reviews))
-    return queue.orderBy("queue_rank", F.desc_nulls_last("date"), "id").limit(200).select(
+    return queue.orderBy("queue_rank", F.desc_nulls_last("date"), "id").select(
         "id", "date", "priority", "sif_potential", "queue_rank")
 
 
@@ -448,11 +448,11 @@ def _(t: Tables):
 @query("h3_natural_sort", views("reports", "findings") + """
 SELECT id, source_id FROM reports LEFT JOIN findings ON id = report_pk
 ORDER BY CASE priority WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END DESC, lower(regexp_extract(source_id, '^(.*?)(\\d*)$', 1)),
-  CAST(regexp_extract(source_id, '(\\d+)$', 1) AS BIGINT), id LIMIT 300""")
+  CAST(regexp_extract(source_id, '(\\d+)$', 1) AS BIGINT), id""")
 def _(t: Tables):
     rows = rg.with_analysis(t.reports, t.findings, "left")
     stem, number = rg.natural_key(F.col("source_id"))
-    return rows.orderBy(rg.priority_rank(F.col("priority")).desc(), stem, number, "id").limit(300).select("id", "source_id")
+    return rows.orderBy(rg.priority_rank(F.col("priority")).desc(), stem, number, "id").select("id", "source_id")
 
 
 @query("h4_page", views("reports") + "SELECT id, report_id FROM reports WHERE id < 10000 ORDER BY id DESC LIMIT 50")

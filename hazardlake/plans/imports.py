@@ -10,6 +10,7 @@ from hazardlake.operators.analysis import analyze
 from hazardlake.operators.dedupe import import_guard
 from hazardlake.operators.mapping import map_columns
 from hazardlake.operators.normalise import apply_overrides, normalise, source_label
+from hazardlake.session import ensure_checkpoint_dir
 
 FILE_FIELDS = ["activity", "hazard", "consequence", "barrier_failure", "location", "equipment", "unsafe_type", "rule"]
 ANALYSIS_FIELDS = {"activity": "analysis_activity", "consequence": "potential_consequence", "rule": "life_saving_rule"}
@@ -22,12 +23,15 @@ def import_reports(rows: DataFrame, store: DataFrame | None = None, override: di
     Only the duplicate guard shuffles, and only fixed-width keys decide there; the analysis is a
     narrow step over the rows that passed.  Empty and duplicate rows stay in the result, marked.
 
-    Without ``row_no`` rows are numbered in scan order, which is stable for files and tables; pass a
-    column of your own where the input comes out of a shuffle.
+    ``row_no`` is a stable number of each row, from a key or a place in a file.  Without one, rows are numbered as they
+    arrive and written down before anything reads the numbers, so a repeated scan can't change them.
     """
     shaped = normalise(map_columns(rows, override, keep={"row_no": F.monotonically_increasing_id() if row_no is None else row_no}), "row_no")
+    if row_no is None:
+        ensure_checkpoint_dir(rows.sparkSession)
+        shaped = shaped.checkpoint()
     guarded = import_guard(shaped, store)
-    renamed = guarded.select("row_no", "report_text", "report_type", "date", "site", "source_id", "import_state", "duplicate_of",
+    renamed = guarded.select("row_no", "report_text", "report_type", "date", "site", "source_id", "import_state", "duplicate_of", "text_key",
                              *[F.col(f).alias(f"file_{f}") for f in FILE_FIELDS])
     # Only new rows need analysis; the text of others is left out of it.
     todo = renamed.withColumn("_todo", F.when(F.col("import_state") == "new", F.col("report_text")))

@@ -122,15 +122,15 @@ def _(t: Tables):
 # ---- K: feedback ----------------------------------------------------------------
 
 _CAPTURE_SQL = views("reviews", "findings") + """,
-c AS (SELECT v.id, v.report_pk, coalesce(decision, 'reviewed') AS decision, sif_potential AS ai_sif, life_saving_rule AS human_rule,
+c AS (SELECT v.id, v.report_pk, coalesce(decision, 'reviewed') AS decision, sif_potential AS ai_sif, coalesce(corrected_rule, life_saving_rule) AS human_rule, coalesce(corrected_priority, priority) AS human_priority,
   CASE coalesce(decision, 'reviewed') WHEN 'confirmed' THEN true WHEN 'rejected' THEN false WHEN 'reviewed' THEN sif_potential END AS human_sif
   FROM reviews v LEFT JOIN findings f ON f.report_pk = v.report_pk)
 """
 
 
-@query("k1_capture_feedback", _CAPTURE_SQL + "SELECT id, report_pk, decision, ai_sif, human_rule, human_sif FROM c")
+@query("k1_capture_feedback", _CAPTURE_SQL + "SELECT id, report_pk, decision, ai_sif, human_rule, human_priority, human_sif FROM c")
 def _(t: Tables):
-    return fb.capture(t.reviews, t.findings).select("id", "report_pk", "decision", "ai_sif", "human_rule", "human_sif")
+    return fb.capture(t.reviews, t.findings).select("id", "report_pk", "decision", "ai_sif", "human_rule", "human_priority", "human_sif")
 
 
 @query("k2_default_decision", views("reviews") + "SELECT coalesce(decision, 'reviewed') AS decision, count(*) AS n FROM reviews GROUP BY 1")
@@ -187,16 +187,19 @@ def _(t: Tables):
     return rows.distinct().groupBy(fb.word_count(F.col("p")).alias("words")).agg(F.count(F.lit(1)).alias("phrases"))
 
 
-@query("k6_signals", _GRAMS_SQL + """, x AS (SELECT phrase, '+' AS direction, missed AS reports, words FROM c WHERE missed > 0 AND agreed = 0 UNION ALL SELECT phrase, '-', wrong, words FROM c WHERE wrong > 0 AND agreed = 0)
-SELECT phrase, direction, reports, reports * words AS weight FROM x ORDER BY direction, reports DESC, phrase LIMIT 8""")
+_SIGNALS_SQL = _GRAMS_SQL + """, x AS (SELECT phrase, '+' AS direction, missed AS reports, words FROM c WHERE missed > 0 AND agreed = 0 UNION ALL SELECT phrase, '-', wrong, words FROM c WHERE wrong > 0 AND agreed = 0)
+SELECT phrase, direction, reports, reports * words AS weight FROM x QUALIFY row_number() OVER (PARTITION BY direction ORDER BY reports DESC, phrase) <= 8"""
+
+
+@query("k6_signals", _SIGNALS_SQL)
 def _(t: Tables):
     return fb.mine_signals(_labelled_feedback(t), LEX.domain_words)
 
 
-@query("k7_active_signals")
+@query("k7_active_signals", _SIGNALS_SQL)
 def _(t: Tables):
     mined = fb.mine_signals(_labelled_feedback(t), LEX.domain_words)
-    # A run holds eight signals at most.
+    # A run holds eight signals of each direction at most.
     run = mined.agg(F.lit(1).alias("run_id"), F.array_sort(F.collect_list(F.struct("direction", "phrase", "reports", "weight"))).alias("signals"))
     return fb.latest_signals(run)
 

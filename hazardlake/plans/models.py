@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -13,6 +12,7 @@ from hazardlake.operators import learning as ml
 from hazardlake.operators import metrics as me
 from hazardlake.plans.catalog import query, views
 from hazardlake.plans.imports import import_reports
+from hazardlake.session import shared_folder
 from hazardlake.plans.texts import LEX, _RULESETS_SQL, clean_texts
 from hazardlake.functions import spans
 from hazardlake.sources import files
@@ -88,14 +88,13 @@ def _(t: Tables):
     # Foreign column names; the header decides the mapping.
     rows = t.texts.select(F.col("doc_id").alias("Sl No"), F.col("date").cast("string").alias("Date of Occurrence"), F.col("source").alias("Place of Occurrence"),
                           F.col("report_text").alias("Detailed description of event"))
-    done = import_reports(rows, source="register.csv")
+    done = import_reports(rows, source="register.csv", row_no=F.col("Sl No").cast("long"))
     return done.select("source_id", "import_state", "date", "site", "sif_potential", "priority", "life_saving_rule", "source")
 
 
 def _scratch(t: Tables) -> str:
-    """A new folder in the shared place the cluster names; a local one only where none is named."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/scratch-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder in the shared place the cluster names."""
+    return f"{shared_folder(t.spark)}/scratch-{uuid.uuid4().hex}"
 
 
 @query("n4_weekly_stream", "SELECT CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS report_count, count_if(value > 50) AS sif_count FROM events GROUP BY 1")

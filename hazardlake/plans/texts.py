@@ -37,7 +37,7 @@ def collapsed(column: str) -> str:
 
 _Z = "replace(" + collapsed("report_text") + ", chr(8203), '')"
 TEXTS = views("texts") + f""",
-clean AS (SELECT doc_id, lang, source, report_text, nullif(trim(CASE WHEN length({_Z}) > 50000 THEN substr({_Z}, 1, 50000) || '...' ELSE {_Z} END), '') AS clean_text FROM texts),
+clean AS (SELECT doc_id, lang, source, report_text, nullif(trim({_Z}), '') AS clean_text FROM texts),
 low AS (SELECT *, lower(clean_text) AS low_text FROM clean)
 """
 FP_SQL = r"trim(regexp_replace(lower({0}), '[^a-z0-9\x{{900}}-\x{{9ff}}]+', ' ', 'g'))"
@@ -50,8 +50,8 @@ def clean_texts(t: Tables):
 # ---- B: cleaning ------------------------------------------------------------
 
 @query("b6_site_detail", """
-SELECT o_orderkey AS id, substr(CASE WHEN o_orderkey % 4 = 0 THEN o_orderstatus WHEN o_orderkey % 4 = 1 THEN o_orderstatus
-  ELSE o_orderstatus || ' · ' || o_orderpriority END, 1, 128) AS site FROM orders""")
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN o_orderstatus WHEN o_orderkey % 4 = 1 THEN o_orderstatus
+  ELSE o_orderstatus || ' · ' || o_orderpriority END AS site FROM orders""")
 def _(t: Tables):
     detail = F.when(F.col("o_orderkey") % 4 == 0, "n/a").when(F.col("o_orderkey") % 4 == 1, "  ").otherwise(F.col("o_orderpriority"))
     return t.raw("orders").select(F.col("o_orderkey").alias("id"), nm.merged_site(F.col("o_orderstatus"), detail).alias("site"))
@@ -99,8 +99,8 @@ def _(t: Tables):
 
 @query("b12_normalise_row", f"""
 WITH r AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN source || '.' ELSE text END AS title, text, source, lang FROM documents)
-SELECT doc_id, substr(trim(concat_ws(' ', CASE WHEN trim(coalesce(title, ''), {BLANKS_SQL}) NOT IN ('', trim(text, {BLANKS_SQL})) THEN rtrim(trim(title, {BLANKS_SQL}), '.') || '.' END, nullif(trim(text, {BLANKS_SQL}), '')), {BLANKS_SQL}), 1, 20000) AS report_text,
-  substr(source, 1, 128) AS site, substr(lang, 1, 32) AS report_type FROM r""")
+SELECT doc_id, trim(concat_ws(' ', CASE WHEN trim(coalesce(title, ''), {BLANKS_SQL}) NOT IN ('', trim(text, {BLANKS_SQL})) THEN rtrim(trim(title, {BLANKS_SQL}), '.') || '.' END, nullif(trim(text, {BLANKS_SQL}), '')), {BLANKS_SQL}) AS report_text,
+  source AS site, lang AS report_type FROM r""")
 def _(t: Tables):
     k = F.col("doc_id") % 3
     rows = t.raw("documents").withColumn("title", F.when(k == 1, F.concat("source", F.lit("."))).when(k == 2, F.col("text")))
@@ -205,7 +205,7 @@ def _(t: Tables):
 
 
 @query("b22_source_label", views("reports") + """
-SELECT id, substr('upload:' || source_id, 1, 64) AS label, CASE WHEN starts_with(source, 'upload:') THEN substr(source, 8) ELSE source END AS shown FROM reports""")
+SELECT id, 'upload:' || source_id AS label, CASE WHEN starts_with(source, 'upload:') THEN substr(source, 8) ELSE source END AS shown FROM reports""")
 def _(t: Tables):
     from hazardlake.operators.registry import display_source
     return t.reports.select("id", nm.source_label(F.col("source_id")).alias("label"), display_source(F.col("source")).alias("shown"))

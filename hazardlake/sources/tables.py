@@ -136,6 +136,8 @@ class Tables:
                         F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("reviewer"),
                         decision.alias("decision"),
                         F.when(F.col("event_id") % 4 == 0, F.col("props")).alias("comments"),
+                        F.when(F.col("event_id") % 6 == 0, F.lit("Hot Work Safety")).alias("corrected_rule"),
+                        F.when(F.col("event_id") % 10 == 0, F.lit("HIGH")).alias("corrected_priority"),
                         F.col("ts").alias("reviewed_at")))
 
     REVIEWS_SQL = """reviews AS (
@@ -143,7 +145,8 @@ class Tables:
         'user ' || user_id AS reviewer,
         CASE event_type WHEN 'view' THEN 'confirmed' WHEN 'error' THEN 'rejected' WHEN 'signup' THEN 'edited'
           WHEN 'click' THEN 'reviewed' END AS decision,
-        CASE WHEN event_id % 4 = 0 THEN props END AS comments, ts AS reviewed_at
+        CASE WHEN event_id % 4 = 0 THEN props END AS comments, CASE WHEN event_id % 6 = 0 THEN 'Hot Work Safety' END AS corrected_rule,
+        CASE WHEN event_id % 10 = 0 THEN 'HIGH' END AS corrected_priority, ts AS reviewed_at
       FROM events)"""
 
     @cached_property

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from hazardlake.operators.dedupe import text_key
 from hazardlake.operators.normalise import import_counters
+from hazardlake.operators.ranking import group_positions
 from hazardlake.plans.imports import import_reports
 
 
@@ -29,12 +31,16 @@ def import_stream(rows: DataFrame, store_path: str, counters_path: str, checkpoi
         store = read_store()
         if store is not None and "batch_id" in store.columns:
             store = store.filter(F.col("batch_id") != batch_id)
-        done = import_reports(batch, store, source="stream")
-        stamped = done.withColumns({"id": F.lit(batch_id) * F.lit(1 << 40) + F.col("row_no"),
-                                    "report_id": F.concat(F.lit(f"RPT-{batch_id:04d}-"), F.col("row_no").cast("string"))})
-        kept = stamped.filter(F.col("import_state") == "new").drop("priority_factors", "matches", "rule_conditions", "modified_fields", "evidence")
+        done = import_reports(batch, store, source="stream").persist(StorageLevel.DISK_ONLY)  # analysed once for store and counters
+        new = done.filter(F.col("import_state") == "new")
+        # Positions inside the batch stay far below 2^40, whatever the partitions were.
+        placed = group_positions(new.select("row_no"), [], ["row_no"])
+        kept = new.join(placed, "row_no").withColumns({"id": F.lit(batch_id) * F.lit(1 << 40) + F.col("position"),
+                                                       "report_id": F.concat(F.lit(f"RPT-{batch_id:04d}-"), F.col("position").cast("string"))}).drop("position")
         kept.write.mode("overwrite").parquet(f"{store_path}/batch_id={batch_id}")
         import_counters(done).write.mode("overwrite").parquet(f"{counters_path}/batch_id={batch_id}")
+        done.filter(F.col("import_state") != "new").select("row_no", "import_state", "duplicate_of", "source_id", "text_key").write.mode("overwrite").parquet(f"{store_path}_left_out/batch_id={batch_id}")
+        done.unpersist()
 
     return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

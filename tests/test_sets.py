@@ -112,3 +112,31 @@ def test_variants_are_new_and_distinct(spark):
     made = ds.text_variants(seeds, "text", "id", "rule", 5).collect()
     texts = [r["variant_text"] for r in made]
     assert made and len(set(texts)) == len(texts) and not set(texts) & {r["text"] for r in seeds.collect()}
+
+
+def test_nothing_is_cut(spark):
+    from hazardlake.operators import feedback as fb
+    from hazardlake.operators import registry as rg
+    from hazardlake.plans.imports import import_reports
+    dated = spark.range(15_000).withColumn("date", F.lit("2024-01-01").cast("date"))
+    assert rg.newest_first(dated, 12_000).count() == 12_000
+    tail = "calm weather here. " * 4_000 + "The lockout tag was missing on breaker 7 while the electrician worked."
+    done = import_reports(spark.createDataFrame([(tail, "S" * 300)], "Description string, Site string"), source="a" * 200).first()
+    assert done["report_text"] == tail and done["site"] == "S" * 300 and len(done["source"]) == 207 and done["sif_potential"]
+    reviews = spark.createDataFrame([(1, 7, "confirmed", "Hot Work Safety", None), (2, 7, None, None, "LOW")], "id long, report_pk long, decision string, corrected_rule string, corrected_priority string")
+    findings = spark.createDataFrame([(7, True, "Line of Fire", "HIGH")], "report_pk long, sif_potential boolean, life_saving_rule string, priority string")
+    assert [(r["human_rule"], r["human_priority"]) for r in fb.capture(reviews, findings).orderBy("id").collect()] == [("Hot Work Safety", "HIGH"), ("Line of Fire", "LOW")]
+
+
+def test_signals_of_both_directions(spark):
+    from hazardlake.operators import feedback as fb
+    rows = [(True, False, " ".join(f"valve leak{i} tank" for i in range(30)))] + [(False, True, "pump guard fine")]
+    mined = fb.mine_signals(spark.createDataFrame(rows, "human_sif boolean, ai_sif boolean, report_text string"), ["valve", "pump"], k=5).collect()
+    assert sorted(r["direction"] for r in mined)[:5] == ["+"] * 5 and {"pump guard"} <= {r["phrase"] for r in mined if r["direction"] == "-"}
+
+
+def test_import_numbers_hold_in_many_partitions(spark):
+    from hazardlake.plans.imports import import_reports
+    rows = spark.range(600).select(F.concat(F.lit("Worker slipped near pump "), (F.col("id") % 200).cast("string")).alias("Description")).repartition(200)
+    states = import_reports(rows).groupBy("import_state").count().collect()
+    assert {r["import_state"]: r["count"] for r in states} == {"new": 200, "duplicate": 400}
