@@ -101,24 +101,25 @@ def _scratch(t: Tables) -> str:
 def _(t: Tables):
     schema = t.raw("events").schema
     rows = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
-    return _drain(t, arrivals.weekly_stream(rows.withColumns({"sif": F.col("value") > 50, "ts": F.col("ts").cast("timestamp")}), "ts", "sif"), "complete")
+    return _drain(t, arrivals.weekly_stream(rows.withColumns({"sif": F.col("value") > 50, "ts": F.col("ts").cast("timestamp")}), "ts", "sif"), "week")
 
 
-@query("n6_review_state", "SELECT event_id % 1000 AS report_pk, arg_max(event_type, event_id) AS decision, max(event_id) AS review_id FROM events GROUP BY 1")
+@query("n6_review_state", "SELECT user_id AS report_pk, arg_max(event_type, event_id) AS decision, max(event_id) AS review_id FROM events GROUP BY 1")
 def _(t: Tables):
     rows = t.spark.readStream.schema(t.raw("events").schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
-    reviews = rows.select(F.col("event_id").alias("id"), (F.col("event_id") % 1000).alias("report_pk"), F.col("event_type").alias("decision"))
-    return _drain(t, arrivals.review_state_stream(reviews), "complete")
+    reviews = rows.select(F.col("event_id").alias("id"), F.col("user_id").alias("report_pk"), F.col("event_type").alias("decision"))
+    return _drain(t, arrivals.review_state_stream(reviews), "report_pk")
 
 
-def _drain(t: Tables, out: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there and return its last state from a written table."""
+def _drain(t: Tables, out: DataFrame, key: str) -> DataFrame:
+    """Run a stream over what is there; each batch writes the rows that changed, and the last one of a key holds."""
     folder = _scratch(t)
-    step = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out")
-    run = (out.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", f"{folder}/ckpt")
+    step = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+    run = (out.writeStream.foreachBatch(step).outputMode("update").option("checkpointLocation", f"{folder}/ckpt")
            .trigger(availableNow=True).start())
     run.awaitTermination()
-    return t.spark.read.parquet(f"{folder}/out")
+    changed = t.spark.read.parquet(f"{folder}/out")
+    return changed.groupBy(key).agg(F.max_by(F.struct(*[c for c in out.columns if c != key]), "batch").alias("now")).select(key, "now.*")
 
 
 # ---- A: files written from the tables and read back ---------------------------
@@ -131,12 +132,14 @@ def _(t: Tables):
     return files.read_delimited(t.spark, path).select("conv_id", "turn", "role", F.md5(F.trim("text")).alias("text"))
 
 
-@query("a5_chunk_scan", "SELECT o_orderstatus, count(*) AS n, true AS named FROM orders GROUP BY 1")
+@query("a5_chunk_scan", "SELECT o_orderstatus, count(*) AS n, sum(o_orderkey) AS keys, true AS named FROM orders GROUP BY 1")
 def _(t: Tables):
     path = f"{_scratch(t)}/chunks"
-    t.raw("orders").select("o_orderkey", "o_orderstatus").repartition(4).write.csv(path, header=True)
+    t.raw("orders").select("o_orderkey", "o_orderstatus").filter("o_orderkey % 3 <> 0").repartition(4).write.csv(path, header=True)
+    # other files have the columns the other way round
+    t.raw("orders").select("o_orderstatus", "o_orderkey").filter("o_orderkey % 3 = 0").repartition(2).write.mode("append").csv(path, header=True)
     read = files.read_chunks(t.spark, path)
-    return read.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("source_file").endswith(".csv")).alias("named"))
+    return read.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_orderkey").cast("long")).alias("keys"), F.min(F.col("source_file").endswith(".csv")).alias("named"))
 
 
 @query("a8_append_store", views("reports") + "SELECT source, 2 * count(*) AS n FROM reports GROUP BY 1")
@@ -147,6 +150,13 @@ def _(t: Tables):
     return t.spark.read.parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("a9_export", views("findings") + "SELECT CAST(report_pk AS VARCHAR) AS report_pk, CASE WHEN sif_potential THEN 'Yes' ELSE 'No' END AS sif_potential, printf('%.2f', confidence) AS confidence, coalesce(hazard, '') AS hazard FROM findings")
+def _(t: Tables):
+    path = f"{_scratch(t)}/export"
+    files.write_export(t.findings, ["report_pk", "sif_potential", "confidence", "hazard"], path)
+    return files.read_delimited(t.spark, path, multiline=False).select("report_pk", "sif_potential", "confidence", F.coalesce("hazard", F.lit("")).alias("hazard"))
+
+
 @query("a10_split_sink", "SELECT CASE WHEN o_orderkey % 10 < 6 THEN 'train' WHEN o_orderkey % 10 < 8 THEN 'validation' ELSE 'test' END AS split, count(*) AS n FROM orders GROUP BY 1")
 def _(t: Tables):
     path = f"{_scratch(t)}/splits"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,8 +13,9 @@ from hazardlake.operators.normalise import normalise
 from hazardlake.operators.registry import export_rows
 
 # File kinds read directly; column names tried in order for text and label.
-EXTENSIONS = ["csv", "tsv", "txt", "json"]
+EXTENSIONS = ["csv", "tsv", "txt", "json", "jsonl"]
 TEXT_COLUMNS = ["description", "report_text", "text"]
+BOM = "\ufeff"
 LABEL_COLUMNS = ["sif_potential", "expect_sif", "target", "label"]
 
 
@@ -23,10 +26,13 @@ def separator(spark: SparkSession, path: str) -> str:
     return "\t" if "\t" in line and "," not in line else ","
 
 
-def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """All cells as text; rows without any content are dropped."""
-    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', sep=separator(spark, path), encoding="UTF-8")
-    clean = df.toDF(*[c.removeprefix("﻿") for c in df.columns])
+def read_delimited(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """All cells as text; rows without any content are dropped.
+
+    Cells with line breaks need ``multiline``, which reads a file in one task; turn it off to have large files split.
+    """
+    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=multiline, escape='"', sep=separator(spark, path), encoding="UTF-8")
+    clean = df.toDF(*[c.removeprefix(BOM) for c in df.columns])
     return clean.filter(F.exists(F.array(*[F.col(f"`{c}`") for c in clean.columns]), lambda v: F.trim(F.coalesce(v, F.lit(""))) != ""))
 
 
@@ -45,13 +51,29 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     kind = path.rsplit(".", 1)[-1].lower()
     if kind not in EXTENSIONS:
         raise ValueError(f"Unsupported file type: {kind}")
+    if kind == "jsonl":  # an object on each line: split like any text
+        return spark.read.json(path)
     return read_json_rows(spark, path) if kind == "json" else read_delimited(spark, path)
 
 
-def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """All CSV files of a folder with their file name."""
-    return spark.read.csv(f"{folder}/*.csv", header=True, inferSchema=False, multiLine=True, escape='"').withColumn(
-        "source_file", F.col("_metadata.file_name"))
+def read_chunks(spark: SparkSession, folder: str, multiline: bool = True) -> DataFrame:
+    """All CSV files of a folder with their file name, columns matched by name.
+
+    Files with one header are read together, and the groups are united by name; a column that a file lacks is null there.
+    """
+    lines = spark.read.text(f"{folder}/*.csv").select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    first = lines.filter("block = 0").withColumn("at", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "at").alias("header")).collect()  # a row for each file
+    alike: dict[str, list[str]] = {}
+    for r in sorted(first, key=lambda r: r["path"]):
+        alike.setdefault(r["header"].removeprefix(BOM), []).append(unquote(r["path"]))
+    read = None
+    for paths in alike.values():
+        part = spark.read.csv(paths, header=True, inferSchema=False, multiLine=multiline, escape='"')
+        part = part.toDF(*[c.removeprefix(BOM) for c in part.columns]).withColumn("source_file", F.col("_metadata.file_name"))
+        read = part if read is None else read.unionByName(part, allowMissingColumns=True)
+    if read is None:
+        raise ValueError(f"no CSV files in {folder}")
+    return read
 
 
 def from_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
@@ -75,9 +97,9 @@ def labelled_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({"case_text": pick(TEXT_COLUMNS), "case_label": pick(LABEL_COLUMNS)})
 
 
-def append_reports(df: DataFrame, path: str, partition: str = "source") -> None:
-    """Append to the store; rows are gathered by partition value with a salt, so one hot source writes from many tasks."""
-    salted = df.repartition(F.col(partition), F.pmod(F.xxhash64("report_text"), F.lit(32)))
+def append_reports(df: DataFrame, path: str, partition: str = "source", writers: int = 32) -> None:
+    """Append to the store; rows are gathered by partition value with a salt, so ``writers`` tasks share one hot source."""
+    salted = df.repartition(F.col(partition), F.pmod(F.xxhash64("report_text"), F.lit(writers)))
     salted.write.mode("append").partitionBy(partition).parquet(path)
 
 
