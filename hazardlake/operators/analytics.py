@@ -49,17 +49,32 @@ def rule_distribution(findings: DataFrame, rules: list[str]) -> DataFrame:
     return filled.withColumn("percentage", percent(F.col("sif_count"), F.sum("sif_count").over(Window.partitionBy())))
 
 
-def top_values(df: DataFrame, group: str, value: str, k: int = 3) -> DataFrame:
-    """The k most frequent values per group as one ordered list.
+def value_pairs(rows: DataFrame, group: str, values: dict[str, str], *keep: str) -> DataFrame:
+    """A row for each named value of a row, and one without a name for the row itself; ``keep`` columns stay with that one."""
+    kept = lambda on: [F.col(c).alias(c) if on else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in keep]
+    parts = [F.struct(F.lit("").alias("name"), F.lit(None).cast("string").alias("value"), *kept(True))]
+    parts += [F.struct(F.lit(n).alias("name"), F.col(c).alias("value"), *kept(False)) for n, c in values.items()]
+    return rows.select(group, F.explode(F.array(*parts)).alias("p")).select(group, "p.*").filter("name = '' OR value IS NOT NULL")
+
 
-    Counts come first, so the ranking window only sees distinct (group, value) pairs; its
-    rank limit is applied before the shuffle as well.
+def ranked_lists(pairs: DataFrame, group: str, names: list[str], counts: dict[str, Column], k: int = 3) -> DataFrame:
+    """Per group its counts and, for each name, its k most frequent values; ties go to the smaller value.
+
+    One pass over ``pairs``: one aggregate per (group, name, value), a rank among the distinct values whose limit also
+    runs before its shuffle, and one row per group.
     """
-    counts = (df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n")))
-    order = Window.partitionBy(group).orderBy(F.desc("_n"), F.col(value))
-    top = counts.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("_rank", F.col(value).alias("v")))), lambda s: s["v"])
-    return top.groupBy(group).agg(listed.alias("values"))
+    per = pairs.groupBy(group, "name", "value").agg(F.count(F.lit(1)).alias("_n"), *[c.alias(f"_c_{n}") for n, c in counts.items()])
+    order = Window.partitionBy(group, "name").orderBy(F.desc("_n"), "value")
+    top = per.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k)
+    itself = F.col("name") == ""
+    listed = lambda n: F.transform(F.array_sort(F.collect_list(F.when(F.col("name") == n, F.struct("_rank", "value")))), lambda s: s["value"])
+    return top.groupBy(group).agg(F.max(F.when(itself, F.col("_n"))).alias("n"), *[F.max(F.when(itself, F.col(f"_c_{n}"))).alias(n) for n in counts],
+                                  *[listed(n).alias(n) for n in names])
+
+
+def top_values(df: DataFrame, group: str, value: str, k: int = 3) -> DataFrame:
+    """The k most frequent values per group as one ordered list; groups without a value are left out."""
+    return ranked_lists(value_pairs(df, group, {"values": value}), group, ["values"], {}, k).select(group, "values").filter(F.size("values") > 0)
 
 
 def first_ids(df: DataFrame, group: list[str], id_col: str = "id", k: int = 3) -> DataFrame:
@@ -69,34 +84,22 @@ def first_ids(df: DataFrame, group: list[str], id_col: str = "id", k: int = 3) -
     return top.groupBy(*group).agg(F.array_sort(F.collect_list(id_col)).alias("examples"))
 
 
-def _join_lists(base: DataFrame, group: str, parts: dict[str, DataFrame]) -> DataFrame:
-    """Attach list columns; all sides are aggregates with one row per group."""
-    out = base
-    for name, part in parts.items():
-        out = out.join(part.withColumnRenamed("values", name), group, "left").withColumn(
-            name, F.coalesce(name, F.array().cast("array<string>")))
-    return out
-
-
 def site_risk(reports: DataFrame, findings: DataFrame) -> DataFrame:
     rows = reports.filter(F.col("site").isNotNull()).select("id", "site").join(
-        findings.filter("sif_potential"), F.col("id") == F.col("report_pk")).select(
-        "site", "hazard", "life_saving_rule", "priority")
-    base = rows.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("priority") == "HIGH").alias("high"))
-    return _join_lists(base, "site", {"main_hazards": top_values(rows, "site", "hazard"),
-                                      "main_rules": top_values(rows, "site", "life_saving_rule")})
+        findings.filter("sif_potential"), F.col("id") == F.col("report_pk")).select("site", "hazard", "life_saving_rule", "priority")
+    lists = {"main_hazards": "hazard", "main_rules": "life_saving_rule"}
+    return ranked_lists(value_pairs(rows, "site", lists, "priority"), "site", list(lists), {"high": F.count_if(F.col("priority") == "HIGH")})
 
 
 def activity_risk(findings: DataFrame, barrier_rows: DataFrame) -> DataFrame:
-    rows = findings.filter("sif_potential").withColumn(
-        "activity", F.coalesce(F.nullif("analysis_activity", F.lit("")), F.lit("Not specified")))
-    level = F.coalesce("priority", F.lit("LOW"))
-    base = rows.groupBy("activity").agg(
-        F.count(F.lit(1)).alias("n"), *[F.count_if(level == p).alias(f"n_{p.lower()}") for p in ("HIGH", "MEDIUM", "LOW")])
-    barriers = rows.select("report_pk", "activity").join(barrier_rows, "report_pk")
-    return _join_lists(base, "activity", {
-        "main_hazards": top_values(rows, "activity", "hazard"), "main_barriers": top_values(barriers, "activity", "barrier"),
-        "main_rules": top_values(rows, "activity", "life_saving_rule")})
+    rows = findings.filter("sif_potential").select(
+        "report_pk", F.coalesce(F.nullif("analysis_activity", F.lit("")), F.lit("Not specified")).alias("activity"), "hazard", "life_saving_rule",
+        F.coalesce("priority", F.lit("LOW")).alias("level"))
+    pairs = value_pairs(rows, "activity", {"main_hazards": "hazard", "main_rules": "life_saving_rule"}, "level")
+    barriers = rows.select("report_pk", "activity").join(barrier_rows, "report_pk").select(
+        "activity", F.lit("main_barriers").alias("name"), F.col("barrier").alias("value"), F.lit(None).cast("string").alias("level"))
+    counts = {f"n_{p.lower()}": F.count_if(F.col("level") == p) for p in ("HIGH", "MEDIUM", "LOW")}
+    return ranked_lists(pairs.unionByName(barriers), "activity", ["main_hazards", "main_barriers", "main_rules"], counts)
 
 
 def priority_map(findings: DataFrame) -> DataFrame:
@@ -112,10 +115,8 @@ def barrier_analysis(reports: DataFrame, findings: DataFrame, barrier_rows: Data
     """Every analysis counts here, SIF or not."""
     rows = (barrier_rows.join(findings.select("report_pk", "analysis_activity", "life_saving_rule"), "report_pk")
             .join(reports.select(F.col("id").alias("report_pk"), "site"), "report_pk"))
-    base = rows.groupBy("barrier").agg(F.count(F.lit(1)).alias("n"))
-    out = _join_lists(base, "barrier", {
-        "sites": top_values(rows, "barrier", "site"), "activities": top_values(rows, "barrier", "analysis_activity"),
-        "rules": top_values(rows, "barrier", "life_saving_rule")})
+    lists = {"sites": "site", "activities": "analysis_activity", "rules": "life_saving_rule"}
+    out = ranked_lists(value_pairs(rows, "barrier", lists), "barrier", list(lists), {})
     return out.join(first_ids(rows, ["barrier"], "report_pk"), "barrier", "left")
 
 
