@@ -23,17 +23,6 @@ _PROFILE_WORD = re.compile(r"[a-z0-9]+")
 _SIGNAL_WORD = re.compile(r"[a-z0-9']+|[ऀ-৿]+")
 
 
-def _sections(block: str) -> dict[str, list[str]]:
-    """Read ``[heading]`` blocks with one entry per line."""
-    found: dict[str, list[str]] = {}
-    for line in block.strip().splitlines():
-        if line.startswith("["):
-            entries = found.setdefault(line[1:-1], [])
-        elif line:
-            entries.append(line)
-    return found
-
-
 def _anchored(entries: list[dict], shortest: int = 4) -> list[dict]:
     """Group phrases under a small set of shared word beginnings.
 
@@ -59,9 +48,9 @@ def _anchored(entries: list[dict], shortest: int = 4) -> list[dict]:
 @dataclass(frozen=True)
 class Lexicon:
     rules: list[dict] = field(default_factory=lambda: english.RULES)
-    indicator_block: str = english.INDICATORS
+    indicator_phrases: dict[str, list[tuple[str, bool]]] = field(default_factory=lambda: english.INDICATORS)
     conditions: dict[str, list[dict]] = field(default_factory=lambda: cond_vocab.RULE_CONDITIONS)
-    phrases: list[tuple[str, str]] = field(default_factory=lambda: foreign.PHRASES)
+    phrases: list[tuple[str, dict[str, list[str]]]] = field(default_factory=lambda: foreign.PHRASES)
 
     @cached_property
     def rule_names(self) -> list[str]:
@@ -71,10 +60,8 @@ class Lexicon:
     def indicators(self) -> list[dict]:
         """One entry per distinct (rule, phrase, negation need), in lexicon order."""
         seen, out = set(), []
-        for rule, lines in _sections(self.indicator_block).items():
-            for line in lines:
-                needs = line.endswith(" *")
-                phrase = line[:-2] if needs else line
+        for rule, phrases in self.indicator_phrases.items():
+            for phrase, needs in phrases:
                 if (rule, phrase, needs) in seen:
                     continue
                 seen.add((rule, phrase, needs))
@@ -88,8 +75,8 @@ class Lexicon:
     @cached_property
     def foreign_phrases(self) -> list[dict]:
         out = []
-        for lang, block in self.phrases:
-            for rule, lines in _sections(block).items():
+        for lang, per_rule in self.phrases:
+            for rule, lines in per_rule.items():
                 if rule not in self.rule_names:
                     continue
                 for phrase in lines:
@@ -100,9 +87,7 @@ class Lexicon:
     @cached_property
     def profile_weights(self) -> list[dict]:
         """Weight (count capped at three) of each profile word per rule."""
-        by_rule = {}
-        for entry in _sections(self.indicator_block).items():
-            by_rule[entry[0]] = [line.removesuffix(" *") for line in entry[1]]
+        by_rule = {rule: [phrase for phrase, _ in phrases] for rule, phrases in self.indicator_phrases.items()}
         out = []
         for number, rule in enumerate(self.rules):
             words = [rule["name"], rule["hazard"], rule["consequence"], rule["description"], rule["follow_up"]]

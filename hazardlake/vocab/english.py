@@ -89,216 +89,226 @@ RULES = [
     },
 ]
 
-# Indicator phrases per rule.
-INDICATORS = """
-[Energy Isolation]
-without isolating
-failed to isolate
-did not isolate
-not isolated
-no isolation
-no lockout
-without lockout
-without tagout
-no tagout
-lockout not
-lockout was missing
-loto tag was missing
-bypassed the lockout
-defeated the lockout
-bypassed the isolation
-still energized
-still energised
-without de-energiz
-not de-energiz
-without depressuriz
-not depressuriz
-under pressure
-pressurized
-pressurised
-live line
-live pipeline
-isolat *
-lockout *
-tagout *
-energiz *
-de-energiz *
-live panel
-live wire
-live circuit
-energized circuit
-energised circuit
-without switching off
-not switched off
-exposed live wires
-no barricade
-without barricade
-electrician *
-electrical *
-circuit *
-breaker *
-voltage *
-rated gloves *
-[Confined Space Entry]
-without gas test
-without gas testing
-no gas test
-no gas testing
-not tested for gas
-no atmospheric test
-oxygen levels *
-gas testing *
-gas test *
-confined space *
-entered the tank
-entered the vessel
-tank entry
-vessel entry
-manhole *
-standby man *
-rescue equipment *
-[Hot Work Safety]
-without hot work permit
-no hot work permit
-hot work *
-welding *
-welded *
-grinding *
-sparks
-cutting torch
-oxy-acetylene
-near fuel
-fuel storage
-combustible
-flammable
-hot work permit *
-fire watch *
-[Working at Height]
-working at height *
-work at height *
-without a harness
-without harness
-no harness
-no fall protection
-without fall protection
-lacked guardrails
-no guardrails
-open edge
-open pit
-dropped from
-dropped object
-climbed the ladder
-without anyone holding
-harness *
-fall protection *
-guardrail *
-guard rails *
-scaffold *
-ladder *
-roof *
-elevated *
-[Line of Fire]
-line of fire
-in the path
-under the suspended load
-walked under
-stood under
-near the moving
-while the crane
-whipped
-whipping
-reversing
-pressure test
-blowback
-blew off
-almost hit
-nearly hit
-[Safe Mechanical Lifting]
-beyond its rated capacity
-overloaded
-no banksman
-without banksman
-raised load
-suspended load *
-crane *
-sling *
-lifting *
-lifted *
-forklift *
-rigging *
-hoist *
-load chart *
-banksman *
-[Driving Safety]
-speeding
-nearly hit the pedestrian
-almost hit the pedestrian
-reversing
-reversed
-without a spotter
-no spotter
-did not follow the speed limit
-tanker *
-tanker *
-vehicle *
-truck *
-driver *
-pedestrian *
-loading bay *
-yard *
-collision *
-blind spot *
-[Toxic Gas Safety]
-hydrogen sulfide
-h2s
-sour gas
-sour crude
-toxic gas
-no gas detector
-without gas detector
-gas detector not worn
-no scba
-without breathing apparatus
-benzene exposure
-gas leak
-gas alarm
-h2s alarm
-detector *
-breathing apparatus *
-gas detector *
-gas monitoring *
-h2s *
-[Bypassing Safety Controls]
-bypassed
-defeated the interlock
-guard was removed
-guard was missing
-guard removed
-removed the guard
-interlock was defeated
-emergency stop *
-interlock *
-machine guard *
-guard *
-disabled *
-[Work Authorization]
-without permit
-without a permit
-no permit
-without shoring
-no shoring
-without authorisation
-without authorization
-not authorized
-unauthorized work
-unauthorised work
-excavation *
-trench *
-shoring *
-buried *
-permit to work *
-ptw *
-"""
+# Indicator phrases per rule, and whether they count only beside a negation.
+INDICATORS = {
+    'Energy Isolation': [
+        ('without isolating', False),
+        ('failed to isolate', False),
+        ('did not isolate', False),
+        ('not isolated', False),
+        ('no isolation', False),
+        ('no lockout', False),
+        ('without lockout', False),
+        ('without tagout', False),
+        ('no tagout', False),
+        ('lockout not', False),
+        ('lockout was missing', False),
+        ('loto tag was missing', False),
+        ('bypassed the lockout', False),
+        ('defeated the lockout', False),
+        ('bypassed the isolation', False),
+        ('still energized', False),
+        ('still energised', False),
+        ('without de-energiz', False),
+        ('not de-energiz', False),
+        ('without depressuriz', False),
+        ('not depressuriz', False),
+        ('under pressure', False),
+        ('pressurized', False),
+        ('pressurised', False),
+        ('live line', False),
+        ('live pipeline', False),
+        ('isolat', True),
+        ('lockout', True),
+        ('tagout', True),
+        ('energiz', True),
+        ('de-energiz', True),
+        ('live panel', False),
+        ('live wire', False),
+        ('live circuit', False),
+        ('energized circuit', False),
+        ('energised circuit', False),
+        ('without switching off', False),
+        ('not switched off', False),
+        ('exposed live wires', False),
+        ('no barricade', False),
+        ('without barricade', False),
+        ('electrician', True),
+        ('electrical', True),
+        ('circuit', True),
+        ('breaker', True),
+        ('voltage', True),
+        ('rated gloves', True),
+    ],
+    'Confined Space Entry': [
+        ('without gas test', False),
+        ('without gas testing', False),
+        ('no gas test', False),
+        ('no gas testing', False),
+        ('not tested for gas', False),
+        ('no atmospheric test', False),
+        ('oxygen levels', True),
+        ('gas testing', True),
+        ('gas test', True),
+        ('confined space', True),
+        ('entered the tank', False),
+        ('entered the vessel', False),
+        ('tank entry', False),
+        ('vessel entry', False),
+        ('manhole', True),
+        ('standby man', True),
+        ('rescue equipment', True),
+    ],
+    'Hot Work Safety': [
+        ('without hot work permit', False),
+        ('no hot work permit', False),
+        ('hot work', True),
+        ('welding', True),
+        ('welded', True),
+        ('grinding', True),
+        ('sparks', False),
+        ('cutting torch', False),
+        ('oxy-acetylene', False),
+        ('near fuel', False),
+        ('fuel storage', False),
+        ('combustible', False),
+        ('flammable', False),
+        ('hot work permit', True),
+        ('fire watch', True),
+    ],
+    'Working at Height': [
+        ('working at height', True),
+        ('work at height', True),
+        ('without a harness', False),
+        ('without harness', False),
+        ('no harness', False),
+        ('no fall protection', False),
+        ('without fall protection', False),
+        ('lacked guardrails', False),
+        ('no guardrails', False),
+        ('open edge', False),
+        ('open pit', False),
+        ('dropped from', False),
+        ('dropped object', False),
+        ('climbed the ladder', False),
+        ('without anyone holding', False),
+        ('harness', True),
+        ('fall protection', True),
+        ('guardrail', True),
+        ('guard rails', True),
+        ('scaffold', True),
+        ('ladder', True),
+        ('roof', True),
+        ('elevated', True),
+    ],
+    'Line of Fire': [
+        ('line of fire', False),
+        ('in the path', False),
+        ('under the suspended load', False),
+        ('walked under', False),
+        ('stood under', False),
+        ('near the moving', False),
+        ('while the crane', False),
+        ('whipped', False),
+        ('whipping', False),
+        ('reversing', False),
+        ('pressure test', False),
+        ('blowback', False),
+        ('blew off', False),
+        ('almost hit', False),
+        ('nearly hit', False),
+    ],
+    'Safe Mechanical Lifting': [
+        ('beyond its rated capacity', False),
+        ('overloaded', False),
+        ('no banksman', False),
+        ('without banksman', False),
+        ('raised load', False),
+        ('suspended load', True),
+        ('crane', True),
+        ('sling', True),
+        ('lifting', True),
+        ('lifted', True),
+        ('forklift', True),
+        ('rigging', True),
+        ('hoist', True),
+        ('load chart', True),
+        ('banksman', True),
+    ],
+    'Driving Safety': [
+        ('speeding', False),
+        ('nearly hit the pedestrian', False),
+        ('almost hit the pedestrian', False),
+        ('reversing', False),
+        ('reversed', False),
+        ('without a spotter', False),
+        ('no spotter', False),
+        ('did not follow the speed limit', False),
+        ('tanker', True),
+        ('tanker', True),
+        ('vehicle', True),
+        ('truck', True),
+        ('driver', True),
+        ('pedestrian', True),
+        ('loading bay', True),
+        ('yard', True),
+        ('collision', True),
+        ('blind spot', True),
+    ],
+    'Toxic Gas Safety': [
+        ('hydrogen sulfide', False),
+        ('h2s', False),
+        ('sour gas', False),
+        ('sour crude', False),
+        ('toxic gas', False),
+        ('no gas detector', False),
+        ('without gas detector', False),
+        ('gas detector not worn', False),
+        ('no scba', False),
+        ('without breathing apparatus', False),
+        ('benzene exposure', False),
+        ('gas leak', False),
+        ('gas alarm', False),
+        ('h2s alarm', False),
+        ('detector', True),
+        ('breathing apparatus', True),
+        ('gas detector', True),
+        ('gas monitoring', True),
+        ('h2s', True),
+    ],
+    'Bypassing Safety Controls': [
+        ('bypassed', False),
+        ('defeated the interlock', False),
+        ('guard was removed', False),
+        ('guard was missing', False),
+        ('guard removed', False),
+        ('removed the guard', False),
+        ('interlock was defeated', False),
+        ('emergency stop', True),
+        ('interlock', True),
+        ('machine guard', True),
+        ('guard', True),
+        ('disabled', True),
+    ],
+    'Work Authorization': [
+        ('without permit', False),
+        ('without a permit', False),
+        ('no permit', False),
+        ('without shoring', False),
+        ('no shoring', False),
+        ('without authorisation', False),
+        ('without authorization', False),
+        ('not authorized', False),
+        ('unauthorized work', False),
+        ('unauthorised work', False),
+        ('excavation', True),
+        ('trench', True),
+        ('shoring', True),
+        ('buried', True),
+        ('permit to work', True),
+        ('ptw', True),
+    ],
+}
 
 # Tokens that mark a control as failed or missing.
 NEGATION_TOKENS = [
