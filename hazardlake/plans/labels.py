@@ -13,7 +13,7 @@ from hazardlake.operators import feedback as fb
 from hazardlake.operators import metrics as me
 from hazardlake.operators import similarity as sm
 from hazardlake.plans.catalog import query, views
-from hazardlake.plans.texts import FP_SQL, TEXTS, q
+from hazardlake.plans.texts import FP_SQL, TEXTS, collapsed, q
 from hazardlake.sources.tables import Tables
 
 # ---- J: similarity ------------------------------------------------------------
@@ -356,35 +356,39 @@ def _(t: Tables):
     return keys.agg(F.count(F.lit(1)).alias("total"), F.countDistinct("h").alias("kept"))
 
 
-@query("l3_abstract_rows", "SELECT 'OSHA-ABS-' || conv_id AS report_id, substr(string_agg(trim(text), ' ' ORDER BY turn), 1, 0) || 'Fatality' AS actual_severity FROM conversations GROUP BY conv_id")
+@query("l3_abstract_rows", f"SELECT 'OSHA-ABS-' || conv_id AS report_id, 'Fatality' AS actual_severity, {collapsed('joined')} AS description, 'osha_abstract' AS source_name FROM (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS joined FROM conversations GROUP BY conv_id)")
 def _(t: Tables):
     lines = t.raw("conversations").select(F.col("conv_id").cast("string").alias("SUMMARY_NR"), F.col("turn").cast("string").alias("LINE_NR"), F.col("text").alias("ABSTRACT_TEXT"))
-    return ds.map_abstract_lines(lines).select("report_id", "actual_severity")
+    return ds.map_abstract_lines(lines).select("report_id", "actual_severity", "description", "source_name")
 
 
-@query("l1_mine_accidents", """SELECT 'MSHA-' || o_custkey || '-' || strftime(o_orderdate, '%d/%m/%Y') || '-' || o_orderkey AS report_id, strftime(o_orderdate, '%Y-%m-%d') AS date_reported, o_orderpriority AS activity FROM orders""")
+@query("l1_mine_accidents", """SELECT 'MSHA-' || o_custkey || '-' || strftime(o_orderdate, '%d/%m/%Y') || '-' || o_orderkey AS report_id, o_custkey || '|' || strftime(o_orderdate, '%d/%m/%Y') || '|' || o_orderkey AS incident_id,
+  'MSHA mine accident' AS report_type, CASE WHEN o_orderkey % 4 <> 0 THEN 'Operator ' || o_custkey ELSE 'Owner ' || o_custkey END AS site_name, strftime(o_orderdate, '%Y-%m-%d') AS date_reported,
+  o_orderpriority AS activity, o_orderstatus || ' ' || o_orderkey AS description, 'DAYS AWAY' AS actual_severity, 'UG ' || o_orderstatus AS location_detail, 'msha' AS source_name FROM orders""")
 def _(t: Tables):
     raw = t.raw("orders").select(F.col("o_custkey").alias("MINE_ID"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("AI_DT"), F.col("o_orderkey").alias("DOCUMENT_NO"),
-                                 F.col("o_orderpriority").alias("AI_ACTY_DESC"), F.col("o_orderstatus").alias("AI_NARR"))
-    return ds.map_mine_accidents(raw).select("report_id", "date_reported", "activity")
+                                 F.col("o_orderpriority").alias("AI_ACTY_DESC"), F.concat("o_orderstatus", F.lit("  \t"), "o_orderkey").alias("AI_NARR"),
+                                 F.when(F.col("o_orderkey") % 4 != 0, F.concat(F.lit("Operator "), "o_custkey")).alias("OPERATOR_NAME"), F.concat(F.lit("Owner "), "o_custkey").alias("CONTROLLER_NAME"),
+                                 F.lit(" DAYS AWAY ").alias("INJ_DEGR_DESC"), F.concat(F.lit("UG "), "o_orderstatus").alias("UG_LOCATION"))
+    return ds.map_mine_accidents(raw)
 
 
-@query("l2_incident_summaries", "SELECT 'OSHA-SUM-' || event_id AS report_id, CASE WHEN event_type = 'error' THEN 'Fatality' ELSE '' END AS actual_severity, strftime(ts, '%Y-%m-%d') AS date_reported FROM events")
+@query("l2_incident_summaries", "SELECT 'OSHA-SUM-' || event_id AS report_id, CASE WHEN event_type = 'error' THEN 'Fatality' ELSE '' END AS actual_severity, strftime(ts, '%Y-%m-%d') AS date_reported, " + collapsed("props") + " AS description, 'OSHA incident summary' AS report_type, 'osha_summary' AS source_name FROM events")
 def _(t: Tables):
     raw = t.raw("events").select(F.col("event_id").alias("SUMMARY_NR"), F.col("ts").cast("string").alias("EVENT_DATE"), F.col("props").alias("EVENT_DESC"),
                                  F.when(F.col("event_type") == "error", "x").alias("FATALITY"))
-    return ds.map_incident_summaries(raw).select("report_id", "actual_severity", "date_reported")
+    return ds.map_incident_summaries(raw).select("report_id", "actual_severity", "date_reported", "description", "report_type", "source_name")
 
 
 @query("l4_offshore_incidents", """SELECT 'BSEE-' || l_orderkey || '.' || l_linenumber AS report_id, CASE WHEN l_linenumber = 7 THEN 'Fatality' WHEN l_quantity > 25 THEN 'Injury' ELSE '' END AS actual_severity,
-  concat_ws(' / ', CASE WHEN l_returnflag = 'R' THEN 'Drilling' END, CASE WHEN l_linestatus = 'O' THEN 'Pipeline' END) AS activity FROM lineitem""")
+  concat_ws(' / ', CASE WHEN l_returnflag = 'R' THEN 'Drilling' END, CASE WHEN l_linestatus = 'O' THEN 'Pipeline' END) AS activity, l_returnflag AS description, 'bsee' AS source_name FROM lineitem""")
 def _(t: Tables):
     yes = lambda c: F.when(c, "Y").otherwise("N")
     raw = t.raw("lineitem").select(
         F.concat_ws(".", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("SN_EV_MASTERS"),
         F.when(F.col("l_linenumber") == 7, 1).alias("Operator Fatalities"), F.when(F.col("l_quantity") > 25, "1.0").otherwise("none").alias("Contractor Number of Other Injuries"),
         yes(F.col("l_returnflag") == "R").alias("Drilling"), yes(F.col("l_linestatus") == "O").alias("Pipeline"), F.col("l_returnflag").alias("Incident Summary"))
-    return ds.map_offshore_incidents(raw).select("report_id", "actual_severity", "activity")
+    return ds.map_offshore_incidents(raw).select("report_id", "actual_severity", "activity", "description", "source_name")
 
 
 @query("l5_origin_columns", """SELECT doc_id, CASE WHEN contains(lower(text), 'near miss') OR contains(lower(text), 'near-miss') OR doc_id % 6 = 0 THEN 'Near miss' ELSE '' END AS report_type,
