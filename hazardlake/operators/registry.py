@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VERIFIED = ["confirmed", "reviewed", "edited"]
-# Canonical field, report column, analysis column of the field-coverage table.
+# Field of the coverage table, report column, field of a file override, analysis column.
 COVERAGE_FIELDS = [
-    ("date", "date", None), ("site", "site", None), ("activity", "activity", "analysis_activity"),
-    ("report_type", "report_type", None), ("source_id", "source_id", None), ("hazard", None, "hazard"),
-    ("priority", None, "priority"), ("rule", None, "life_saving_rule"), ("text", "report_text", None),
+    ("report_type", "report_type", None, None), ("source_id", "source_id", None, None), ("date", "date", None, None), ("site", "site", None, None),
+    ("activity", "activity", "activity", "analysis_activity"), ("hazard", None, "hazard", "hazard"), ("rule", None, "life_saving_rule", "life_saving_rule"),
+    ("barrier_failure", None, "barrier_failure", "barrier_failure"), ("location", None, "location", "location"), ("equipment", None, "equipment", "equipment"),
+    ("consequence", None, "potential_consequence", "potential_consequence"), ("sif", None, None, "sif_potential"), ("priority", None, None, "priority"),
+    ("confidence", None, None, "confidence"), ("languages", None, None, "languages"),
 ]
 
 
@@ -106,10 +108,35 @@ def review_queue(df: DataFrame) -> DataFrame:
 
 
 def field_coverage(df: DataFrame) -> DataFrame:
-    """One row per report and field with its value and where it came from; the file wins over the analysis."""
-    def entry(name: str, file_col: str | None, ai_col: str | None) -> Column:
-        given = F.nullif(F.col(file_col).cast("string"), F.lit("")) if file_col else F.lit(None).cast("string")
-        inferred = F.nullif(F.col(ai_col).cast("string"), F.lit("")) if ai_col else F.lit(None).cast("string")
+    """One row per report and field with its value and where it came from.
+
+    A file override comes first, then the report's own column, then the analysis.  Lists are joined with commas, a verdict reads
+    ``Yes (flagged)`` or ``No``, confidence is a whole percentage.  Fields whose columns the frame lacks have no value.
+    """
+    kinds = dict(df.dtypes)
+
+    def shown(name: str | None) -> Column:
+        if name is None or name not in kinds:
+            return F.lit(None).cast("string")
+        c = F.col(name)
+        if kinds[name].startswith("array"):
+            text = F.array_join(c, ", ")
+        elif kinds[name] == "boolean":
+            text = F.when(c, "Yes (flagged)").when(~c, "No")
+        elif name == "confidence":
+            text = F.concat(F.round(c * 100).cast("int").cast("string"), F.lit("%"))
+        else:
+            text = c.cast("string")
+        return F.nullif(text, F.lit(""))
+
+    def used(field: str | None) -> Column:
+        if field is None or "modified_fields" not in kinds:
+            return F.lit(None).cast("string")
+        mine = F.filter("modified_fields", lambda m: m["field"] == field)
+        return F.nullif(F.array_join(F.get(F.transform(mine, lambda m: m["used"]), F.lit(0)), ", "), F.lit(""))
+
+    def entry(name: str, file_col: str | None, override: str | None, ai_col: str | None) -> Column:
+        given, inferred = F.coalesce(used(override), shown(file_col)), shown(ai_col)
         origin = F.when(given.isNotNull(), "file").when(inferred.isNotNull(), "ai").otherwise("none")
         return F.struct(F.lit(name).alias("field"), F.coalesce(given, inferred).alias("value"), origin.alias("origin"))
 

@@ -144,18 +144,28 @@ def _(t: Tables):
         "id", "date", "priority", "sif_potential", "queue_rank")
 
 
-@query("d10_field_coverage", views("reports", "findings") + """
-, w AS (SELECT r.*, f.analysis_activity, f.hazard, f.priority, f.life_saving_rule FROM reports r LEFT JOIN findings f ON r.id = f.report_pk),
+@query("d10_field_coverage", views("reports", "analyses") + """
+, w AS (SELECT r.*, f.analysis_activity, f.hazard, f.priority, f.life_saving_rule, f.sif_potential, f.confidence, f.barrier_failure FROM reports r LEFT JOIN analyses f ON r.id = f.report_pk),
 u AS (
   SELECT id, 'date' AS field, CAST(date AS VARCHAR) AS given, NULL AS inferred FROM w
   UNION ALL SELECT id, 'site', site, NULL FROM w UNION ALL SELECT id, 'activity', activity, analysis_activity FROM w
   UNION ALL SELECT id, 'report_type', report_type, NULL FROM w UNION ALL SELECT id, 'source_id', source_id, NULL FROM w
-  UNION ALL SELECT id, 'hazard', NULL, hazard FROM w UNION ALL SELECT id, 'priority', NULL, priority FROM w
-  UNION ALL SELECT id, 'rule', NULL, life_saving_rule FROM w UNION ALL SELECT id, 'text', report_text, NULL FROM w)
+  UNION ALL SELECT id, 'hazard', CASE WHEN id % 13 = 0 THEN 'Hazard of the file' END, hazard FROM w UNION ALL SELECT id, 'priority', NULL, priority FROM w
+  UNION ALL SELECT id, 'rule', NULL, life_saving_rule FROM w UNION ALL SELECT id, 'barrier_failure', NULL, array_to_string(barrier_failure, ', ') FROM w
+  UNION ALL SELECT id, 'location', NULL, CASE WHEN id % 2 = 0 THEN 'bay ' || id % 9 END FROM w
+  UNION ALL SELECT id, 'equipment', CASE WHEN id % 17 = 0 THEN 'crane, hoist' END, CASE WHEN id % 3 = 0 THEN 'pump, valve' ELSE '' END FROM w
+  UNION ALL SELECT id, 'consequence', NULL, NULL FROM w UNION ALL SELECT id, 'sif', NULL, CASE WHEN sif_potential THEN 'Yes (flagged)' WHEN NOT sif_potential THEN 'No' END FROM w
+  UNION ALL SELECT id, 'confidence', NULL, CAST(CAST(round(confidence * 100) AS INTEGER) AS VARCHAR) || '%' FROM w UNION ALL SELECT id, 'languages', NULL, 'en, hi' FROM w)
 SELECT id, field, coalesce(nullif(given, ''), nullif(inferred, '')) AS value,
   CASE WHEN nullif(given, '') IS NOT NULL THEN 'file' WHEN nullif(inferred, '') IS NOT NULL THEN 'ai' ELSE 'none' END AS origin FROM u""")
 def _(t: Tables):
-    return rg.field_coverage(rg.with_analysis(t.reports, t.findings, "left"))
+    k = F.col("id")
+    rows = rg.with_analysis(t.reports, t.analyses, "left")
+    change = lambda test, field, *used: F.when(test, F.struct(F.lit(field).alias("field"), F.array(*map(F.lit, used)).alias("used")))
+    return rg.field_coverage(rows.withColumns({
+        "location": F.when(k % 2 == 0, F.concat(F.lit("bay "), (k % 9).cast("string"))), "languages": F.array(F.lit("en"), F.lit("hi")),
+        "equipment": F.when(k % 3 == 0, F.array(F.lit("pump"), F.lit("valve"))).otherwise(F.array().cast("array<string>")),
+        "modified_fields": F.array_compact(F.array(change(k % 13 == 0, "hazard", "Hazard of the file"), change(k % 17 == 0, "equipment", "crane", "hoist")))}))
 
 
 @query("d11_report_detail", views("reports", "findings", "reviews") + _STATUS_SQL + """
@@ -379,13 +389,15 @@ def _(t: Tables):
 
 @query("f21_top_site_share", views("reports", "findings") + """,
 x AS (SELECT site, count(*) AS n FROM reports JOIN findings ON id = report_pk WHERE sif_potential AND site IS NOT NULL GROUP BY 1)
-SELECT site, n, round(100.0::DOUBLE * n / (SELECT sum(n) FROM x), 0) AS share FROM x ORDER BY n DESC, site LIMIT 1""")
+SELECT site, n, round(100.0::DOUBLE * n / (SELECT sum(n) FROM x), 0) AS share, (SELECT round(100.0::DOUBLE * count_if(priority = 'HIGH') / count(*), 0) FROM reports LEFT JOIN findings ON id = report_pk) AS high_share
+FROM x ORDER BY n DESC, site LIMIT 1""")
 def _(t: Tables):
     sites = rg.with_analysis(t.reports, t.findings).filter("sif_potential AND site IS NOT NULL").groupBy("site").agg(F.count(F.lit(1)).alias("n"))
     # max over (n, smaller site first) and the total share one aggregate over the per-site rows.
     best = sites.agg(F.sum("n").alias("total"), F.max("n").alias("n"),
                      F.min(F.struct((-F.col("n")).alias("k"), "site")).alias("top"))
-    return best.select(F.col("top.site").alias("site"), "n", F.round(F.lit(100.0) * F.col("n") / F.col("total"), 0).alias("share"))
+    high = an.overview(t.reports, t.findings).select(F.round(F.lit(100.0) * F.col("high_reports") / F.col("total_reports"), 0).alias("high_share"))  # one row
+    return best.crossJoin(high).select(F.col("top.site").alias("site"), "n", F.round(F.lit(100.0) * F.col("n") / F.col("total"), 0).alias("share"), "high_share")
 
 
 # ---- G: windows and trends -------------------------------------------------
