@@ -193,11 +193,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     frame = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.lit(None).cast("binary").alias("hit"), F.array().cast("array<string>").alias("items"),
                         F.lit(0).cast("long").alias("longest"), F.lit(None).cast("string").alias("longest_item"), F.lit(None).cast("long").alias("longest_at"))
     for k, tests in enumerate(blocks):
-        frame = _pass(frame, docs.sparkSession.sparkContext.broadcast(tests), k + 1 == len(blocks))
+        frame = _pass(frame, tests, k + 1 == len(blocks))
     return frame
 
 
-def _pass(frame: DataFrame, tests, last: bool) -> DataFrame:
+def _pass(frame: DataFrame, tests: Tests, last: bool) -> DataFrame:
     long, text = T.LongType(), T.StringType()
     made = [("n_words", long), ("n_hit", long), ("n_items", long), ("items_sha256", text), ("contaminated", T.BooleanType())] if last else []
     kept = ["doc_id"] + ([] if last else ["text", "hit", "items"])
@@ -206,7 +206,7 @@ def _pass(frame: DataFrame, tests, last: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = {name: batch.column(name).to_pylist() for name in ("text", "hit", "items", "longest", "longest_item", "longest_at")}
-            found = scan(rows["text"], tests.value)
+            found = scan(rows["text"], tests)
             out: dict[str, list] = {name: [] for name in schema.names if name != "doc_id"}
             for k, f in enumerate(found):
                 hit = f.hit if rows["hit"][k] is None else f.hit | np.unpackbits(np.frombuffer(rows["hit"][k], np.uint8), count=f.n_words).astype(bool)
@@ -228,11 +228,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     """The rows of ``docs`` that share no window with the benchmark, all columns kept and in place."""
     bounded_batches(docs.sparkSession)
     for tests in _blocks(benchmark, window, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(tests)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], tests=tests) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = pa.array([not f.items for f in scan(batch.column(batch.num_columns - 1).to_pylist(), shared.value)], pa.bool_())
+                keep = pa.array([not f.items for f in scan(batch.column(batch.num_columns - 1).to_pylist(), tests)], pa.bool_())
                 yield batch.select(range(batch.num_columns - 1)).filter(keep)
 
         docs = filter_batches(docs, run)

@@ -185,12 +185,10 @@ def packed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     before = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
     ranked = rows.join(sizes.select("part", "rest", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank_before")), ["part", "rest"])
     columns = ["doc_id", "part", "n", "rest", "rank", "full_before", "full_crc", "rest_crc", "block_crc", "tail", "rank_before"]
-    shared = docs.sparkSession.sparkContext.broadcast((plan, full_of))
     long = T.LongType()
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, full_of = shared.value
         for batch in batches:
             owner, out = [], []
             for k, (part, n, rest, rank, full_before, full_crc, rest_crc, block_crc, tail, rank_before) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):

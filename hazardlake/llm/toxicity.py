@@ -160,10 +160,9 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_or
 def _scoring(spark: SparkSession, model: Model, made):
     """A batch function that scores the text bytes in the last column and lets ``made`` build the output from batch and scores."""
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = shared.value.scorer()
+        score = model.scorer()
         for batch in batches:
             yield made(batch, np.array([score((t or b"").lower()) for t in batch.column(batch.num_columns - 1).to_pylist()], float))
 

@@ -308,3 +308,20 @@ def test_token_counts(documents, odd_docs, no_docs, by_tokenizer):
     got = {r["doc_id"]: r["n_tokens"] for r in token_scan.token_counts(documents).collect()}
     assert got == {r["doc_id"]: len(by_tokenizer(r["text"])) for r in documents.collect()}
     assert token_scan.token_counts(odd_docs).count() == odd_docs.count() and token_scan.token_counts(no_docs).count() == 0
+
+
+def test_task_functions_need_no_package(tmp_path):
+    """An executor without this package can run what the tasks are made of."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+    tests = decontaminate.encode_tests([(1, b"one two three")], 3)
+    model = toxicity.fit([b"bad words here"] * 9, [b"plain words there"] * 9, 0.5)
+    plan = packing.make_plan(np.array([0] + [3] * 63))
+    scan, place, spans, key = decontaminate.scan, packing.place, pii.base_spans, line_dedup.line_key
+    work = lambda: (scan([b"x one two three"], tests)[0].n_words, 0 <= model.scorer()(b"abc") <= 1, place(plan, 64, 5, 0)[0][1], spans("a@b.c"), key(b"x" * 30) is not None)
+    (tmp_path / "work").write_bytes(cloudpickle.dumps(work))
+    code = f"import pickle, sys; sys.modules['hazardlake'] = None; print(pickle.load(open('{tmp_path}/work', 'rb'))())"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path)})
+    assert done.stdout.strip() == "(4, True, 5, [(0, 0, 5)], True)", done.stderr[-500:]
