@@ -212,12 +212,12 @@ def fails_nearby(low: Column, at: Column, width: Column) -> Column:
     return let(clause_window(low, at, width), lambda w: w.rlike(FOREIGN_FAILURE) | w.rlike(FAILURE))
 
 
-def sentence_around(text: Column, at: Column, width: Column, limit: int = 180) -> Column:
-    """The sentence that holds a position, clipped with an ellipsis."""
+def sentence_around(text: Column, at: Column, width: Column, limit: int | None = None) -> Column:
+    """The sentence that holds a position, whole or clipped to ``limit`` characters with an ellipsis."""
     start = at - run_before(text, at, r"[^.!?;]")
     end = at + width + run_after(text, at + width, r"[^.!?;]")
     whole = F.btrim(piece(text, start, end))
-    return let(whole, lambda q: F.when(F.length(q) > limit, F.concat(F.rtrim(F.substring(q, 1, limit - 1)), F.lit("…")))
+    return whole if limit is None else let(whole, lambda q: F.when(F.length(q) > limit, F.concat(F.rtrim(F.substring(q, 1, limit - 1)), F.lit("…")))
                .otherwise(q))
 
 

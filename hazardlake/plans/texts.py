@@ -525,13 +525,17 @@ def _(t: Tables):
     return rows.select("doc_id", "life_saving_rule", "n", "c.condition", "c.status", F.concat_ws(" || ", "c.evidence").alias("evidence"))
 
 
-@query("c25_sentences")
+@query("c25_sentences", TEXTS + "SELECT DISTINCT doc_id, trim(s) AS quote FROM (SELECT doc_id, unnest(string_split_regex(clean_text, '[.!?;]')) AS s FROM low) WHERE contains(lower(s), 'permit')")
 def _(t: Tables):
-    low = F.col("low_text")
-    at = F.get(spans.positions(low, F.lit("permit"), F.lit(6)), F.lit(0))
-    return clean_texts(t).filter(low.contains("permit")).select(
-        "doc_id", let(at, lambda p: spans.sentence_around(F.col("clean_text"), p, F.lit(6))).alias("quote"),
-        let(at, lambda p: na.sentence_at(F.col("clean_text"), p)).alias("sentence"))
+    at = spans.positions(F.col("low_text"), F.lit("permit"), F.lit(6))
+    quotes = F.transform(at, lambda p: spans.sentence_around(F.col("clean_text"), p, F.lit(6)))
+    return clean_texts(t).select("doc_id", F.explode(quotes).alias("quote")).distinct()
+
+
+@query("c25_summary_sentences")
+def _(t: Tables):
+    at = F.get(spans.positions(F.col("low_text"), F.lit("permit"), F.lit(6)), F.lit(0))
+    return clean_texts(t).filter(F.col("low_text").contains("permit")).select("doc_id", let(at, lambda p: na.sentence_at(F.col("clean_text"), p)).alias("sentence"))
 
 
 @query("c26_explanation")
