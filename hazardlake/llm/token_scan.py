@@ -102,4 +102,5 @@ def token_counts(docs: DataFrame, folder: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     written = write_token_files(docs, folder)
-    return written.join(document_lengths(scan_blocks(spark, folder)), ["file", "position"]).select("doc_id", "n_tokens", "file", "position", "start")
+    # Written tables are many times larger than their files, by which Spark would judge a broadcast.
+    return written.join(document_lengths(scan_blocks(spark, folder)).hint("merge"), ["file", "position"]).select("doc_id", "n_tokens", "file", "position", "start")
