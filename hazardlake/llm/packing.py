@@ -183,7 +183,7 @@ def packed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     full_of = dict(zip(by_part, np.cumsum([0, *by_part.values()]).tolist(), strict=False))
     n_full = sum(by_part.values())
     before = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
-    ranked = rows.join(sizes.select("part", "rest", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank_before")), ["part", "rest"])
+    ranked = rows.join(sizes.select("part", "rest", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank_before")).hint("merge"), ["part", "rest"])
     columns = ["doc_id", "part", "n", "rest", "rank", "full_before", "full_crc", "rest_crc", "block_crc", "tail", "rank_before"]
     long = T.LongType()
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
