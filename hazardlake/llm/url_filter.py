@@ -85,5 +85,5 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES
     tied = roots.join(ruled.select(F.col("key").alias("node"), "verdict"), "node").groupBy("root").agg(
         F.max(F.col("verdict") == "block").alias("blocked"), F.max(F.col("verdict") == "allow").alias("allowed"))
     carried = roots.join(tied.filter("blocked and not allowed"), "root").select(F.col("node").alias("key"), F.lit("block").alias("carried"))
-    return (parsed.join(ruled, "key", "left").join(carried, "key", "left")
+    return (parsed.join(ruled.hint("merge"), "key", "left").join(carried.hint("merge"), "key", "left")
             .select("page_id", "host", "path", "rule", F.coalesce("verdict", "carried", F.lit("allow")).alias("verdict")))
