@@ -35,7 +35,7 @@ def _(t: Tables):
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
     rows = _cases(t)
-    made = Pipeline(stages=ml.features(500)).fit(rows).transform(rows)
+    made = Pipeline(stages=ml.features()).fit(rows).transform(rows)
     return made.select("doc_id", F.size("terms").alias("terms"), F.size(F.filter(vector_to_array("features"), lambda x: x > 0)).alias("used"))
 
 
@@ -53,17 +53,30 @@ def _(t: Tables):
 
 @query("m5_grouped_folds")
 def _(t: Tables):
-    return ml.cross_validate(ml.grouped_folds(_cases(t), "source", 2), 2, ["logistic"], vocabulary=500)
+    return ml.cross_validate(ml.grouped_folds(_cases(t), "source", 5), 5, ["logistic"])
+
+
+@query("m5_repeated_folds")
+def _(t: Tables):
+    # two repeats of three folds, each repeat with a split of its own
+    runs = [ml.cross_validate(ml.repeated_folds(_cases(t), "doc_id", 3, n), 3, ["logistic"]).withColumn("repeat", F.lit(n)) for n in (1, 2)]
+    return runs[0].unionByName(runs[1])
+
+
+@query("m7_model_sweep")
+def _(t: Tables):
+    rows = _folded(t, 5)
+    return me.threshold_sweep(ml.probabilities(rows.filter("fold <> 0"), rows.filter("fold = 0")), "label", "score", [0.3, 0.4, 0.5, 0.6])
 
 
 @query("m5_learning_curve")
 def _(t: Tables):
-    return ml.learning_curve(_folded(t, 5), "doc_id", [0.5, 1.0], vocabulary=500)
+    return ml.learning_curve(_folded(t, 5), "doc_id", [0.25, 0.5, 0.75, 1.0], vocabulary=5_000)
 
 
 @query("m6_best_model")
 def _(t: Tables):
-    per = ml.cross_validate(_folded(t, 2), 2, ["logistic", "bayes"], vocabulary=500)
+    per = ml.cross_validate(_folded(t, 5), 5, ["logistic", "bayes"])
     means = per.groupBy("model").agg(F.avg("f2").alias("f2"), F.avg("recall").alias("recall"))
     return means.agg(F.max_by("model", F.struct("f2", "recall")).alias("best_model"), F.count(F.lit(1)).alias("models"))
 
@@ -71,7 +84,7 @@ def _(t: Tables):
 @query("m8_m9_imputation")
 def _(t: Tables):
     rows = _cases(t).withColumn("activity", F.when(F.col("doc_id") % 4 != 0, F.col("lang")))
-    model, names = ml.train_imputer(rows.filter("activity IS NOT NULL"), "activity", 3, vocabulary=500)
+    model, names = ml.train_imputer(rows.filter("activity IS NOT NULL"), "activity", 20)
     return ml.impute(rows, "activity", model, names).select("doc_id", "activity", "ml_filled", "model_tag")
 
 
@@ -80,7 +93,7 @@ def _(t: Tables):
     rows = _cases(t)
     split = ds.fraction_split(rows, "label", "doc_id").select("doc_id", "split")
     joined = rows.join(split, "doc_id")
-    return ml.one_shot_test(joined.filter("split = 'training'"), joined.filter("split = 'testing'"), vocabulary=500)
+    return ml.one_shot_test(joined.filter("split = 'training'"), joined.filter("split = 'testing'"))
 
 
 @query("a4_import_rows")
