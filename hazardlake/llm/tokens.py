@@ -7,7 +7,7 @@ import functools
 
 import numpy as np
 
-# The text of the one special token; where it stands in a document the reference tokenizer makes it one id.
+# The text of the one special token; where it stands in a document the tokenizer file makes it one id.
 _SPECIAL = "<|endoftext|>"
 
 
