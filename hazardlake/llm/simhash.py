@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hazardlake.llm import near_text
 from hazardlake.llm.common import bounded_batches, field, free_name, stage
 from hazardlake.llm.components import components
 
@@ -100,12 +101,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame) -> DataFrame:
+def keep_representatives(docs: DataFrame, width: int = near_text.WIDTH, similarity: float = near_text.SIMILARITY) -> DataFrame:
     """The rows of ``docs`` whose doc_id names its group, all columns kept; of rows with one doc_id the first by text stays.
 
+    Groups are tied by pairs whose sets of word shingles have at least this Jaccard similarity, not by fingerprints.
     Rows without doc_id can't be named and stay.
     """
-    found = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    found = stage(near_text.near_groups(docs, width, similarity).groupBy("root").agg(F.min("low").alias("doc_id")).select("doc_id").filter("doc_id is not null").distinct())
     place = free_name(docs.columns, "place")
     stays = docs.filter(F.col("doc_id").isNotNull()).join(found, "doc_id", "left_semi")
     first = stays.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(place) == 1)

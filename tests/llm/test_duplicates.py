@@ -97,6 +97,40 @@ def test_odd_rows(odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == simhash.keep_representatives(no_docs).count() == 0
 
 
+def plain_jaccard_groups(texts):
+    """doc -> smallest doc over links of 5-word Jaccard 0.8, over all pairs; and the linked pairs."""
+    sets = {d: {tuple(t.lower().split()[i:i + 5]) for i in range(max(1, len(t.split()) - 4))} for d, t in texts.items()}
+    low, pairs = {d: d for d in sets}, []
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                pairs.append((a, b))
+    for _ in pairs:
+        for a, b in pairs:
+            low[a] = low[b] = min(low[a], low[b])
+        if all(low[a] == low[b] for a, b in pairs):
+            break
+    return low, pairs
+
+
+def test_representatives_at_the_stated_similarity(spark):
+    import corpus_pipeline
+    random.seed(8)
+    texts, base = {}, None
+    for d in range(240):
+        if d % 6 == 0:
+            base = [f"w{random.randrange(5000)}" for _ in range(random.choice((40, 300, 1000)))]
+        words = list(base)
+        for _ in range(d % 6 * len(base) // 150):
+            words[random.randrange(len(words))] = f"x{random.randrange(5000)}"
+        texts[d] = " ".join(words)
+    low, pairs = plain_jaccard_groups(texts)
+    docs = spark.createDataFrame([(d, t, "kept") for d, t in texts.items()], "doc_id long, text string, source string")
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert len(pairs) > 100 and len(set(low.values())) < 200
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(set(low.values()))
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 1), (None, 2)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(50, 51), (51, 50), (52, 51)]])
 def test_components(spark, edges):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
