@@ -243,9 +243,9 @@ def summary(c: dict[str, Column]) -> Column:
 
 
 def suggested_actions(sif: Column, rule: Column, barriers: Column, priority: Column, lexicon: Lexicon) -> Column:
-    """Follow-up of the rule, two barriers, crew briefing, then the step its priority asks for; at most five."""
+    """Follow-up of the rule, every barrier, crew briefing, then the step its priority asks for."""
     follow_up = F.try_element_at(constant({r["name"]: r["follow_up"] for r in lexicon.rules}, "map<string,string>"), rule)
-    verify = F.transform(F.slice(barriers, 1, 2), lambda b: F.concat(
+    verify = F.transform(barriers, lambda b: F.concat(
         F.lit("Verify and reinstate "), F.lower(b),
         F.lit(" before the next similar job starts; record who confirmed it and when.")))
     brief = F.concat(F.lit("Brief the crew on the "), F.lower(rule),
@@ -254,7 +254,7 @@ def suggested_actions(sif: Column, rule: Column, barriers: Column, priority: Col
             .when(priority == "MEDIUM", F.lit("Schedule an HSE review within 48 hours and add the site to the "
                                               "weekly inspection list.")))
     listed = F.array_compact(F.concat(F.array(follow_up), verify, F.array(brief, step)))
-    return F.when(sif, F.slice(listed, 1, 5)).otherwise(F.array(F.lit(NO_PRECURSOR_ACTION)))
+    return F.when(sif, listed).otherwise(F.array(F.lit(NO_PRECURSOR_ACTION)))
 
 
 # ---- the whole analysis ----------------------------------------------------

@@ -13,7 +13,6 @@ from hazardlake.lexicon import Lexicon
 from hazardlake.vocab import english
 
 PAIR_REACH = 60
-MAX_QUOTES = 3
 BREACHED, IN_PLACE, NOT_VERIFIABLE = "breached", "in_place", "not_verifiable"
 ROW = "struct<condition:string,status:string,evidence:array<string>>"
 
@@ -98,7 +97,7 @@ def _scan(text: Column, low: Column, c: Column) -> Column:
 
 
 def _quotes(values: Column) -> Column:
-    return F.slice(F.array_distinct(F.filter(values, lambda v: v.isNotNull() & (v != ""))), 1, MAX_QUOTES)
+    return F.array_distinct(F.filter(values, lambda v: v.isNotNull() & (v != "")))
 
 
 def rule_conditions(text: Column, low: Column, rule: Column, matches: Column, lexicon: Lexicon) -> Column:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hazardlake.lexicon import DEFAULT
-from hazardlake.operators.analysis import analyze, apply_signals
+from hazardlake.operators.analysis import analyze, apply_signals, suggested_actions
 
 CASES = {
     1: "The fitter opened the valve without isolating the pump. No incidents were reported.",
@@ -62,6 +62,20 @@ def test_conditions(done):
     assert done[5]["rule_conditions"][-1]["evidence"] == ["बिना हार्नेस"]
 
 
+def test_all_evidence_and_actions_are_kept(spark):
+    filler = " The shift then went on as planned and the team cleaned the whole area until the evening. "
+    text = filler.join(f"{words} at the scaffold." for words in ("Work at height without harness", "Crew with no harness", "Rigger not wearing harness", "Then lacked guardrails", "Without fall protection", "No lifeline", "Without lanyard", "No guardrails", "Missing guardrails"))
+    row = analyze(spark.createDataFrame([(1, text)], "id int, report_text string")).first()
+    phrases = {m["phrase"] for m in row["matches"] if m["rule"] == row["life_saving_rule"]}
+    kept = {q for c in row["rule_conditions"] if c["status"] == "breached" for q in c["evidence"]}
+    assert phrases <= kept
+    assert max(len(c["evidence"]) for c in row["rule_conditions"]) > 3
+    barriers = ["Fall Protection", "Scaffolding / Guardrails", "Barricading", "Permit"]
+    made = spark.range(1).select(suggested_actions(F.lit(True), F.lit("Working at Height"), F.array(*map(F.lit, barriers)), F.lit("HIGH"), DEFAULT).alias("a")).first()["a"]
+    want = [f"Verify and reinstate {b.lower()} " for b in barriers]
+    assert [w for w in want if any(a.startswith(w) for a in made)] == want and made[-1].startswith("Escalate") and len(made) == 7
+
+
 def test_languages_and_failed_rows(done):
     assert done[5]["languages"] == ["hi"] and done[1]["languages"] == ["en"]
     assert done[6]["processing_status"] == "failed" and done[6]["life_saving_rule"] is None
