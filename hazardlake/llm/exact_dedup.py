@@ -13,6 +13,8 @@ from hazardlake.session import shared_folder
 
 # Digests of repeated texts up to this many rows (some 60 bytes each) are sent to every executor; more are joined by shuffle.
 BROADCAST_ROWS = 100_000
+# Spark passes over files this much older than the newest one it has seen, by default seven days.
+FILE_AGE = "365000d"
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -47,7 +49,7 @@ def streamed_groups(spark: SparkSession, path: str, digest: Digest = sha256, fol
 
     The state never expires: it keeps one small row per digest (identifier, length and locator of the row that
     stays, and a counter) in RocksDB on disk, with its log in ``folder``.  Called again with the same folder,
-    only new files are read.  Each micro-batch appends the groups it changed; the newest row of a group is the
+    only new files are read, whatever their modification times.  Each micro-batch appends the groups it changed; the newest row of a group is the
     one with the largest counter, since groups only grow.
     """
     folder = folder or f"{shared_folder(spark)}/exact-{uuid.uuid4().hex}"
@@ -57,7 +59,7 @@ def streamed_groups(spark: SparkSession, path: str, digest: Digest = sha256, fol
     try:
         # As a pattern, the path may name one file as well as a folder.
         place = path.rstrip("/")
-        stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{place[:-1]}[{place[-1]}]")
+        stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFileAge", FILE_AGE).parquet(f"{place[:-1]}[{place[-1]}]")
         groups = _groups(_rows(stream, digest).select("digest", "best"), "digest")
 
         def append(changed: DataFrame, batch: int) -> None:

@@ -1,4 +1,6 @@
+import os
 import random
+import time
 from collections import Counter
 
 import duckdb
@@ -178,6 +180,20 @@ def test_state_goes_on_with_new_files(spark, documents, tmp_path):
     assert again.filter("group_size < 2").isEmpty()
 
 
+def test_old_files_are_read_on_resume(spark, tmp_path):
+    path, folder = f"{tmp_path}/docs.parquet", f"file://{tmp_path}/state"
+    def add(rows, age=0):
+        before = set(os.listdir(path)) if os.path.isdir(path) else set()
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(path)
+        for name in set(os.listdir(path)) - before:
+            os.utime(f"{path}/{name}", (time.time() - age, time.time() - age))
+    add([(1, "one text"), (2, "two texts")])
+    exact_dedup.streamed_groups(spark, path, folder=folder).count()
+    add([(3, "two  texts"), (4, "three texts")], age=40 * 86400)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_duplicates(spark, path, folder=folder).collect()}
+    assert got == {1: (1, 1), 2: (3, 2), 3: (3, 2), 4: (4, 1)}
+
+
 def test_registered_sql(spark, folder):
     from hazardlake.llm.queries import QUERIES, SQL
     con = duckdb.connect()
