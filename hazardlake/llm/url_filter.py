@@ -15,6 +15,9 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
+# canonical as any word of the rel list
+_CANONICAL = r"""(?is)^<link\b.*\brel\s*=\s*(?:["']?canonical\b|"[^">]*\scanonical[\s"]|'[^'>]*\scanonical[\s'])"""
+
 
 def host_of(url: Column) -> Column:
     return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), _URL, 1), UPPER, LOWER)
@@ -24,21 +27,34 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), _URL, 2)
 
 
+def _folded(path: Column) -> Column:
+    """The path from the root, with its ``.`` and ``..`` steps taken."""
+    parts = F.split(F.regexp_replace(path, r"^/", ""), "/")
+    step = lambda done, part: (F.when(part == ".", done).when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+                               .otherwise(F.array_append(done, part)))
+    ends = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(ends, F.array().cast("array<string>"), step), "/"))
+
+
 def _targets(url: Column, html: Column) -> Column:
-    """Absolute addresses of canonical links and refresh redirects in a page's tags."""
+    """Absolute addresses of canonical links and refresh redirects in a page's tags; targets of other schemes (``mailto:``) are left out."""
     tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    canonical = F.transform(F.filter(tags, lambda t: t.rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b")),
+    canonical = F.transform(F.filter(tags, lambda t: t.rlike(_CANONICAL)),
                             lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
     refresh = F.transform(F.filter(tags, lambda t: t.rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b")),
                           lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
+    # A target without a path of its own is the page itself; others start in the folder of the page's path.
+    path, own = path_of(url), lambda t: F.regexp_extract(t, r"(?s)^[^?#]*", 0)
+    near = lambda t: F.when(own(t) == "", path).otherwise(_folded(F.concat(F.regexp_replace(path, r"[^/]*$", ""), own(t))))
     whole = lambda t: (F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t).when(t.startswith("//"), F.concat(scheme, F.lit(":"), t))
-                       .when(t.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), t)))
+                       .when(t.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), t))
+                       .when((t != "") & ~t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.concat(scheme, F.lit("://"), host_of(url), near(t))))
     return F.filter(F.transform(F.concat(canonical, refresh), whole), lambda t: t.isNotNull())
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """``(from_url, to_url)`` of the canonical links and redirects that ``pages(url, html)`` state; relative paths other than ``/...`` are left out."""
+    """``(from_url, to_url)`` of the canonical links and redirects that ``pages(url, html)`` state; relative ones start at the page's own url."""
     return pages.select(F.col("url").alias("from_url"), F.explode(_targets(F.col("url"), F.col("html"))).alias("to_url"))
 
 

@@ -146,6 +146,20 @@ def test_urls(spark):
     assert {r["verdict"] for r in url_filter.url_verdicts(pages.drop("html")).filter("page_id in (2, 5)").collect()} == {"allow"}
 
 
+def test_relative_link_targets(spark):
+    from urllib.parse import urljoin
+    bases = ["https://a.net/x/y/z.html?q=1", "http://B.net", "http://b.net/", "https://a.net/x/y/"]
+    targets = ["page.html", "../de/1", "../../../up", "./", "..", "a/./b/../c", "?p=2", "#top", "/root", "//c.net/d", "http://d.net/e", "x?u=/../v"]
+    place = lambda u: (u.split("://")[1].split("/")[0].split("?")[0].split("#")[0].lower(), "/" + u.split("://")[1].split("?")[0].split("#")[0].partition("/")[2])
+    rows = [(b, f"<link rel='alternate canonical' href='{t}'>" if n % 2 else f"<meta http-equiv=refresh content=\"0; url={t}\">") for b in bases for n, t in enumerate(targets)]
+    got = [(r["from_url"], place(r["to_url"])) for r in url_filter.link_edges(spark.createDataFrame(rows, "url string, html string")).collect()]
+    assert sorted(got) == sorted((b, place(urljoin(b, t))) for b in bases for t in targets)
+    assert url_filter.link_edges(spark.createDataFrame([("http://a.net/", "<link rel='canonical' href='mailto:x'><link rel='alternate' href='canonical'>")], "url string, html string")).isEmpty()
+    pages = spark.createDataFrame([(1, "http://x.example.net/a/b", "<link rel='canonical' href='../c'>"), (2, "http://x.example.net/c", "<link rel='prev canonical' href='http://x.com/de/1'>"), (3, "http://x.example.net/d", "")],
+                                  "page_id long, url string, html string")
+    assert {r["page_id"]: r["verdict"] for r in url_filter.url_verdicts(pages).collect()} == {1: "block", 2: "block", 3: "allow"}
+
+
 # --- toxicity
 
 def test_toxicity_learns(spark, odd_docs, no_docs):
