@@ -56,7 +56,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     found += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m[0].split("."))]
     for kind, pattern, least, most in ((2, _CARD, 13, 19), (3, _PHONE, 9, 15)):
         for m in pattern.finditer(text):
-            digits = re.sub(r"[^0-9]", "", m[0]) if len(m[0]) < 1000 else ""  # longer than any valid one
+            digits = re.sub(r"[^0-9]", "", m[0]) if kind == 3 or len(m[0]) < 1000 else ""  # longer than any card
             if least <= len(digits) <= most and (kind == 3 or _luhn(digits)):
                 found.append((kind, *m.span()))
     return found

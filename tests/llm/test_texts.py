@@ -146,6 +146,12 @@ def test_urls(spark):
     assert {r["verdict"] for r in url_filter.url_verdicts(pages.drop("html")).filter("page_id in (2, 5)").collect()} == {"allow"}
 
 
+@pytest.mark.parametrize("pad", [" ", ".", "("])
+def test_phone_with_long_padding(pad):
+    text = "call +1" + pad * 1200 + "23456789 now"
+    assert [x for x in pii.base_spans(text) if x[0] == 3] == [(3, 5, text.index(" now"))]
+
+
 def test_relative_link_targets(spark):
     from urllib.parse import urljoin
     bases = ["https://a.net/x/y/z.html?q=1", "http://B.net", "http://b.net/", "https://a.net/x/y/"]
