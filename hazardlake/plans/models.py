@@ -41,7 +41,7 @@ def _(t: Tables):
 
 @query("m2_m3_model_comparison")
 def _(t: Tables):
-    return ml.cross_validate(_folded(t, 2), 2, ["logistic", "bayes", "svm", "tree"], vocabulary=500)
+    return ml.cross_validate(_folded(t, 5), 5, ["logistic", "bayes", "svm", "tree"])
 
 
 @query("m4_discriminant")
@@ -58,9 +58,9 @@ def _(t: Tables):
 
 @query("m5_repeated_folds")
 def _(t: Tables):
-    # two repeats of three folds, each repeat with a split of its own
-    runs = [ml.cross_validate(ml.repeated_folds(_cases(t), "doc_id", 3, n), 3, ["logistic"]).withColumn("repeat", F.lit(n)) for n in (1, 2)]
-    return runs[0].unionByName(runs[1])
+    # three repeats of five folds, each repeat with a split of its own
+    runs = [ml.cross_validate(ml.repeated_folds(_cases(t), "doc_id", 5, n), 5, ["logistic"]).withColumn("repeat", F.lit(n)) for n in (1, 2, 3)]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
 
 
 @query("m7_model_sweep")

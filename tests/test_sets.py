@@ -140,3 +140,13 @@ def test_import_numbers_hold_in_many_partitions(spark):
     rows = spark.range(600).select(F.concat(F.lit("Worker slipped near pump "), (F.col("id") % 200).cast("string")).alias("Description")).repartition(200)
     states = import_reports(rows).groupBy("import_state").count().collect()
     assert {r["import_state"]: r["count"] for r in states} == {"new": 200, "duplicate": 400}
+
+
+def test_model_queries_use_all_folds_and_the_whole_vocabulary(spark, folder, monkeypatch):
+    import __spark_entry__
+    from hazardlake.operators import learning
+    asked = []
+    monkeypatch.setattr(learning, "cross_validate", lambda df, folds, models, **more: asked.append((folds, len(models), more)) or df.select("fold").limit(1))
+    for name in ("m2_m3_model_comparison", "m5_repeated_folds"):
+        __spark_entry__.queries()[name](spark, folder)
+    assert asked == [(5, 4, {})] + [(5, 1, {})] * 3
