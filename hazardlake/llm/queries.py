@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from hazardlake.llm.arrow_files import token_sequences
 from hazardlake.llm.decontaminate import contamination
 from hazardlake.llm.exact_dedup import exact_duplicates
+from hazardlake.llm.hard_negatives import hard_negatives, relabelled
 from hazardlake.llm.licenses import license_notices
 from hazardlake.llm.line_dedup import line_report
 from hazardlake.llm.oracles import SQL as SQL  # noqa: PLC0414
@@ -17,6 +20,7 @@ from hazardlake.llm.simhash import near_duplicates
 from hazardlake.llm.token_scan import token_counts
 from hazardlake.llm.toxicity import toxicity
 from hazardlake.llm.url_filter import url_verdicts
+from hazardlake.llm.whitening import whitened
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,4 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": lambda spark, folder: packed(_table(spark, folder, "documents")),
     "op9_url_filter": lambda spark, folder: url_verdicts(_table(spark, folder, "pages")),
     "op10_exact_dedup": lambda spark, folder: exact_duplicates(spark, f"{folder}/documents.parquet"),
+    "op11_whitening": lambda spark, folder: whitened(_table(spark, folder, "embeddings")).withColumn("deviation", F.col("deviation").cast("long")),
+    "op12_arrow_tokens": lambda spark, folder: token_sequences(_table(spark, folder, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32"),
+    "op13_hard_negatives": lambda spark, folder: hard_negatives(relabelled(_table(spark, folder, "embeddings"))),
 }
