@@ -102,7 +102,7 @@ def _open(uri: str):
 
 
 class SequenceWriter:
-    """Writes a run of ids as one Arrow file: ``ids`` and ``mask`` (1 for an id, 0 for padding) of a fixed size for each sequence.
+    """Writes a run of ids as one Arrow file: ``ids`` and ``mask`` (a bit, set for an id and not for padding) of a fixed size for each sequence.
 
     Every batch but the last has the same number of sequences, so the place of an id gives batch, row and column.  Nothing
     is compressed: a memory map is the array.  A batch is written when it is full; no more than that waits in memory.
@@ -112,7 +112,7 @@ class SequenceWriter:
         system, path = _open(uri)
         self.kind, self.sequence, self.room = np.dtype(kind), sequence, sequence * batch_sequences
         own = pa.from_numpy_dtype(self.kind)
-        self.schema = pa.schema([("ids", pa.list_(own, sequence)), ("mask", pa.list_(pa.uint8(), sequence))],
+        self.schema = pa.schema([("ids", pa.list_(own, sequence)), ("mask", pa.list_(pa.bool_(), sequence))],
                                 metadata={"sequence": str(sequence), "batch_sequences": str(batch_sequences)})
         self.sink = system.open_output_stream(path)
         self.file = pa.ipc.new_file(self.sink, self.schema)
@@ -133,8 +133,7 @@ class SequenceWriter:
         ids = np.frombuffer(data, self.kind)
         self.written += len(ids)
         padding = -len(ids) % self.sequence
-        mask = np.ones(len(ids) + padding, np.uint8)
-        mask[len(ids):] = 0
+        mask = np.arange(len(ids) + padding) < len(ids)
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(values), self.sequence) for values in (np.pad(ids, (0, padding)), mask)]
         self.file.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
@@ -155,41 +154,41 @@ class SequenceFile:
         self.file = pa.ipc.open_file(self.source)
         described = self.file.schema.metadata
         self.sequence, self.batch_sequences = int(described[b"sequence"]), int(described[b"batch_sequences"])
-        self._held: tuple[int, np.ndarray, np.ndarray] = (-1, np.zeros(0), np.zeros(0))
+        self._held: tuple = (-1, np.zeros(0), pa.array([], pa.bool_()), 0)
 
     def __len__(self) -> int:
         """Number of sequences."""
         n = self.file.num_record_batches
         return (n - 1) * self.batch_sequences + self.file.get_batch(n - 1).num_rows if n else 0
 
-    def _batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _batch(self, k: int) -> tuple[np.ndarray, pa.BooleanArray, int]:
+        """Ids and masks of a batch as views, and how many ids it holds."""
         if self._held[0] != k:
-            batch = self.file.get_batch(k)
-            self._held = (k, *(batch.column(c).flatten().to_numpy(zero_copy_only=True) for c in range(2)))
+            ids, mask = (c.flatten() for c in self.file.get_batch(k).columns)
+            self._held = (k, ids.to_numpy(zero_copy_only=True), mask, mask.true_count)
         return self._held[1:]
 
-    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of sequence ``k``."""
         if not 0 <= k < len(self):
             raise IndexError(k)
         batch, row = divmod(k, self.batch_sequences)
-        ids, mask = self._batch(batch)
-        return tuple(a[row * self.sequence:(row + 1) * self.sequence] for a in (ids, mask))
+        ids, mask, _ = self._batch(batch)
+        return ids[row * self.sequence:(row + 1) * self.sequence], mask.slice(row * self.sequence, self.sequence)
 
     def pieces(self, start: int, length: int) -> Iterator[np.ndarray]:
         """Views of the ids in a range, one for each batch it touches; fewer ids if the range reaches into padding."""
         room = self.sequence * self.batch_sequences
         while length > 0 and start // room < self.file.num_record_batches:
-            ids, mask = self._batch(start // room)
-            at = start % room
-            view = ids[at:at + length][:int(np.count_nonzero(mask[at:at + length]))]
+            ids, _, n = self._batch(start // room)
+            view = ids[start % room:min(start % room + length, n)]
             if not len(view):
                 return
             yield view
             start, length = start + len(view), length - len(view)
 
     def close(self) -> None:
-        self._held = (-1, np.zeros(0), np.zeros(0))
+        self._held = (-1, np.zeros(0), pa.array([], pa.bool_()), 0)
         self.source.close()
 
 
@@ -261,7 +260,7 @@ def read_documents(spark: SparkSession, written: TokenFolder) -> DataFrame:
     starts = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     tasks = max(1, files.count())
     # A file's documents are small rows beside its ids, by which Spark would judge a broadcast.
-    placed = index.join(starts.hint("merge"), "file").repartition(tasks, "file").sortWithinPartitions("file", "position")
+    placed = index.join(starts.hint("merge"), "file").repartitionByRange(tasks, "part").sortWithinPartitions("file", "position")
     schema = T.StructType([written.schema["doc_id"]] + [T.StructField(n, t) for n, t in [
         ("start", T.LongType()), ("n_tokens", T.LongType()), ("ids_crc32", T.LongType()), ("last_id", T.LongType()), ("file", T.StringType()), ("position", T.LongType())]])
     folder = written.folder
