@@ -25,30 +25,34 @@ def join_first(keyed: DataFrame, first: DataFrame, row: Column) -> DataFrame:
     return spread.join(first.withColumnRenamed("_key", "_on"), "_on", "left").drop("_on")
 
 
-def import_guard(batch: DataFrame, store: DataFrame | None, text_col: str = "report_text", row_col: str = "row_no") -> DataFrame:
+def import_guard(batch: DataFrame, store: DataFrame | None, text_col: str = "report_text", row_col: str = "row_no", sound: Column | None = None) -> DataFrame:
     """Marks each batch row as ``new``, ``duplicate`` or ``empty`` and names what it repeats.
 
+    Where ``sound`` is false the row is known to fail: nothing can repeat it, so the next row of its text is the first.
+
     A stored report with the same fingerprint wins over a row of the same batch.  Owners are
     found by an aggregate on the key and joined back; the join has one owner row per key, so a
     hot key is split by the skew join.
     """
     keyed = batch.withColumn("_key", text_key(F.col(text_col)))
-    owners = keyed.select("_key", F.struct(F.lit(1).alias("rank"), F.col(row_col).cast("long").alias("at")).alias("o"),
+    own_rows = keyed if sound is None else keyed.filter(sound)
+    owners = own_rows.select("_key", F.struct(F.lit(1).alias("rank"), F.col(row_col).cast("long").alias("at")).alias("o"),
                           F.col(row_col).cast("string").alias("v"))
     if store is not None:
         # Keys written at import are read as they are; only those of the batch go on to the aggregate.
         known = F.col("text_key") if "text_key" in store.columns else text_key(F.col("report_text"))
+        asked = keyed.select("_key").distinct()
         stored = store.select(known.alias("_key"),
                               F.struct(F.lit(0).alias("rank"), F.col("id").cast("long").alias("at")).alias("o"),
                               F.col("report_id").alias("v"))
-        owners = owners.unionByName(stored.join(owners.select("_key").distinct(), "_key", "left_semi"))
+        owners = owners.unionByName(stored.join(asked, "_key", "left_semi"))
     first = first_of_key(owners, "_key", F.col("o"), F.col("v"))
     joined = join_first(keyed, first, F.col(row_col))
     blank = F.col("_key").isNull()
-    own = (F.col("first.o.rank") == 1) & (F.col("first.o.at") == F.col(row_col))
+    repeats = ~blank & F.coalesce((F.col("first.o.rank") == 0) | (F.col("first.o.at") < F.col(row_col)), F.lit(False))
     return joined.withColumns({
-        "import_state": F.when(blank, F.lit("empty")).when(own, F.lit("new")).otherwise(F.lit("duplicate")),
-        "duplicate_of": F.when(~blank & ~own, F.col("first.v")), "text_key": F.col("_key"),
+        "import_state": F.when(blank, F.lit("empty")).when(repeats, F.lit("duplicate")).otherwise(F.lit("new")),
+        "duplicate_of": F.when(repeats, F.col("first.v")), "text_key": F.col("_key"),
     }).drop("_key", "first")
 
 

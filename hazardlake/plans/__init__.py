@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["dashboards", "texts", "labels", "models"]
+_MODULES = ["dashboards", "texts", "labels", "models", "stores"]
 
 
 def load_queries():
