@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["dashboards", "texts", "labels", "models", "stores"]
+_MODULES = ["dashboards", "texts", "labels", "models", "stores", "streams"]
 
 
 def load_queries():

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from hazardlake.operators.dedupe import text_key
+from hazardlake.operators.mapping import resolve_mapping
 from hazardlake.operators.normalise import import_counters
 from hazardlake.operators.ranking import group_positions
 from hazardlake.plans.imports import import_reports
@@ -21,12 +25,19 @@ def landing_stream(spark: SparkSession, folder: str, schema: StructType, kind: s
     return reader.format(kind).option("header", "true").load(folder)
 
 
-def import_stream(rows: DataFrame, store_path: str, counters_path: str, checkpoint: str, read_store: Callable[[], DataFrame | None]) -> StreamingQuery:
+def import_stream(rows: DataFrame, store_path: str, counters_path: str, checkpoint: str, read_store: Callable[[], DataFrame | None],
+                  arrived: str | None = None, delay: str = "7 days", name: str | None = None) -> StreamingQuery:
     """Import each micro-batch against everything stored so far.
 
     Batches are written under their batch id, so a replayed batch replaces its own output and
-    nothing is stored twice.
+    nothing is stored twice.  With ``arrived`` (a time column), texts that repeat within ``delay`` are dropped by bounded
+    state before they reach the store check, which then sees each text once in that time.  What arrives is counted by
+    ``observe`` under the name ``arrivals``; a ``ProgressTable`` gathers it.
     """
+    text = resolve_mapping([c for c in rows.columns if c != arrived])["text"]
+    rows = rows.observe("arrivals", F.count(F.lit(1)).alias("rows"), F.count_if(text_key(F.col(f"`{text}`")).isNull()).alias("blank"))
+    if arrived is not None:
+        rows = without_repeats(rows, arrived, text, delay)
     def step(batch: DataFrame, batch_id: int) -> None:
         store = read_store()
         if store is not None and "batch_id" in store.columns:
@@ -42,13 +53,28 @@ def import_stream(rows: DataFrame, store_path: str, counters_path: str, checkpoi
         done.filter(F.col("import_state") != "new").select("row_no", "import_state", "duplicate_of", "source_id", "text_key").write.mode("overwrite").parquet(f"{store_path}_left_out/batch_id={batch_id}")
         done.unpersist()
 
-    return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return (writer.queryName(name) if name else writer).start()
+
+
+def _first_of_each_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = batch.column(batch.num_columns - 1).to_pylist()
+        first = dict(zip(reversed(keys), range(len(keys) - 1, -1, -1), strict=True))
+        yield batch.take(pa.array(sorted(first.values()), pa.int64()))
 
 
 def without_repeats(rows: DataFrame, time: str, text: str, delay: str = "7 days") -> DataFrame:
-    """Drops equal texts that arrive within the watermark; state is bounded by it and holds keys only."""
-    keyed = rows.withWatermark(time, delay).withColumn("_key", text_key(F.col(text)))
-    return keyed.dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+    """Drops equal texts that arrive within the watermark; state is bounded by it and holds keys only.
+
+    Blank texts repeat nothing and pass.  Repeats inside one Arrow batch go before the shuffle, so a text that fills a
+    third of the stream does not send all its rows to the task that holds its key.
+    """
+    marked = rows.withColumn("_key", text_key(F.col(f"`{text}`")))
+    keyed = by_place(marked.filter("_key IS NOT NULL"))
+    few = keyed.mapInArrow(_first_of_each_key, keyed.schema).toDF(*marked.columns)
+    kept = few.withWatermark(time, delay).dropDuplicatesWithinWatermark(["_key"])  # behind the Arrow step, which loses a column's mark
+    return kept.unionByName(marked.filter("_key IS NULL")).drop("_key")
 
 
 def weekly_stream(rows: DataFrame, time: str, sif: str, delay: str = "14 days") -> DataFrame:
@@ -64,6 +90,107 @@ def review_state_stream(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("report_pk").agg(F.max_by("decision", "id").alias("decision"), F.max("id").alias("review_id"))
 
 
-def progress_rows(query: StreamingQuery) -> list[dict]:
-    """Row counts and timings of the finished micro-batches."""
-    return [{"batch_id": p["batchId"], "rows": p["numInputRows"], "ms": p["durationMs"].get("triggerExecution")} for p in query.recentProgress]
+def by_place(df: DataFrame) -> DataFrame:
+    """Columns named by place, since Arrow functions can't take every header."""
+    return df.toDF(*(f"c{n}" for n in range(len(df.columns))))
+
+
+# ---- weekly trend with a table for late rows --------------------------------
+
+def week_start(time: Column) -> Column:
+    return F.date_trunc("week", time)
+
+
+def _batches(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # nothing was written yet
+        return None
+
+
+def watermark_before(spark: SparkSession, folder: str, batch_id: int, delay: str) -> object:
+    """The newest time of the batches before this one, less the delay: what Spark itself would use, and the same on a replay."""
+    clock = _batches(spark, f"{folder}/clock")
+    if clock is None:
+        return None
+    return clock.filter(F.col("batch_id") < batch_id).agg((F.max("newest") - F.expr(f"INTERVAL {delay}")).alias("mark")).first()["mark"]
+
+
+def trend_stream(rows: DataFrame, time: str, sif: str, folder: str, checkpoint: str, delay: str = "14 days") -> StreamingQuery:
+    """Weekly counts of arriving rows; rows of weeks that the watermark has closed go to a side table instead.
+
+    Each batch leaves, under its id, its counts per open week (``trend``), its late rows whole (``late``), and its newest
+    time with the numbers that ``observe`` saw while it was written (``clock``).  The clock is written last, and a batch
+    knows only the clocks before its own, so a replayed batch decides as it did the first time and replaces its output.
+    A closed week never changes in ``live_trend``; ``full_trend`` takes the late rows in.  Rows without a time belong to no week.
+    """
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        mark = watermark_before(spark, folder, batch_id, delay)
+        starts = week_start(F.col(time))
+        late = F.lit(False) if mark is None else F.coalesce(starts + F.expr("INTERVAL 7 days") <= F.lit(mark), F.lit(False))
+        marked = batch.withColumns({"week": starts.cast("date"), "_late": late})
+        seen = Observation("arrivals")
+        counted = marked.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if("_late").alias("late"), F.max(time).alias("newest"))
+        weekly = counted.filter(~F.col("_late") & F.col("week").isNotNull()).groupBy("week").agg(F.count(F.lit(1)).alias("report_count"), F.count_if(sif).alias("sif_count"))
+        weekly.write.mode("overwrite").parquet(f"{folder}/trend/batch_id={batch_id}")
+        marked.filter("_late").drop("_late", "week").write.mode("overwrite").parquet(f"{folder}/late/batch_id={batch_id}")
+        numbers = seen.get
+        clock = spark.createDataFrame([(numbers["rows"], numbers["late"], numbers["newest"])], "rows long, late long, newest timestamp")
+        clock.coalesce(1).write.mode("overwrite").parquet(f"{folder}/clock/batch_id={batch_id}")
+
+    return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def live_trend(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts per week as the stream knows them."""
+    parts = spark.read.parquet(f"{folder}/trend")
+    return parts.groupBy("week").agg(F.sum("report_count").alias("report_count"), F.sum("sif_count").alias("sif_count"))
+
+
+def full_trend(spark: SparkSession, folder: str, time: str, sif: str) -> DataFrame:
+    """The live trend and the late rows in one."""
+    late = spark.read.parquet(f"{folder}/late").groupBy(week_start(F.col(time)).cast("date").alias("week")).agg(F.count(F.lit(1)).alias("report_count"), F.count_if(sif).alias("sif_count"))
+    both = live_trend(spark, folder).unionByName(late)
+    return both.groupBy("week").agg(F.sum("report_count").alias("report_count"), F.sum("sif_count").alias("sif_count"))
+
+
+# ---- progress ---------------------------------------------------------------
+
+PROGRESS = "run string, batch_id long, rows long, blank long, dropped_repeats long, milliseconds long"
+
+
+class ProgressTable(StreamingQueryListener):
+    """Gathers a row for each finished micro-batch of the named query into a Parquet table.
+
+    The row stands under its batch id, so a batch that is run again replaces it.
+    """
+
+    def __init__(self, spark: SparkSession, query_name: str, folder: str):
+        self.spark, self.query_name, self.folder = spark, query_name, folder
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        if event.progress.name == self.query_name:
+            self.record(json.loads(event.progress.json))
+
+    def record(self, progress: dict) -> None:
+        seen = progress.get("observedMetrics", {}).get("arrivals")
+        if seen is None:  # a batch without rows, run to move the watermark
+            return
+        dropped = sum(o.get("customMetrics", {}).get("numDroppedDuplicateRows", 0) for o in progress.get("stateOperators", []))
+        row = (progress["runId"], progress["batchId"], seen["rows"], seen["blank"], dropped, progress["durationMs"].get("triggerExecution"))
+        self.spark.createDataFrame([row], PROGRESS).coalesce(1).drop("batch_id").write.mode("overwrite").parquet(f"{self.folder}/batch_id={progress['batchId']}")
+
+
+def import_progress(spark: SparkSession, progress: str, counters: str) -> DataFrame:
+    """What arrived, what state dropped and what the import made of the rest, for each batch."""
+    return spark.read.parquet(progress).join(spark.read.parquet(counters), "batch_id", "left")
