@@ -25,15 +25,19 @@ def sparse_rows(prepared: DataFrame, *keep: str) -> DataFrame:
     return prepared.select(*keep, made["size"].alias("size"), made["indices"].alias("indices"), made["values"].alias("values"))
 
 
-def _times(batch: pa.RecordBatch, thin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, value) of a batch's entries, and its product with the thin matrix."""
+def _entries(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and values of each row; a row is handled alone, so memory is bounded by the longest."""
     indices, values = batch.column("indices"), batch.column("values")
-    lengths = np.diff(indices.offsets.to_numpy(zero_copy_only=False))
+    ends = indices.offsets.to_numpy(zero_copy_only=False) - indices.offsets[0].as_py()
     places, entries = indices.flatten().to_numpy(zero_copy_only=False), values.flatten().to_numpy(zero_copy_only=False)
-    rows = np.repeat(np.arange(batch.num_rows), lengths)
-    product = np.zeros((batch.num_rows, thin.shape[1]))
-    np.add.at(product, rows, entries[:, None] * thin[places])
-    return rows, places, entries, product
+    for k in range(batch.num_rows):
+        yield places[ends[k]:ends[k + 1]], entries[ends[k]:ends[k + 1]]
+
+
+def _times(batch: pa.RecordBatch, thin: np.ndarray) -> np.ndarray:
+    """The batch's rows times the thin matrix."""
+    rows = [entries @ thin[places] for places, entries in _entries(batch)]
+    return np.stack(rows) if rows else np.zeros((0, thin.shape[1]))
 
 
 def _summed(parts: DataFrame, blocks: int, width: int) -> np.ndarray:
@@ -62,8 +66,8 @@ def _gathered(rows: DataFrame, thin: np.ndarray) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((blocks * BLOCK, width))
         for batch in batches:
-            r, places, entries, product = _times(batch, thin)
-            np.add.at(total, places, entries[:, None] * product[r])
+            for places, entries in _entries(batch):
+                total[places] += np.outer(entries, entries @ thin[places])
         for k in range(blocks):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k * BLOCK:(k + 1) * BLOCK].tobytes()])], names=["block", "cells"])
 
@@ -108,7 +112,7 @@ def principal_components(rows: DataFrame, k: int, oversampling: int = OVERSAMPLI
 
 def _projected(components: Components):
     shift = components.mean @ components.directions
-    return lambda batch: _times(batch, components.directions)[3] - shift
+    return lambda batch: _times(batch, components.directions) - shift
 
 
 @dataclass(frozen=True)

@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["dashboards", "texts", "labels", "models", "stores", "streams"]
+_MODULES = ["dashboards", "texts", "labels", "models", "stores", "streams", "corpora"]
 
 
 def load_queries():
