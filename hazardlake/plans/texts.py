@@ -306,7 +306,55 @@ def _(t: Tables):
         F.count(F.lit(1)).alias("kept"), F.count_if("c.negated").alias("negated"))
 
 
-@query("c5_evidence_spans")
+# Spans said once more in SQL: nullifying phrases are masked by as many tildes, so positions stay; the last negation before
+# a phrase and the first behind it then widen the span; the greedy choice is a fold over the ordered spans.
+def _masked(column: str) -> str:
+    for phrase in english.NULLIFY_PHRASES:
+        column = f"replace({column}, {q(phrase)}, {q('~' * len(phrase))})"
+    return column
+
+
+def _outermost(column: str, last: bool) -> str:
+    """Start of the last negation in a text, or end of the first, from zero; null without one."""
+    if last:
+        spots = [f"CASE WHEN contains({column}, {q(t)}) THEN length({column}) - strpos(reverse({column}), {q(t[::-1])}) + 1 - {len(t)} END" for t in english.NEGATION_TOKENS]
+        return "greatest(" + ", ".join(spots) + ")"
+    return "least(" + ", ".join(f"CASE WHEN contains({column}, {q(t)}) THEN strpos({column}, {q(t)}) - 1 + {len(t)} END" for t in english.NEGATION_TOKENS) + ")"
+
+
+def _fold(spans_of: str, first: str) -> str:
+    """Spans taken in the order ``first``, unless they overlap one of the same rule taken before."""
+    return f"""(SELECT doc_id, unnest(list_reduce(list_transform(list({{'r': r, 'ord': ord, 's': s, 'e': e, 'phrase': phrase, 'negated': negated}} ORDER BY {first}), lambda x: [x]),
+  lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: k.r = x[1].r AND k.s < x[1].e AND x[1].s < k.e)) > 0 THEN kept ELSE list_concat(kept, x) END)) AS m FROM {spans_of} GROUP BY doc_id)"""
+
+
+_EDGE = r"[^ \t\n.,;:!?()\[\]{}''\"|«»“”‘’—–]*"
+_GLUED = r"'[a-z0-9_\-''\x{2d}]$'"
+_CONSEQUENCES = ", ".join(f"({n}, {q(rule['consequence'])})" for n, rule in enumerate(LEX.rules))
+SPANS = OCCURRENCES + f""", seen AS (SELECT doc_id, ord, r, pos, length(p) AS n, neg, greatest(pos - 60, 0) AS lo, pre, post,
+    regexp_matches(regexp_replace(pre, {_NUL}, '', 'g'), {_NEG}) OR regexp_matches(regexp_replace(post, {_NUL}, '', 'g'), {_NEG}) AS negated
+  FROM occ WHERE NOT one OR (NOT regexp_matches(pre, {_GLUED}) AND NOT (p = 'guard' AND starts_with(post, 'rail')))),
+around AS (SELECT *, {_masked("pre")} AS mpre, {_masked("post")} AS mpost FROM seen WHERE negated OR NOT neg),
+bounds AS (SELECT doc_id, r, ord, negated, clean_text, least(pos - length(regexp_extract(substr(low_text, 1, pos), '[a-z0-9_''-]*$')), lo + {_outermost("mpre", True)}) AS s,
+  greatest(pos + n + length(regexp_extract(substr(low_text, pos + n + 1), '^[a-z0-9_''-]*')), pos + n + {_outermost("mpost", False)}) AS e FROM around JOIN low USING (doc_id)),
+espan AS (SELECT doc_id, r, ord, s, e, trim(substr(clean_text, greatest(s, 0) + 1, e - greatest(s, 0)), ' ,;.:"''') AS phrase, negated FROM bounds),
+english AS (SELECT doc_id, m.* FROM {_fold("espan", "s - e, r, ord, s, e, phrase")}),
+fl(ord, r, p) AS (VALUES {_FOREIGN_ROWS}),
+fat AS (SELECT doc_id, ord, r, strpos(low_text, p) - 1 AS s, strpos(low_text, p) - 1 + length(p) AS e, clean_text FROM low JOIN fl ON contains(low_text, p)),
+fspan AS (SELECT doc_id, ord, r, s, e, trim(regexp_extract(substr(clean_text, 1, s), '{_EDGE}$') || substr(clean_text, s + 1, e - s) || regexp_extract(substr(clean_text, e + 1), '^{_EDGE}')) AS phrase, true AS negated FROM fat),
+strange AS (SELECT doc_id, m.* FROM {_fold("fspan", "ord")}),
+merged AS (SELECT 0 AS part, * FROM english UNION ALL SELECT 1, * FROM strange f WHERE NOT EXISTS (SELECT 1 FROM english e WHERE e.doc_id = f.doc_id AND e.r = f.r AND e.s < f.e AND f.s < e.e)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY part, s, length(phrase) DESC, CASE WHEN part = 1 THEN ord ELSE s - e END, r, ord) - 1 AS n FROM merged),
+grave(r, consequence) AS (VALUES {_CONSEQUENCES}),
+counted AS (SELECT doc_id, count(*) AS k, bool_or(negated) AS negated, bool_or(regexp_matches(lower(consequence), 'fatality|serious injury')) AS grave FROM merged JOIN grave USING (r) GROUP BY 1),
+factors AS (SELECT doc_id, coalesce(k, 0)::INT AS indicators, (CASE WHEN k IS NULL THEN 0 WHEN grave THEN 2 ELSE 1 END)::INT AS severity,
+  (CASE WHEN k > 0 AND {sql_any('low_text', english.EXPOSURE_TERMS)} THEN 1 ELSE 0 END)::INT AS exposure, (CASE WHEN k > 0 AND (negated OR {sql_any('low_text', english.MISSING_CONTROL_TERMS)}) THEN 1 ELSE 0 END)::INT AS barrier_failure
+  FROM low LEFT JOIN counted USING (doc_id) WHERE clean_text IS NOT NULL),
+final_counts AS (SELECT doc_id, r, rule, count(*) AS k FROM merged JOIN rules USING (r) GROUP BY 1, 2, 3)
+"""
+
+
+@query("c5_evidence_spans", SPANS + 'SELECT doc_id, r, ord, s AS start, e AS "end", phrase FROM espan')
 def _(t: Tables):
     return _candidates(t).select("doc_id", F.explode("candidates").alias("c")).select("doc_id", "c.r", "c.ord", "c.start", "c.end", "c.phrase")
 
@@ -315,7 +363,7 @@ def _english(t: Tables):
     return clean_texts(t).withColumn("matches", spans.english_matches(F.col("clean_text"), F.col("low_text"), LEX))
 
 
-@query("c6_longest_matches")
+@query("c6_longest_matches", SPANS + 'SELECT doc_id, rule, s AS start, e AS "end", phrase FROM english JOIN rules USING (r)')
 def _(t: Tables):
     return _english(t).select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.rule", "m.start", "m.end", "m.phrase")
 
@@ -346,7 +394,13 @@ def _(t: Tables):
     return rows.select("doc_id", "m.rule", F.lit(True).alias("found")).distinct()
 
 
-@query("c11_merged_matches")
+@query("c10_foreign_spans", SPANS + 'SELECT doc_id, rule, s AS start, e AS "end", phrase FROM strange JOIN rules USING (r)')
+def _(t: Tables):
+    rows = clean_texts(t).select("doc_id", F.explode(spans.foreign_matches(F.col("clean_text"), F.col("low_text"), LEX)).alias("m"))
+    return rows.select("doc_id", "m.rule", "m.start", "m.end", "m.phrase")
+
+
+@query("c11_merged_matches", SPANS + 'SELECT doc_id, n, rule, phrase, s AS start, e AS "end", negated FROM numbered JOIN rules USING (r)')
 def _(t: Tables):
     rows = na.with_matches(t.texts).select("doc_id", F.posexplode("matches").alias("n", "m"))
     return rows.select("doc_id", "n", "m.rule", "m.phrase", "m.start", "m.end", "m.negated")
@@ -425,13 +479,26 @@ def _(t: Tables):
     return _factors(t).select("id", na.confidence(F.col("factors")).alias("confidence"))
 
 
-@query("c15_report_scores")
+@query("c15_report_scores", SPANS + """SELECT *, CASE WHEN least(indicators, 3) + severity + exposure + barrier_failure >= 5 THEN 'HIGH' WHEN least(indicators, 3) + severity + exposure + barrier_failure >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS priority,
+  CASE WHEN indicators = 0 THEN 0.55::DOUBLE ELSE round(least(0.97::DOUBLE, 0.62::DOUBLE + 0.11::DOUBLE * indicators + 0.05::DOUBLE * severity), 2) END AS confidence FROM factors""")
 def _(t: Tables):
     rows = na.with_matches(t.texts).filter("clean_text IS NOT NULL")
     scored = rows.select("doc_id", na.priority_factors(F.col("matches"), F.col("low_text")).alias("f"))
     return scored.select("doc_id", "f.*", na.priority_label(F.col("f")).alias("priority"), na.confidence(F.col("f")).alias("confidence"))
 
 
+@query("c17_report_rule", SPANS + """SELECT doc_id, rule, round(least(0.98::DOUBLE, 0.60::DOUBLE + 0.12::DOUBLE * k), 2) AS confidence FROM final_counts QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, r) = 1""")
+def _(t: Tables):
+    rows = na.with_matches(t.texts).filter(F.size("matches") > 0)
+    return rows.select("doc_id", na.primary_rule(F.col("matches"), F.col("low_text"), LEX).alias("p")).select("doc_id", "p.rule", "p.confidence")
+
+
+@query("c19_report_rule_counts", SPANS + "SELECT doc_id, rule, k AS matches, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, r) - 1 AS place FROM final_counts")
+def _(t: Tables):
+    rows = na.with_matches(t.texts).select("doc_id", F.posexplode(na.rule_counts(F.col("matches"))).alias("place", "c"))
+    return rows.select("doc_id", "c.rule", F.col("c.count").alias("matches"), "place")
+
+
 _PRIMARY_SQL = OCCURRENCES + """, n AS (SELECT doc_id, r, rule, count(*) AS k FROM hit JOIN rules USING (r) GROUP BY 1, 2, 3) """
 
 
@@ -605,7 +672,8 @@ def _(t: Tables):
                                F.concat_ws("|", "equipment").alias("equipment"), "location", "unsafe_type")
 
 
-@query("d16_score_rows")
+@query("d16_score_rows", SPANS + """SELECT doc_id, f.factor, f.points FROM (SELECT doc_id, unnest([{'factor': 'indicators', 'points': indicators}, {'factor': 'severity', 'points': severity}, {'factor': 'exposure', 'points': exposure},
+  {'factor': 'barrier_failure', 'points': barrier_failure}]) AS f FROM factors) WHERE f.points > 0""")
 def _(t: Tables):
     rows = na.with_matches(t.texts).filter("clean_text IS NOT NULL").select("doc_id", na.priority_factors(F.col("matches"), F.col("low_text")).alias("f"))
     pairs = F.array(*[F.struct(F.lit(n).alias("factor"), F.col(f"f.{n}").alias("points")) for n in ("indicators", "severity", "exposure", "barrier_failure")])
