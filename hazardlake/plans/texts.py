@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from hazardlake.functions import spans
 from hazardlake.functions import text as tx
-from hazardlake.functions.columns import any_of, fence, let
+from hazardlake.functions.columns import any_of, constant, fence, let
 from hazardlake.lexicon import DEFAULT as LEX
 from hazardlake.operators import analysis as na
 from hazardlake.operators import dedupe as dd
 from hazardlake.operators import normalise as nm
-from hazardlake.operators.conditions import BREACHED
+from hazardlake.operators.conditions import BREACHED, term_positions
 from hazardlake.plans.catalog import query, views
 from hazardlake.sources.tables import Tables
 from hazardlake.vocab import english, foreign
@@ -559,12 +559,76 @@ def _(t: Tables):
         "doc_id", F.concat_ws("|", na.english_equipment(low)).alias("equipment"), F.concat_ws("|", na.hazards(low, nothing)).alias("hazards"))
 
 
-@query("c22_barrier_failures")
+_FAIL_WORDS = q(any_of(spans.FAILURE_WORDS).replace("\\ ", " ").replace("\\-", "-"))
+_FAIL_FOREIGN = q("(^|[^a-z0-9])" + any_of(english.FOREIGN_NEGATION_TOKENS).replace("\\ ", " ") + "($|[^a-z0-9])")
+
+
+def _clause(at: str, width: str) -> str:
+    """Text around a term up to sentence ends and connectors, without nullifying phrases."""
+    left = f"regexp_extract(substr(low_text, greatest({at} - 45, 0) + 1, least({at}, 45)), '[^.!?;]*$')"
+    right = f"regexp_extract(substr(low_text, {at} + {width} + 1, 30), '^[^.!?;]*')"
+    for connector in english.CLAUSE_CONNECTORS:
+        left, right = f"string_split({left}, {q(connector)})[-1]", f"string_split({right}, {q(connector)})[1]"
+    return f"regexp_replace({left} || substr(low_text, {at} + 1, {width}) || {right}, {_NUL}, '', 'g')"
+
+
+def _term_spots(table: str) -> str:
+    """Places of control terms (from zero); a single word must not continue another one."""
+    blocked = " OR ".join(f"(term = {q(word)} AND starts_with(substr(low_text, place + length(term) + 1, 12), {q(end)}))" for word, ends in english.FOLLOW_BLOCKS.items() for end in ends)
+    return f"""(SELECT * FROM (SELECT *, (list_sum(list_transform(pieces[1:i], lambda x: length(x))) + (i - 1) * length(term))::BIGINT AS place
+  FROM (SELECT *, string_split(low_text, term) AS pieces FROM low JOIN {table} ON contains(low_text, term)), unnest(range(1, len(pieces))) u(i))
+  WHERE contains(term, ' ') OR NOT ((place > 0 AND regexp_matches(substr(low_text, place, 1), '[\\p{{L}}\\p{{N}}]')) OR {blocked}))"""
+
+
+def _values_of(rows) -> str:
+    return ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else q(v) for v in row) + ")" for row in rows)
+
+
+_BARRIERS = _values_of((n, label, term) for n, (label, terms) in enumerate(english.BARRIER_TERMS.items()) for term in terms)
+_RULE_FACTS = _values_of((n, rule["hazard"], rule["barriers"][0]) for n, rule in enumerate(LEX.rules))
+
+
+def _labels_sql(column: str, table) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {sql_any(column, words)} THEN {q(label)} END" for label, words in table) + "], lambda x: x IS NOT NULL)"
+
+
+_PROFILE_PARTS = _PROFILE_SQL[len(TEXTS):].replace(f"rules(r, rule) AS (VALUES {_RULE_ROWS}),", "", 1)
+FINDINGS = SPANS + _PROFILE_PARTS + f""", bt(b, label, term) AS (VALUES {_BARRIERS}), facts(r, hazard, barrier) AS (VALUES {_RULE_FACTS}),
+windows AS (SELECT doc_id, b, label, {_clause("place", "length(term)")} AS w FROM {_term_spots("bt")}),
+weak AS (SELECT DISTINCT doc_id, b, label FROM windows WHERE regexp_matches(w, {_FAIL_WORDS}) OR regexp_matches(w, {_FAIL_FOREIGN})),
+barriers AS (SELECT doc_id, label, min(part * 100000 + n) AS place FROM (SELECT doc_id, 0 AS part, n, barrier AS label FROM numbered JOIN facts USING (r) UNION ALL SELECT doc_id, 1, b, label FROM weak) GROUP BY 1, 2),
+barrier_lists AS (SELECT doc_id, string_agg(label, '|' ORDER BY place) AS barriers FROM barriers GROUP BY 1),
+match_lists AS (SELECT doc_id, list(hazard ORDER BY n) AS hazards, list(phrase ORDER BY n) AS phrases FROM numbered JOIN facts USING (r) GROUP BY 1),
+main_rule AS (SELECT doc_id, rule, round(least(0.98::DOUBLE, 0.60::DOUBLE + 0.12::DOUBLE * k), 2) AS confidence FROM final_counts QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, r) = 1),
+whole AS (SELECT doc_id, k IS NOT NULL AS sif_potential, coalesce(m.rule, pr.rule) AS life_saving_rule, coalesce(m.confidence, pr.confidence) AS rule_confidence, coalesce(barriers, '') AS barriers,
+  list_concat(coalesce(hazards, []), {_labels_sql('low_text', english.EXTRA_HAZARDS.items())}) AS all_hazards, coalesce(phrases, []) AS phrases, clean_text, low_text,
+  {_case('low_text', english.EXPLICIT_ACTIVITIES + list(english.ACTIVITY_TERMS.items()))} AS stated, {_case('low_text', [(label, [term]) for term, label in english.LOCATION_TERMS])} AS location,
+  list_concat({_labels_sql('low_text', english.EQUIPMENT_TERMS.items())}, {_labels_sql('clean_text', foreign.EQUIPMENT_TERMS.items())}) AS all_equipment
+  FROM low LEFT JOIN counted USING (doc_id) LEFT JOIN main_rule m USING (doc_id) LEFT JOIN pr USING (doc_id) LEFT JOIN barrier_lists USING (doc_id) LEFT JOIN match_lists USING (doc_id) WHERE clean_text IS NOT NULL)
+"""
+
+
+def _once(column: str) -> str:
+    """Distinct items in the order of their first place, joined."""
+    return f"array_to_string(list_filter({column}, lambda x, i: list_position({column}, x) = i), '|')"
+
+
+@query("c22_barrier_failures", FINDINGS + "SELECT doc_id, label AS barrier FROM barriers")
 def _(t: Tables):
     rows = na.with_matches(t.texts).filter("clean_text IS NOT NULL")
     return rows.select("doc_id", F.explode(na.barrier_failures(F.col("low_text"), F.col("matches"))).alias("barrier"))
 
 
+@query("c23_term_windows", FINDINGS + "SELECT doc_id, label AS barrier, md5(w) AS window_text, count(*) AS times FROM windows GROUP BY 1, 2, 3")
+def _(t: Tables):
+    # every place of every control term
+    low = F.col("low_text")
+    table = constant([{"label": label, "term": term} for label, terms in english.BARRIER_TERMS.items() for term in terms], "array<struct<label:string,term:string>>")
+    rows = F.flatten(F.transform(table, lambda b: F.transform(term_positions(low, b["term"]), lambda at: F.struct(
+        b["label"].alias("barrier"), F.md5(spans.clause_window(low, at, F.length(b["term"]))).alias("window_text")))))
+    return clean_texts(t).filter("low_text IS NOT NULL").select("doc_id", F.explode(rows).alias("x")).groupBy("doc_id", "x.barrier", "x.window_text").agg(F.count(F.lit(1)).alias("times"))
+
+
 @query("c23_clause_windows")
 def _(t: Tables):
     low, width = F.col("low_text"), F.lit(len("harness"))
@@ -627,6 +691,13 @@ def _(t: Tables):
                                F.size(F.filter("rule_conditions", lambda c: c["status"] == BREACHED)).alias("breached"))
 
 
+@query("c30_findings", FINDINGS + f"""SELECT doc_id, sif_potential, CASE WHEN least(indicators, 3) + severity + exposure + barrier_failure >= 5 THEN 'HIGH' WHEN least(indicators, 3) + severity + exposure + barrier_failure >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS priority,
+  CASE WHEN indicators = 0 THEN 0.55::DOUBLE ELSE round(least(0.97::DOUBLE, 0.62::DOUBLE + 0.11::DOUBLE * indicators + 0.05::DOUBLE * severity), 2) END AS confidence, life_saving_rule, rule_confidence, all_hazards[1] AS hazard, barriers,
+  {_once("phrases")} AS evidence FROM whole JOIN factors USING (doc_id)""")
+def _(t: Tables):
+    return _analysed(t).select("doc_id", "sif_potential", "priority", "confidence", "life_saving_rule", "rule_confidence", "hazard", F.concat_ws("|", "barrier_failure").alias("barriers"), F.concat_ws("|", "evidence").alias("evidence"))
+
+
 @query("c31_backfill_rule", _PROFILE_SQL + "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN rule ELSE 'Line of Fire' END AS life_saving_rule FROM pr")
 def _(t: Tables):
     rows = clean_texts(t).filter("low_text IS NOT NULL").withColumn("life_saving_rule", F.when(F.col("doc_id") % 3 != 0, "Line of Fire"))
@@ -666,7 +737,11 @@ def _(t: Tables):
     return rows.groupBy("r", "phrase").agg(F.countDistinct("doc_id").alias("reports")).join(F.broadcast(rules), "r").select("rule", "phrase", "reports")
 
 
-@query("c36_extraction")
+_IMPLIED = "CASE life_saving_rule " + " ".join(f"WHEN {q(rule)} THEN {q(act)}" for rule, act in english.RULE_TO_ACTIVITY.items()) + " END"
+
+
+@query("c36_extraction", FINDINGS + f"""SELECT doc_id, coalesce(stated, {_IMPLIED}) AS analysis_activity, {_once("all_hazards")} AS hazards, barriers, {_once("all_equipment")} AS equipment, location,
+  CASE WHEN {sql_any('low_text', english.ACT_ACTORS)} THEN 'Unsafe Act' WHEN {sql_any('low_text', english.CONDITION_WORDS)} THEN 'Unsafe Condition' END AS unsafe_type FROM whole""")
 def _(t: Tables):
     return _analysed(t).select("doc_id", "analysis_activity", F.concat_ws("|", "hazards").alias("hazards"), F.concat_ws("|", "barrier_failure").alias("barriers"),
                                F.concat_ws("|", "equipment").alias("equipment"), "location", "unsafe_type")
