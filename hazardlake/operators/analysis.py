@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hazardlake.functions import spans
 from hazardlake.functions import text as tx
-from hazardlake.functions.columns import all_labels, constant, fence, first_label, has_any, let, word_list
+from hazardlake.functions.columns import all_labels, blank_to_null, constant, fence, first_label, has_any, let, word_list
 from hazardlake.lexicon import DEFAULT, Lexicon
 from hazardlake.operators.conditions import breached_labels, rule_conditions, term_positions
 from hazardlake.vocab import english, foreign
@@ -15,9 +15,8 @@ from hazardlake.vocab import english, foreign
 MODEL_TAG = "rules-v1"
 MATCH = ("struct<rule:string,rule_ord:int,phrase:string,start:int,end:int,hazard:string,"
          "consequence:string,barrier:string,negated:boolean>")
-FALLBACK_NOTE = ("No direct Life-Saving Rule indicator was detected. The displayed rule was selected by the "
-                 "low-confidence text-profile fallback and requires HSE review.")
-NO_PRECURSOR_ACTION = "No SIF precursor detected — file under routine observations; no escalation required."
+FALLBACK_NOTE = "No indicator phrase was found. The rule shown is only the closest one by shared words; a reviewer should confirm it."
+NOTHING_TO_DO = "No precursor found: keep the report on file, nothing else to do."
 
 
 # The functions below take the lowercased text where only its words matter, so that the
@@ -180,81 +179,48 @@ def sentence_at(text: Column, at: Column) -> Column:
 
 
 def explanation(c: dict[str, Column]) -> Column:
+    """Why the verdict is what it is: the sentence of the first match, what it means, and what was only assumed."""
     first = F.get(c["evidence"], F.lit(0))
     at = (F.position(F.lower(first), c["low"]) - 1).cast("int")
-    sentence = let(at, lambda p: F.when(p >= 0, sentence_at(c["text"], p)))
-    stated = let(sentence, lambda s: F.when(
-        s.isNotNull() & (s != "") & (F.length(s) <= 400), F.concat(F.lit('The report states: "'), s, F.lit('"')))
-        .otherwise(F.concat(F.lit('The key phrase in the report is: "'), first, F.lit('"'))))
+    sentence = let(at, lambda p: F.when(p >= 0, blank_to_null(sentence_at(c["text"], p))))
     breached = breached_labels(c["rule_conditions"])
-    note = lambda name, reason: F.concat(
-        F.lit(f"{name} is not stated explicitly in the report — "), reason, F.lit("."))
+    assumed = F.concat_ws(
+        "; ", F.when(c["fallback"], F.concat(F.lit("the rule, by shared words only ("), F.format_string("%.2f", c["rule_confidence"]), F.lit(")"))),
+        F.when(c["activity_inferred"], F.concat(F.lit("the activity, because of the rule "), c["rule"])),
+        F.concat(F.lit("the place, from the words “"), c["location_term"], F.lit("”")))
     parts = [
-        F.when(F.size(c["evidence"]) > 0, stated),
-        F.when(c["hazard"].isNotNull(), F.concat(F.lit("This is associated with "), F.lower(c["hazard"]), F.lit("."))),
-        F.when(c["rule"].isNotNull(), F.concat(F.lit("It maps to the Life-Saving Rule: "), c["rule"], F.lit("."))),
-        F.when(F.size(c["barriers"]) > 0, F.concat(F.lit("Key safety barrier(s) affected: "),
-                                                   F.concat_ws(", ", c["barriers"]), F.lit("."))),
-        F.when(F.size(breached) > 0, F.concat(F.lit("Rule conditions indicated as breached: "),
-                                              F.concat_ws("; ", F.slice(breached, 1, 4)), F.lit("."))),
-        F.when(c["fallback"], note("Life_saving_rule", F.concat(
-            F.lit("selected by low-confidence lexical matching ("), F.format_string("%.2f", c["rule_confidence"]),
-            F.lit(")")))),
-        F.when(c["activity_inferred"], note("Activity", F.concat(F.lit("inferred from the mapped rule ("), c["rule"],
-                                                                 F.lit(")")))),
-        F.when(c["location_term"].isNotNull(), note("Location", F.concat(
-            F.lit("inferred from the text (mentions '"), c["location_term"], F.lit("')")))),
+        F.when(F.size(c["evidence"]) > 0, F.concat(F.lit("Reported: “"), F.coalesce(sentence, first), F.lit("”"))),
+        F.concat(F.lit("Hazard: "), F.lower(c["hazard"]), F.lit(".")),
+        F.concat(F.lit("Life-Saving Rule: "), c["rule"], F.lit(".")),
+        F.when(F.size(c["barriers"]) > 0, F.concat(F.lit("Barriers that failed: "), F.concat_ws(", ", c["barriers"]), F.lit("."))),
+        F.when(F.size(breached) > 0, F.concat(F.lit("Requirements not met: "), F.concat_ws("; ", breached), F.lit("."))),
+        F.when(assumed != "", F.concat(F.lit("Assumed, not written: "), assumed, F.lit("."))),
     ]
     joined = F.concat_ws(" ", *parts)
-    return F.when(joined == "", F.lit("No SIF indicators detected in the report.")).otherwise(joined)
-
-
-def _sentence_case(text: Column) -> Column:
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substr(text, F.lit(2))))
+    return F.when(joined == "", F.lit("Nothing here points to a serious injury.")).otherwise(joined)
 
 
 def summary(c: dict[str, Column]) -> Column:
+    """Event, risk, next step and unmet requirements, a line each; nothing is shortened."""
     first = F.get(c["evidence"], F.lit(0))
-    quote = F.when(F.length(first) > 110, F.concat(F.rtrim(F.substring(first, 1, 109)), F.lit("…"))).otherwise(first)
-    happened = (
-        F.when(quote.isNotNull(), F.concat(F.coalesce(_sentence_case(c["activity"]), F.lit("Work")),
-                                           F.lit(" was in progress when the report recorded: “"), quote, F.lit("”.")))
-        .when(c["activity"].isNotNull(), F.concat(F.lit("The report describes an issue during "),
-                                                  F.lower(c["activity"]), F.lit(" work.")))
-        .otherwise(F.lit("The report describes an unsafe act / condition observed on site.")))
-    risks = F.concat_ws(
-        "; ", F.concat(F.lit("potential for "), F.lower(c["consequence"])),
-        F.concat(F.lit("hazard: "), F.lower(c["hazard"])),
-        F.concat(F.lit("mapped to the Life-Saving Rule: "), c["rule"]))
-    matters = F.when(c["sif"], F.concat(
-        F.lit("This situation carries "), F.when(risks == "", F.lit("serious-injury potential")).otherwise(risks),
-        F.lit(" — under slightly different circumstances it could have caused a serious injury or fatality."))
-    ).otherwise(F.lit("No serious-injury / fatality (SIF) precursor indicators were found — "
-                      "this reads as a routine observation rather than a high-potential event."))
-    following = F.when(F.size(c["barriers"]) > 0, F.concat(
-        F.lit("Reinstate and verify the affected control(s) before any similar work resumes ("),
-        F.concat_ws(", ", F.slice(c["barriers"], 1, 2)), F.lit(")."))
-    ).otherwise(F.lit("File the observation and include it in the next routine HSE review cycle."))
     breached = breached_labels(c["rule_conditions"])
-    tail = F.when(F.size(breached) > 0, F.concat(F.lit("\n\nLife-Saving-Rule conditions breached — "),
-                                                 F.concat_ws("; ", F.slice(breached, 1, 4)))).otherwise(F.lit(""))
-    return F.concat(F.lit("What happened — "), happened, F.lit("\n\nWhy it matters — "), matters,
-                    F.lit("\n\nNext step — "), following, tail)
+    event = F.concat_ws(", ", F.coalesce(c["activity"], F.lit("activity not stated")), F.concat(F.lit("“"), first, F.lit("”")))
+    could = F.concat_ws(", ", F.lower(c["consequence"]), F.lower(c["hazard"]), c["rule"])
+    risk = F.when(c["sif"], F.when(could == "", F.lit("serious injury possible")).otherwise(could)).otherwise(F.lit("routine, no precursor found"))
+    after = F.when(F.size(c["barriers"]) > 0, F.concat(F.lit("restore "), F.concat_ws(", ", c["barriers"]), F.lit(" before this work goes on"))).otherwise(F.lit("none beyond the regular review"))
+    lines = [F.concat(F.lit("Event: "), event), F.concat(F.lit("Risk: "), risk), F.concat(F.lit("Next: "), after),
+             F.when(F.size(breached) > 0, F.concat(F.lit("Not met: "), F.concat_ws("; ", breached)))]
+    return F.concat_ws("\n", *lines)
 
 
 def suggested_actions(sif: Column, rule: Column, barriers: Column, priority: Column, lexicon: Lexicon) -> Column:
-    """Follow-up of the rule, every barrier, crew briefing, then the step its priority asks for."""
+    """Follow-up of the rule, a check of every barrier, a talk with the crew, then the step its priority asks for."""
     follow_up = F.try_element_at(constant({r["name"]: r["follow_up"] for r in lexicon.rules}, "map<string,string>"), rule)
-    verify = F.transform(barriers, lambda b: F.concat(
-        F.lit("Verify and reinstate "), F.lower(b),
-        F.lit(" before the next similar job starts; record who confirmed it and when.")))
-    brief = F.concat(F.lit("Brief the crew on the "), F.lower(rule),
-                     F.lit(" requirements for this activity (toolbox talk) and confirm the permit / checklists are in place."))
-    step = (F.when(priority == "HIGH", F.lit("Escalate to HSE for same-day review and a physical site check."))
-            .when(priority == "MEDIUM", F.lit("Schedule an HSE review within 48 hours and add the site to the "
-                                              "weekly inspection list.")))
-    listed = F.array_compact(F.concat(F.array(follow_up), verify, F.array(brief, step)))
-    return F.when(sif, listed).otherwise(F.array(F.lit(NO_PRECURSOR_ACTION)))
+    checks = F.transform(barriers, lambda b: F.concat(F.lit("Check on site and restore: "), F.lower(b), F.lit("; note who did it.")))
+    talk = F.concat(F.lit("Go through “"), rule, F.lit("” with the crew and compare the papers with the job."))
+    step = F.when(priority == "HIGH", F.lit("Site visit by HSE today.")).when(priority == "MEDIUM", F.lit("HSE review within two days; site on this week's inspection round."))
+    listed = F.array_compact(F.concat(F.array(follow_up), checks, F.array(talk, step)))
+    return F.when(sif, listed).otherwise(F.array(F.lit(NOTHING_TO_DO)))
 
 
 # ---- the whole analysis ----------------------------------------------------
@@ -357,7 +323,7 @@ def backfill_rule(df: DataFrame, text_col: str = "report_text", lexicon: Lexicon
 def apply_signals(df: DataFrame, signals: list[dict], feedback_count: int, text_col: str = "clean_text") -> DataFrame:
     """Quote learned phrases as evidence and nudge confidence; the verdict never flips.
 
-    ``signals`` is the published list of the latest run, eight entries at most.
+    ``signals`` is the published list of the latest run; every phrase that occurs is quoted.
     """
     stream = F.concat(F.lit(" "), F.concat_ws(" ", tx.words(F.col(text_col))), F.lit(" "))
     positive = [s for s in signals if s["direction"] == "+"]
@@ -366,10 +332,9 @@ def apply_signals(df: DataFrame, signals: list[dict], feedback_count: int, text_
     hits = let(stream, lambda t: F.array_compact(F.array(*[
         F.when(t.contains(f" {s['phrase']} "), F.struct(F.lit(s["phrase"]).alias("phrase"),
                                                        F.lit(int(s["weight"])).alias("weight"))) for s in positive])))
-    shown = F.slice(F.transform("_hits", lambda h: h["phrase"]), 1, 3)
+    shown = F.transform("_hits", lambda h: h["phrase"])
     total = F.aggregate("_hits", F.lit(0), lambda a, h: a + h["weight"])
-    notes = F.concat_ws("; ", F.transform(shown, lambda p: F.concat(
-        F.lit("'"), p, F.lit(f"' matches a pattern HSE reviewers repeatedly linked to SIF across {feedback_count} reviewed labels"))))
+    notes = F.concat(F.lit("Reviewers confirmed such wording before: '"), F.concat_ws("', '", shown), F.lit(f"' (learned from {feedback_count} reviews)"))
     tuned = F.col("tuned")
     raised = F.round(F.least(F.lit(0.99), F.col("confidence") + F.least(F.lit(0.15), F.lit(0.05) + F.col("tuned_weight") * 0.01)), 2)
     return (

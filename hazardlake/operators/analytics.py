@@ -22,13 +22,10 @@ def overview(reports: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def data_note(total: Column, demo: Column) -> Column:
-    return (F.when(total == 0, F.lit("No reports yet — import your first dataset from the Import Data page and the "
-                                     "dashboard fills in live."))
-            .when(demo == total, F.lit("All metrics are computed live from the synthetic demo set (labeled in the UI) — "
-                                       "import your own dataset anytime."))
-            .when(demo > 0, F.concat(demo.cast("string"), F.lit(" of "), total.cast("string"),
-                                     F.lit(" reports are labeled demo rows; the rest are your imported data.")))
-            .otherwise(F.lit("Metrics computed live from your imported dataset.")))
+    return (F.when(total == 0, F.lit("Nothing imported yet."))
+            .when(demo == total, F.lit("Demo reports only."))
+            .when(demo > 0, F.concat(demo.cast("string"), F.lit(" demo reports among "), total.cast("string"), F.lit(".")))
+            .otherwise(F.lit("Imported reports only.")))
 
 
 def mode(df: DataFrame, column: str) -> DataFrame:

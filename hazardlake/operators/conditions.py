@@ -126,7 +126,7 @@ def rule_conditions(text: Column, low: Column, rule: Column, matches: Column, le
                 stray = F.filter(att, lambda a: (F.size(a["claims"]) == 0)
                                  & ~F.exists(quoted, lambda q: q.contains(a["phrase"])))
                 extra = let(stray, lambda s: F.when(F.size(s) > 0, F.array(F.struct(
-                    F.concat(rule, F.lit(" — a matched report phrase shows a required control was not applied"))
+                    F.concat(rule, F.lit(" — further matched phrases"))
                     .alias("condition"), F.lit(BREACHED).alias("status"),
                     _quotes(F.transform(s, lambda a: a["phrase"])).alias("evidence"))))
                     .otherwise(F.array().cast(f"array<{ROW}>")))

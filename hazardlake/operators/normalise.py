@@ -113,8 +113,7 @@ def apply_overrides(df: DataFrame, pairs: list[tuple[str, str, str]]) -> DataFra
 def fill_estimated_rule(df: DataFrame, hazard: str, activity: str) -> DataFrame:
     """Estimate a rule where an analysed row has none and say so in the note."""
     guess = F.when(F.col("life_saving_rule").isNull() & (F.col("processing_status") == "analyzed"), estimate_rule(F.col(hazard), F.col(activity)))
-    note = F.concat(F.lit("Life-Saving Rule '"), F.col("_guess"),
-                    F.lit("' was estimated from the file's structured fields because no matching text signal was found."))
+    note = F.concat(F.lit("The file's hazard and activity suggest the rule '"), F.col("_guess"), F.lit("'; the text names none."))
     return (df.withColumn("_guess", guess)
             .withColumn("uncertainty_note", blank_to_null(F.concat_ws(" ", "uncertainty_note", note)))
             .withColumn("life_saving_rule", F.coalesce("life_saving_rule", "_guess")).drop("_guess"))

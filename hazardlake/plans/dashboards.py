@@ -200,7 +200,7 @@ def _(t: Tables):
 
 @query("d17_data_note", views("reports", "findings") + """,
 k AS (SELECT count(*) AS total, count_if(is_demo) AS demo FROM reports)
-SELECT total AS total_reports, demo || ' of ' || total || ' reports are labeled demo rows; the rest are your imported data.' AS note FROM k""")
+SELECT total AS total_reports, demo || ' demo reports among ' || total || '.' AS note FROM k""")
 def _(t: Tables):
     kpi = an.overview(t.reports, t.findings)
     return kpi.select("total_reports", an.data_note(F.col("total_reports"), F.col("demo_reports")).alias("note"))

@@ -679,7 +679,17 @@ def _(t: Tables):
     return _analysed(t).select("doc_id", "summary")
 
 
-@query("c28_suggested_actions")
+_FOLLOW_UPS = _values_of((rule["name"], rule["follow_up"]) for rule in LEX.rules)
+
+
+@query("c28_suggested_actions", FINDINGS + f""", follow(rule, follow_up) AS (VALUES {_FOLLOW_UPS}),
+steps AS (SELECT doc_id, 0 AS part, 0 AS k, follow_up AS action FROM whole JOIN follow ON rule = life_saving_rule WHERE sif_potential
+  UNION ALL SELECT doc_id, 1, place, 'Check on site and restore: ' || lower(label) || '; note who did it.' FROM barriers JOIN whole USING (doc_id) WHERE sif_potential
+  UNION ALL SELECT doc_id, 2, 0, 'Go through “' || life_saving_rule || '” with the crew and compare the papers with the job.' FROM whole WHERE sif_potential
+  UNION ALL SELECT doc_id, 3, 0, CASE WHEN least(indicators, 3) + severity + exposure + barrier_failure >= 5 THEN 'Site visit by HSE today.' ELSE 'HSE review within two days; site on this week''s inspection round.' END
+    FROM whole JOIN factors USING (doc_id) WHERE sif_potential AND least(indicators, 3) + severity + exposure + barrier_failure >= 3
+  UNION ALL SELECT doc_id, 0, 0, 'No precursor found: keep the report on file, nothing else to do.' FROM whole WHERE NOT sif_potential)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, k) - 1 AS n, action FROM steps""")
 def _(t: Tables):
     return _analysed(t).select("doc_id", F.posexplode("suggested_actions").alias("n", "action"))
 

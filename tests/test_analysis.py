@@ -72,8 +72,8 @@ def test_all_evidence_and_actions_are_kept(spark):
     assert max(len(c["evidence"]) for c in row["rule_conditions"]) > 3
     barriers = ["Fall Protection", "Scaffolding / Guardrails", "Barricading", "Permit"]
     made = spark.range(1).select(suggested_actions(F.lit(True), F.lit("Working at Height"), F.array(*map(F.lit, barriers)), F.lit("HIGH"), DEFAULT).alias("a")).first()["a"]
-    want = [f"Verify and reinstate {b.lower()} " for b in barriers]
-    assert [w for w in want if any(a.startswith(w) for a in made)] == want and made[-1].startswith("Escalate") and len(made) == 7
+    want = [f"Check on site and restore: {b.lower()};" for b in barriers]
+    assert [w for w in want if any(a.startswith(w) for a in made)] == want and made[-1].startswith("Site visit") and len(made) == 7
 
 
 def test_languages_and_failed_rows(done):
@@ -82,9 +82,20 @@ def test_languages_and_failed_rows(done):
 
 
 def test_wording(done):
-    assert done[1]["explanation"].startswith('The report states: "The fitter opened the valve without isolating the pump."')
-    assert done[2]["suggested_actions"] == ["No SIF precursor detected — file under routine observations; no escalation required."]
-    assert done[1]["summary"].count("\n\n") >= 2
+    assert done[1]["explanation"].startswith("Reported: “The fitter opened the valve without isolating the pump.”")
+    assert done[2]["suggested_actions"] == ["No precursor found: keep the report on file, nothing else to do."]
+    assert [line.split(":")[0] for line in done[1]["summary"].split("\n")] == ["Event", "Risk", "Next", "Not met"]
+
+
+def test_wording_is_whole(spark):
+    sentence = "The fitter opened the valve without isolating the pump " + "and went on " * 60 + "until noon."
+    row = analyze(spark.createDataFrame([(sentence,)], "report_text string")).select("explanation").first()
+    assert sentence in row["explanation"] and len(sentence) > 400
+    words = ["gate one", "gate two", "gate three", "gate four", "gate five"]
+    df = spark.createDataFrame([(", ".join(words), False, 0.5, "LOW")], "clean_text string, sif_potential boolean, confidence double, priority string").withColumns(
+        {"evidence": F.array().cast("array<string>"), "uncertainty_note": F.lit(None).cast("string"), "model": F.lit("rules-v1")})
+    learned = apply_signals(df, [{"phrase": w, "direction": "+", "weight": 1} for w in words], 9).first()
+    assert learned["evidence"] == words and all(w in learned["uncertainty_note"] for w in words)
 
 
 def test_result_does_not_depend_on_partitioning(spark, done):
