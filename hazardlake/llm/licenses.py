@@ -60,30 +60,61 @@ def token_counts(words: DataFrame, vocabulary: Sequence[str]) -> dict[str, int]:
     return {r["w"]: r["count"] for r in found.collect()}
 
 
-def _containment(words: Column, template: Sequence[str], ordered: Sequence[str], share: float) -> Column:
-    """Largest share of the template's distinct words that one block holds, 0 below ``share``.
+def rivals(templates: Sequence[Sequence[str]], share: float = CONTAINMENT) -> list[list[int]]:
+    """For each template those that can't be told from it by the share alone: one of the two holds so much of the other."""
+    own = [set(t) for t in templates]
+    alike = lambda a, b: len(a & b) >= share * min(len(a), len(b)) - 1e-9
+    return [[u for u in range(len(own)) if u != t and own[u] != own[t] and alike(own[t], own[u])] for t in range(len(own))]
 
-    ``ordered``: all templates' words, rarest in the corpus first.  Blocks are twice as long as the template and
-    start every template length, so every passage of that length lies in one whole.
+
+def telling_words(templates: Sequence[Sequence[str]], share: float = CONTAINMENT) -> list[set[str]]:
+    """Words of each template that a rival lacks; a block must hold them all to be the template's and not the rival's."""
+    near = rivals(templates, share)
+    return [{w for u in near[t] for w in set(templates[t]) - set(templates[u])} for t in range(len(templates))]
+
+
+def block_grid(templates: Sequence[Sequence[str]], t: int, share: float = CONTAINMENT) -> tuple[int, int]:
+    """Distance and width of a template's blocks, in words: every passage of up to twice the length of the template, or of
+    its longest rival, lies whole in one of them."""
+    longest = max(len(templates[u]) for u in [t, *rivals(templates, share)[t]])
+    step = max(1, longest // 2)
+    return step, 2 * longest + step
+
+
+def _containment(words: Column, templates: Sequence[Sequence[str]], t: int, ordered: Sequence[str], share: float) -> Column:
+    """Largest share of template ``t``'s distinct words that one of its blocks holds, 0 where no block is the template's.
+
+    ``ordered``: all templates' words, rarest in the corpus first.  A block is the template's if it holds the share of
+    it and all its telling words, and no rival that it also meets has more words in it.
     """
-    own = [w for w in ordered if w in set(template)]
-    need = math.ceil(share * len(own) - 1e-9)
+    telling, near = telling_words(templates, share), rivals(templates, share)[t]
+    words_of = lambda u: [w for w in ordered if w in set(templates[u])]
+    need_of = lambda u: math.ceil(share * len(set(templates[u])) - 1e-9)
+    own, need = words_of(t), need_of(t)
     prefix = own[:len(own) - need + 1]
-    array = lambda values: F.array(*map(F.lit, values))
-    step = len(template)
+    array = lambda values: F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+    step, width = block_grid(templates, t, share)
 
     def held(block: Column) -> Column:  # the block's words that any template has, rarest first
         return F.array_intersect(array(ordered), block)
 
+    def met(u: int, mine: Column) -> Column:
+        """How many words of a template the block holds, 0 if it doesn't meet it."""
+        overlap = F.size(F.array_intersect(array(words_of(u)), mine))
+        tells = sorted(telling[u])
+        told = F.size(F.array_intersect(array(tells), mine)) == len(tells) if tells else F.lit(True)
+        return F.when((overlap >= need_of(u)) & told, overlap).otherwise(0)
+
     def verified(mine: Column) -> Column:
         n = F.size(mine)
         # an overlap of `need` words must show in both prefixes, with enough words left behind the first common one
-        first = F.element_at(F.array_intersect(array(prefix), F.slice(mine, F.lit(1), F.greatest(F.lit(0), n - need + 1))), 1)
+        first = F.get(F.array_intersect(array(prefix), F.slice(mine, F.lit(1), F.greatest(F.lit(0), n - need + 1))), F.lit(0))
         left = F.least(F.lit(len(own)) - F.array_position(array(own), first), n - F.array_position(mine, first)) + 1
-        overlap = F.size(F.array_intersect(array(own), mine))
-        return F.when((n >= need) & first.isNotNull() & (left >= need) & (overlap >= need), overlap / F.lit(float(len(own)))).otherwise(0.0)
+        overlap = met(t, mine)
+        best = F.greatest(overlap, *[met(u, mine) for u in near]) if near else overlap
+        return F.when((n >= need) & first.isNotNull() & (left >= need) & (overlap > 0) & (overlap == best), overlap / F.lit(float(len(own)))).otherwise(0.0)
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / step).cast("int")), lambda k: F.slice(words, k * step + 1, F.lit(2 * step)))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / step).cast("int")), lambda k: F.slice(words, k * step + 1, F.lit(width)))
     possible = F.filter(blocks, lambda b: F.arrays_overlap(b, array(prefix)))
     best = F.array_max(F.transform(F.transform(possible, held), verified))
     return F.when(F.arrays_overlap(words, array(prefix)), F.coalesce(best, F.lit(0.0))).otherwise(0.0)
@@ -94,7 +125,8 @@ def license_notices(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMP
 
     Base: places of the fixed phrases.  Beyond these, a document gets a template's label if one of its blocks
     holds at least ``share`` of the template's distinct words (an exact join: words rarer in the corpus come
-    first, and the prefix, length and positional filters only leave out what can't reach the share).  ``score``
+    first, and the prefix, length and positional filters only leave out what can't reach the share), among them those
+    that tell it from rival templates, and no rival fits that block better.  ``score``
     is 1 with a phrase, else the largest share reached, else 0.  One scan counts the template words, one
     finds the notices; texts are never shuffled, and what the driver sees is bounded by the templates.
     Null and wordless texts have no words, no labels (empty strings) and score 0; repeated rows each get a row;
@@ -102,13 +134,13 @@ def license_notices(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMP
     """
     texts = docs.select("doc_id", _plain(F.col("text")).alias("plain"))
     worded = texts.select("*", F.when(F.col("plain") == "", F.array().cast("array<string>")).otherwise(F.split("plain", " ")).alias("words"))
-    parts = [(label, template_words(text)) for label, text in templates]
-    vocabulary = sorted({w for _, words in parts for w in words})
+    names, parts = [label for label, _ in templates], [template_words(text) for _, text in templates]
+    vocabulary = sorted({w for words in parts for w in words})
     counts = token_counts(worded, vocabulary) if vocabulary else {}
     ordered = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     n_words = F.size("words").cast("long")
     bases = [(*_places(F.col("plain"), n_words, phrase), label) for phrase, label in PHRASES]
-    shares = F.array(*[F.struct(F.lit(label).alias("label"), _containment(F.col("words"), words, ordered, share).alias("share")) for label, words in parts]) if parts \
+    shares = F.array(*[F.struct(F.lit(names[t]).alias("label"), _containment(F.col("words"), parts, t, ordered, share).alias("share")) for t in range(len(parts))]) if parts \
         else F.array().cast("array<struct<label:string,share:double>>")
     seen = worded.select("doc_id", n_words.alias("n_words"), F.array(*[F.struct(n.alias("n"), a.alias("first"), b.alias("last"), F.lit(label).alias("label")) for n, a, b, label in bases]).alias("base"),
                          shares.alias("shares"))

@@ -1,27 +1,40 @@
 """DuckDB SQL that must give the rows of the queries; operators that SQL can't express are tested by brute force instead."""
 
-from hazardlake.llm.licenses import CONTAINMENT, PHRASES, TEMPLATES, template_words
-
 SQL: dict[str, str] = {}
 
 _LOWER = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER.format(t="coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
-def _values(rows: list[tuple[str, list[str]]]) -> str:
-    return "(VALUES " + ", ".join(f"('{label}', {words})" for label, words in rows) + ")"
-
+# The SQL's own tables: phrases, and the sentences of the licenses.
+_LICENSES = """phrases(label, p) AS (VALUES ('mit', ['under','the','mit','license']), ('apache-2', ['apache','license','version','2']), ('cc-by-nc', ['cc','by','nc'])),
+sentences(label, s) AS (VALUES
+  ('mit', 'permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction'),
+  ('apache-2', 'licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at'),
+  ('bsd', 'redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met'),
+  ('isc', 'permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies'),
+  ('gpl', 'this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation'),
+  ('gpl-3', 'this work is licensed under the gnu general public license version 3'),
+  ('lgpl', 'this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation'),
+  ('mpl-2', 'this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at'),
+  ('cc-by', 'this work is licensed under a creative commons attribution 4 0 international license'),
+  ('cc-by-sa', 'this work is licensed under a creative commons attribution sharealike 4 0 international license'),
+  ('cc-by-nc', 'this work is licensed under a creative commons attribution noncommercial 4 0 international license'),
+  ('unlicense', 'this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software'))"""
 
 SQL["op2_licenses"] = rf"""
-WITH w AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
-phrases AS (SELECT * FROM {_values([(label, phrase.split()) for phrase, label in PHRASES])} p(label, p)),
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents), {_LICENSES},
 hits AS (SELECT r, label, i FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM w), phrases WHERE w[i] = p[1] AND w[i:i + len(p) - 1] = p),
 base AS (SELECT r, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM hits GROUP BY r),
-templates AS (SELECT label, p, list_distinct(p) AS t FROM {_values([(label, template_words(text)) for label, text in TEMPLATES])} p(label, p)),
-near AS (SELECT r, w, label, p, t FROM w, templates WHERE len(list_intersect(w, t)) >= {CONTAINMENT} * len(t) - 1e-9),
-blocks AS (SELECT r, label, t, w[k * len(p) + 1:k * len(p) + 2 * len(p)] AS b FROM (SELECT *, unnest(range(0, ((len(w) - 1) // len(p)) + 1)) AS k FROM near)),
-held AS (SELECT r, label, max(len(list_intersect(b, t)) / len(t)) AS share FROM blocks GROUP BY r, label),
-reached AS (SELECT r, label, share FROM held WHERE share >= {CONTAINMENT} - 1e-9),
+plain AS (SELECT label, len(string_split(s, ' ')) AS n, list_distinct(string_split(s, ' ')) AS t FROM sentences),
+rivals AS (SELECT a.label, b.label AS rival, b.n, b.t, list_filter(a.t, lambda x: NOT list_contains(b.t, x)) AS apart FROM plain a JOIN plain b ON a.label <> b.label AND len(list_intersect(a.t, b.t)) >= 0.8 * least(len(a.t), len(b.t)) - 1e-9),
+templates AS (SELECT plain.label, plain.t, greatest(plain.n, coalesce(max(rivals.n), 0)) AS size, coalesce(list_distinct(flatten(list(rivals.apart) FILTER (rival IS NOT NULL))), []) AS telling FROM plain LEFT JOIN rivals USING (label) GROUP BY plain.label, plain.t, plain.n),
+near AS (SELECT r, w, label, t, telling, greatest(size // 2, 1) AS step, size FROM w, templates WHERE len(list_intersect(w, t)) >= 0.8 * len(t) - 1e-9),
+blocks AS (SELECT r, label, t, telling, k, w[k * step + 1:k * step + 2 * size + step] AS b FROM (SELECT *, unnest(range(0, (len(w) - 1) // step + 1)) AS k FROM near)),
+held AS (SELECT r, label, k, b, len(list_intersect(b, t)) AS n, len(t) AS whole FROM blocks WHERE len(list_intersect(b, t)) >= 0.8 * len(t) - 1e-9 AND len(list_intersect(b, telling)) = len(telling)),
+beaten AS (SELECT DISTINCT held.r, held.label, held.k FROM held JOIN rivals USING (label) JOIN templates u ON u.label = rival
+  WHERE len(list_intersect(b, u.t)) > held.n AND len(list_intersect(b, u.t)) >= 0.8 * len(u.t) - 1e-9 AND len(list_intersect(b, u.telling)) = len(u.telling)),
+reached AS (SELECT r, label, max(n / whole) AS share FROM held ANTI JOIN beaten USING (r, label, k) GROUP BY r, label),
 labels AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM hits UNION ALL SELECT r, label FROM reached) GROUP BY r),
 best AS (SELECT r, max(share) AS share FROM reached GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
