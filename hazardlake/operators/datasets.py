@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection, Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,6 +147,23 @@ def sample_per_group(df: DataFrame, group: str, key: str, cap: int, seed: int =
     return df.join(placed.filter(F.col("position") < cap).select(key), key, "left_semi")
 
 
+def share_caps(groups: Sequence[str], target: int, share: float = 0.45, whole: Collection[str] = ()) -> dict[str, int | None]:
+    """Rows to take of each group, in the given order: a share of what is left of the target, one at least; None takes all."""
+    caps: dict[str, int | None] = {g: None for g in whole}
+    for group in groups:
+        if group not in caps:
+            caps[group] = max(1, int(target * share))
+            target -= caps[group]
+    return caps
+
+
+def sample_shares(df: DataFrame, group: str, key: str, caps: Mapping[str, int | None], seed: int = 42) -> DataFrame:
+    """At most each group's own number of rows, chosen by hash; groups without an entry give none."""
+    placed = group_positions(df.select(group, key, hash_order(F.col(key), seed).alias("_h")), [group], ["_h", key])
+    fits = F.coalesce(*[F.when(F.col(group) == g, F.lit(True) if cap is None else F.col("position") < cap) for g, cap in caps.items()], F.lit(False))
+    return df.join(placed.filter(fits).select(key), key, "left_semi")
+
+
 def reservoir(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     """k rows with the smallest hash; a top-k, so each task forwards k rows at most."""
     return df.withColumn("_h", hash_order(F.col(key), seed)).orderBy("_h", key).limit(k).drop("_h")
@@ -238,3 +257,15 @@ def text_variants(seeds: DataFrame, text: str, key: str, rule: str, per_seed: in
     originals = seeds.select(F.sha2(tx.fingerprint(F.col(text)), 256).alias("_key")).distinct()
     first = keyed.groupBy("_key").agg(F.min(F.struct(key, "variant", rule, "variant_text")).alias("v"))
     return first.join(originals, "_key", "left_anti").select(f"v.{key}", f"v.{rule}", "v.variant", "v.variant_text")
+
+
+def source_statistics(df: DataFrame, source: str, text: str) -> DataFrame:
+    """Rows, empty texts and different texts of each source; texts travel as digests, counted before they meet."""
+    digests = df.select(source, F.md5(text).alias("_k"), (F.coalesce(tx.strip(F.col(text)), F.lit("")) == "").alias("_empty"))
+    per_text = digests.groupBy(source, "_k").agg(F.count(F.lit(1)).alias("_n"), F.count_if("_empty").alias("_blank"))
+    return per_text.groupBy(source).agg(F.sum("_n").alias("n"), F.sum("_blank").alias("empty_texts"), F.count("_k").alias("different_texts"))
+
+
+def top_values(df: DataFrame, column: str, k: int) -> DataFrame:
+    """The k most frequent values, by falling count, then value."""
+    return df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(k)

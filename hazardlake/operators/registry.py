@@ -187,3 +187,35 @@ def natural_key(value: Column) -> tuple[Column, Column]:
     """Sort keys for text with a trailing number: lowercased stem, then the number."""
     stem = F.lower(F.regexp_extract(value, r"^(.*?)(\d*)$", 1))
     return stem, F.regexp_extract(value, r"(\d+)$", 1).try_cast("bigint")
+
+
+# What an export calls a review state.
+REVIEW_LABELS = {"pending": "Pending review", "confirmed": "Confirmed", "rejected": "Rejected", "edited": "Edited", "reviewed": "Reviewed"}
+
+
+def export_table(rows: DataFrame) -> DataFrame:
+    """The registry's export: sixteen columns, from report rows with analysis, ``review_status`` and ``modified_fields``."""
+    state = F.coalesce(*[F.when(F.col("review_status") == k, F.lit(v)) for k, v in REVIEW_LABELS.items()], F.lit(""))
+    shaped = rows.select(
+        F.col("report_id").alias("Report ID"), F.col("source_id").alias("Actual ID (file)"), display_source(F.col("source")).alias("Source File"),
+        F.when(F.col("processing_status") == "failed", "Analysis failed").otherwise(state).alias("Status"),
+        F.when(F.exists(F.coalesce("modified_fields", F.array().cast(rows.schema["modified_fields"].dataType)), lambda m: m["changed"]), "Y").otherwise("N").alias("Modified (Y/N)"),
+        F.col("date").alias("Date"), F.col("report_type").alias("Type"), F.col("site").alias("Site"), F.coalesce("activity", "analysis_activity").alias("Activity"),
+        F.coalesce("sif_potential", F.lit(False)).alias("SIF-potential"), F.round(F.col("confidence") * 100).cast("int").alias("Confidence (%)"), F.col("priority").alias("Priority"),
+        F.col("life_saving_rule").alias("Life-Saving Rule"), F.col("barrier_failure").alias("Barrier Failure"), F.col("hazard").alias("Hazard"), F.col("report_text").alias("Report Text"))
+    return shaped.select(*[export_cell(shaped, c).alias(c) for c in shaped.columns])
+
+
+def detail_pages(shown: DataFrame, similar: DataFrame, reports: DataFrame, reviews: DataFrame, copy_at: float = 0.88) -> DataFrame:
+    """Each shown report's similar ones with their site and latest review, and which of them it may be a copy of.
+
+    ``similar(query_id, match_id, place, similarity)`` has a few rows for each report, so only those reports and
+    reviews are joined.  The first match is a possible original where it is as close as ``copy_at``.
+    """
+    near = similar.join(shown.select(F.col("id").alias("query_id")), "query_id", "left_semi")
+    matched = near.select(F.col("match_id").alias("id")).distinct()
+    sites = reports.join(matched, "id", "left_semi").select(F.col("id").alias("match_id"), "site")
+    last = latest_review(reviews.join(matched.select(F.col("id").alias("report_pk")), "report_pk", "left_semi"))
+    rows = near.join(sites, "match_id", "left").join(last.withColumnRenamed("report_pk", "match_id"), "match_id", "left")
+    first = F.when((F.col("place") == 0) & (F.col("similarity") >= copy_at), F.col("match_id"))
+    return rows.select("query_id", "place", "match_id", "similarity", "site", "decision", "reviewer", "reviewed_at", first.alias("duplicate_of"))

@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["dashboards", "texts", "labels", "models", "stores", "streams", "corpora"]
+_MODULES = ["dashboards", "texts", "labels", "models", "stores", "streams", "corpora", "pages"]
 
 
 def load_queries():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -117,3 +118,14 @@ def phase_cache(df: DataFrame, path: str) -> DataFrame:
     """Write a phase's rows once and go on from the stored copy; survives lost executors."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def write_export_union(frames: Sequence[DataFrame], path: str) -> None:
+    """Rows of different columns as one CSV export: columns in the order they are first seen, cells that a row has not are
+    empty, every file starts with a byte-order mark so that spreadsheets read it as UTF-8."""
+    shaped = [export_rows(f, f.columns) for f in frames]
+    whole = shaped[0]
+    for more in shaped[1:]:
+        whole = whole.unionByName(more, allowMissingColumns=True)
+    filled = whole.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c if n else BOM + c) for n, c in enumerate(whole.columns)])
+    filled.write.mode("overwrite").csv(path, header=True, lineSep="\r\n", quoteAll=False, escape='"', emptyValue="")
