@@ -162,13 +162,5 @@ class Lexicon:
         rows += [(i["lang"], self.rule_names[i["r"]], i["p"], False, i["ord"]) for i in self.foreign_phrases]
         return spark.createDataFrame(rows, "lang string, rule string, phrase string, needs_neg boolean, ord int")
 
-    def taxonomy_frame(self, spark: SparkSession) -> DataFrame:
-        """One row per rule with its keywords."""
-        rows = []
-        for number, rule in enumerate(self.rules):
-            words = [i["p"] for i in self.indicators if i["r"] == number]
-            rows.append((rule["name"], rule["description"], words, True))
-        return spark.createDataFrame(rows, "name string, description string, keywords array<string>, active boolean")
-
 
 DEFAULT = Lexicon()

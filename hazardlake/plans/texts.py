@@ -750,6 +750,20 @@ def _(t: Tables):
 _IMPLIED = "CASE life_saving_rule " + " ".join(f"WHEN {q(rule)} THEN {q(act)}" for rule, act in english.RULE_TO_ACTIVITY.items()) + " END"
 
 
+_PHRASE_ROWS = _values_of([("en", i["ord"], i["r"], i["p"]) for i in LEX.indicators] + [(f["lang"], f["ord"], f["r"], f["p"]) for f in LEX.foreign_phrases])
+
+
+@query("c35_phrase_use", TEXTS + f", ph(lang_of, ord, r, phrase) AS (VALUES {_PHRASE_ROWS}), rules(r, rule) AS (VALUES {_RULE_ROWS}) SELECT lang_of AS lang, rule, phrase, ord, count(doc_id) AS reports FROM ph JOIN rules USING (r) LEFT JOIN low ON contains(low_text, phrase) GROUP BY ALL")
+def _(t: Tables):
+    # every phrase of every language, unused ones too; the lexicon is a few hundred rows
+    low = F.col("low_text")
+    ords = lambda groups, english_part: F.transform(spans.phrases_in(low, groups), lambda e: F.struct(F.lit(english_part).alias("english"), e["ord"].alias("ord")))
+    hits = clean_texts(t).filter("low_text IS NOT NULL").select(F.explode(F.concat(ords(LEX.indicator_column(), True), ords(LEX.foreign_column(), False))).alias("h"))
+    counts = hits.groupBy("h.english", "h.ord").agg(F.count(F.lit(1)).alias("reports"))
+    phrases = LEX.phrase_frame(t.spark).withColumn("english", F.col("lang") == "en")
+    return phrases.join(F.broadcast(counts), ["english", "ord"], "left").select("lang", "rule", "phrase", "ord", F.coalesce("reports", F.lit(0)).cast("long").alias("reports"))
+
+
 @query("c36_extraction", FINDINGS + f"""SELECT doc_id, coalesce(stated, {_IMPLIED}) AS analysis_activity, {_once("all_hazards")} AS hazards, barriers, {_once("all_equipment")} AS equipment, location,
   CASE WHEN {sql_any('low_text', english.ACT_ACTORS)} THEN 'Unsafe Act' WHEN {sql_any('low_text', english.CONDITION_WORDS)} THEN 'Unsafe Condition' END AS unsafe_type FROM whole""")
 def _(t: Tables):

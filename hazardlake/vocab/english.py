@@ -1,8 +1,8 @@
 """Fixed English vocabulary of the safety lexicon.
 
 Every block below is a fixed value: the detector only gives the expected
-results with exactly these words in exactly this order.  One entry per line;
-a trailing ``*`` marks an indicator that counts only beside a negation.
+results with exactly these words in exactly this order.  An indicator is a
+phrase and whether it counts only beside a negation.
 """
 
 # Rule profiles, in rule order (the order breaks ties).

@@ -55,6 +55,17 @@ def test_sinks(spark):
     assert spark.read.parquet(store).count() == 4
 
 
+def test_export_of_unlike_rows(spark):
+    path = scratch() + "/union"
+    first = spark.createDataFrame([("a", True, ["x", "y"])], "name string, sif boolean, tags array<string>")
+    second = spark.createDataFrame([(1.5, "b, \"c\"")], "score double, name string")
+    files.write_export_union([first, second.limit(1)], path)
+    raw = [p.read_bytes() for p in sorted(__import__("pathlib").Path(path).glob("*.csv")) if p.stat().st_size]
+    assert all(b.startswith("\ufeffname,sif,tags,score\r\n".encode()) for b in raw)
+    read = files.read_delimited(spark, path, multiline=False)
+    assert read.columns[0] == "name" and sorted(r["name"] for r in read.collect()) == ["a", 'b, "c"']
+
+
 def test_import_stream_never_stores_a_report_twice(spark):
     landing, base = scratch(), scratch()
     store, counters, ckpt = f"{base}/store", f"{base}/counters", f"{base}/ckpt"

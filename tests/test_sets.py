@@ -150,3 +150,15 @@ def test_model_queries_use_all_folds_and_the_whole_vocabulary(spark, folder, mon
     for name in ("m2_m3_model_comparison", "m5_repeated_folds"):
         __spark_entry__.queries()[name](spark, folder)
     assert asked == [(5, 4, {})] + [(5, 1, {})] * 3
+
+
+def test_shares_of_the_rest():
+    assert ds.share_caps(["a", "b", "c"], 1000, whole=["w"]) == {"w": None, "a": 450, "b": 247, "c": 136}
+    assert ds.share_caps(["a", "b"], 1) == {"a": 1, "b": 1}
+
+
+def test_sample_shares(spark):
+    rows = spark.range(100).select(F.col("id"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c"), F.lit(None)), (F.col("id") % 4 + 1).cast("int")).alias("g"))
+    taken = ds.sample_shares(rows, "g", "id", {"a": 7, "b": None})
+    assert {r["g"]: r["count"] for r in taken.groupBy("g").count().collect()} == {"a": 7, "b": 25}
+    assert sorted(map(str, taken.collect())) == sorted(map(str, ds.sample_shares(rows.repartition(9), "g", "id", {"a": 7, "b": None}).collect()))
