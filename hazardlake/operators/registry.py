@@ -85,15 +85,23 @@ def review_status(df: DataFrame, reviews: DataFrame) -> DataFrame:
             .drop("_pk", "_seen", "decision"))
 
 
-def view(df: DataFrame, name: str) -> DataFrame:
-    """Named registry views over a frame with analysis columns and ``review_status``."""
+def view_tests() -> dict[str, Column]:
+    """What each named view holds, on rows with analysis columns and ``review_status``."""
     status = F.col("review_status")
-    tests = {
-        "all": F.lit(True), "sif": F.col("sif_potential"), "high": F.col("priority") == "HIGH",
-        "pending": (status == "pending") & (F.col("processing_status") == "analyzed"),
-        "verified": status.isin(VERIFIED), "rejected": status == "rejected",
-    }
-    return df.filter(tests[name])
+    return {"all": F.lit(True), "sif": F.col("sif_potential"), "high": F.col("priority") == "HIGH", "pending": (status == "pending") & (F.col("processing_status") == "analyzed"),
+            "verified": status.isin(VERIFIED), "rejected": status == "rejected"}
+
+
+def view(df: DataFrame, name: str) -> DataFrame:
+    return df.filter(view_tests()[name])
+
+
+def view_counts(df: DataFrame) -> DataFrame:
+    """``(view_name, n)`` of all views in one aggregate."""
+    tests = view_tests()
+    counts = df.agg(*[F.count_if(c).alias(n) for n, c in tests.items()])
+    pairs = F.array(*[F.struct(F.lit(n).alias("view_name"), F.col(n).alias("n")) for n in tests])
+    return counts.select(F.explode(pairs).alias("p")).select("p.view_name", "p.n")
 
 
 def priority_rank(priority: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from hazardlake.operators import dedupe as dd
 from hazardlake.operators import analytics as an
 from hazardlake.operators import registry as rg
 from hazardlake.plans.catalog import query, views
@@ -91,13 +92,15 @@ UNION ALL SELECT 'verified', count(*) FROM s WHERE review_status IN ('confirmed'
 UNION ALL SELECT 'rejected', count(*) FROM s WHERE review_status = 'rejected'""")
 def _(t: Tables):
     rows = rg.review_status(rg.with_analysis(t.reports, t.findings, "left"), t.reviews)
-    status = F.col("review_status")
-    tests = {"all": F.lit(True), "sif": F.col("sif_potential"), "high": F.col("priority") == "HIGH",
-             "pending": (status == "pending") & (F.col("processing_status") == "analyzed"),
-             "verified": status.isin(rg.VERIFIED), "rejected": status == "rejected"}
-    counts = rows.agg(*[F.count_if(c).alias(n) for n, c in tests.items()])
-    pairs = F.array(*[F.struct(F.lit(n).alias("view_name"), F.col(n).alias("n")) for n in tests])
-    return counts.select(F.explode(pairs).alias("p")).select("p.view_name", "p.n")
+    return rg.view_counts(rows)
+
+
+@query("d5_duplicates_only", views("reports", "findings", "reviews") + _STATUS_SQL + """, k AS (SELECT id, trim(regexp_replace(lower(site || ' ' || activity), '[^a-z0-9]+', ' ', 'g')) AS fp FROM s WHERE review_status = 'rejected'),
+d AS (SELECT id, min(id) OVER (PARTITION BY fp) AS first_id FROM k WHERE length(fp) >= 8) SELECT id, first_id FROM d WHERE id <> first_id""")
+def _(t: Tables):
+    # reports of one view whose text another one has already
+    rows = rg.view(rg.review_status(rg.with_analysis(t.reports, t.findings, "left"), t.reviews), "rejected").withColumn("said", F.concat(F.col("site"), F.lit(" "), F.col("activity")))
+    return dd.duplicate_groups(rows, "said", "id").filter(F.col("id") != F.col("first_id")).select("id", "first_id")
 
 
 @query("d7_facets", views("reports", "findings", "barrier_rows") + """

@@ -210,6 +210,16 @@ def _(t: Tables):
     return me.confusion(_verdicts(t), F.col("truth"), F.col("predicted"), ["lang"]).select("lang", "tp", "fp", "fn", "tn")
 
 
+@query("m6_rule_engine_folds", _RULESETS_SQL + """, cases AS (SELECT doc_id, quality, (row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1) % 5 AS fold FROM labels JOIN documents USING (doc_id)
+  WHERE length(trim(regexp_replace(lower(text), '[ \\t\\n\\r\\x0b\\x0c]+', ' ', 'g'))) >= 8),
+j AS (SELECT fold::INT AS fold, quality = 1 AS truth, c.doc_id IN (SELECT doc_id FROM e UNION SELECT doc_id FROM f) AS predicted FROM cases c JOIN low USING (doc_id) WHERE low_text IS NOT NULL)
+SELECT 'rules' AS model, fold, count_if(truth AND predicted) AS tp, count_if(NOT truth AND predicted) AS fp, count_if(truth AND NOT predicted) AS fn, count_if(NOT truth AND NOT predicted) AS tn FROM j GROUP BY fold""")
+def _(t: Tables):
+    # the engine on the folds that the models are compared on
+    rows = _folded(t, 5).select("doc_id", "fold").join(_verdicts(t), "doc_id")
+    return me.confusion(rows, F.col("truth"), F.col("predicted"), ["fold"]).select(F.lit("rules").alias("model"), "fold", "tp", "fp", "fn", "tn")
+
+
 @query("d12_wrong_cases", _VERDICT_SQL + "SELECT doc_id, lang, truth, predicted FROM v WHERE truth <> predicted AND lang = 'en'")
 def _(t: Tables):
     return _verdicts(t).filter((F.col("truth") != F.col("predicted")) & (F.col("lang") == "en")).select("doc_id", "lang", "truth", "predicted")
