@@ -197,7 +197,7 @@ def test_old_files_are_read_on_resume(spark, tmp_path):
 def test_registered_sql(spark, folder):
     from hazardlake.llm.queries import QUERIES, SQL
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     for name, sql in SQL.items():
         relation = con.sql(sql)
