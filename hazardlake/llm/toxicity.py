@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazardlake.llm.common import bounded_batches, field, filter_batches
+from hazardlake.llm.common import bounded_batches, field, filter_batches, stage
 
 WINDOW, STEP, THRESHOLD = 64, 48, 0.3
-# Bounds of the fitted sample: rows of each class, and bytes of a text (longer ones are not fitted on, but are scored whole).
-MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 2_000, 8_000, 16_384
-TOXIC_BYTES, ORDINARY_BYTES, GRAM, ROUNDS = 1_024, 16_384, 5, 3
+# Bounds of the fitted sample: rows of each class, and bytes of all their texts together; texts of any length are taken whole.
+MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 2_000, 8_000, 48 << 20
+TOXIC_BYTES, ORDINARY_BYTES, HARD_BYTES, PIECE, GRAM, ROUNDS = 1_024, 16_384, 8_192, 256, 5, 3
 
 
 def held_out(doc_id: Column) -> Column:
@@ -129,13 +129,13 @@ def fit(toxic: list[bytes], ordinary: list[bytes], rate: float) -> Model:
     # Toxic texts are mostly plain prose: only what they share and ordinary ones lack is worth a dictionary.
     telling = _telling(toxic, learn)
     bad = _dictionary(TOXIC_BYTES, [_stretches(t, telling) for t in toxic], 16, 6) or b" "
-    plain = _dictionary(ORDINARY_BYTES, [t[i:i + 256] for t in learn for i in range(0, min(len(t), 2048), 256)], 64, 8) or b" "
-    # Ordinary windows that the toxic dictionary still helps go into the ordinary one, so that they cancel out.
+    plain = _dictionary(ORDINARY_BYTES, [t[i:i + PIECE] for t in learn for i in range(0, len(t), PIECE)], 64, 8) or b" "
+    # Ordinary windows that the toxic dictionary still helps go into the ordinary one, so that they cancel out: evenly spread
+    # ones, since a dictionary that takes them all swallows the toxic words of mislabelled texts.
     for k in range(ROUNDS):
         gain = _gains(bad, plain)
         hard = [w for t in learn[k::ROUNDS] for w, g in zip(_windows(t), gain(t), strict=True) if g >= 2]
-        if hard:
-            plain = b"".join(hard)[-8192:] + plain
+        plain = b"".join(hard[::-(-len(hard) * WINDOW // HARD_BYTES) or 1]) + plain
     gain = _gains(bad, plain)
     x = np.array([_features(gain(t)) for t in toxic + judge])
     y = np.array([1.0] * len(toxic) + [0.0] * len(judge))
@@ -145,15 +145,23 @@ def fit(toxic: list[bytes], ordinary: list[bytes], rate: float) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY, max_bytes: int = MAX_BYTES) -> Model:
-    """Fit on labelled rows outside the held-out fold: at most so many of each class, by the hash of their id, and texts of
-    at most ``max_bytes``.  A doc_id labelled both ways counts as toxic; null labels and ids are left out."""
+    """Fit on labelled rows outside the held-out fold: at most so many of each class, by the hash of their id, and at most
+    ``max_bytes`` of text, in the same order; a text that no longer fits is passed over, the others are taken whole.
+    A doc_id labelled both ways counts as toxic; null labels and ids are left out; of rows with one id the least text is read."""
     known = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = known.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0] or 0.0
     part = lambda test, n: known.filter(test).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = part("toxic > 0", max_toxic).unionAll(part("toxic <= 0", max_ordinary))
     text = F.coalesce("text", F.lit("")).cast("binary")
-    rows = docs.select("doc_id", text.alias("text")).filter(F.length("text") <= max_bytes).join(F.broadcast(chosen), "doc_id")  # as many rows as the bounds say
-    found = rows.groupBy("doc_id").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id")  # as many ids as the bounds say
+    rows = stage(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")))
+    left, fitting = max_bytes, []
+    for r in rows.select("doc_id", F.octet_length("text").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r["size"] <= left:
+            left -= r["size"]
+            fitting.append((r["doc_id"],))
+    taken = docs.sparkSession.createDataFrame(fitting, T.StructType([field(rows, "doc_id")]))
+    found = rows.join(F.broadcast(taken), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     return fit([bytes(r["text"]) for r in found if r["toxic"] > 0], [bytes(r["text"]) for r in found if r["toxic"] <= 0], share)
 
 
