@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazardlake.llm.common import bounded_batches, field, filter_batches, words
+from hazardlake.llm.common import bounded_batches, field, filter_batches, stage, words
 
 WINDOW = 10
 # Benchmark text sent to every executor at a time; a larger benchmark is searched block after block.
@@ -170,12 +170,16 @@ def scan(texts: list[bytes | None], tests: Tests) -> list[Found]:
     return result
 
 
-def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[Tests]:
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, math.ceil(size / block_bytes))
-    share = benchmark.select("item_id", F.col("text").cast("binary").alias("text"), F.pmod(F.xxhash64("text"), F.lit(n)).alias("b"))
+def _block_count(benchmark: DataFrame, block_bytes: int) -> int:
+    size = benchmark.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length(F.col("item_id").cast("string")), F.lit(0)))).first()[0]
+    return max(1, math.ceil((size or 0) / block_bytes))
+
+
+def _blocks(benchmark: DataFrame, window: int, n: int) -> Iterator[Tests]:
+    """The items in ``n`` blocks, one at a time on the driver; copies of a text are dealt by their ids, so no block takes them all."""
+    share = benchmark.select("item_id", F.col("text").cast("binary").alias("text"), F.pmod(F.xxhash64("text", "item_id"), F.lit(n)).alias("b"))
     for b in range(n):
-        yield encode_tests([(r["item_id"], r["text"]) for r in share.filter(F.col("b") == b).collect()], window)
+        yield encode_tests([(r["item_id"], r["text"]) for r in share.filter(F.col("b") == b).distinct().collect()], window)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -184,16 +188,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     A window is ``window`` consecutive words of an item (an item of fewer words is one window); a document word
     inside any occurrence is hit.  Each Arrow batch of documents is a shard with a suffix array of its own; every
     benchmark suffix is searched in it, which also yields the longest verbatim match and its first word.
-    Documents are never shuffled or grouped.  The benchmark is sent out in blocks of bounded size, one pass each.
+    Documents are never shuffled or grouped.  The benchmark is sent out in blocks of bounded size; the rows found by one pass
+    are written before the block after the next is read, so the driver holds two blocks however large the benchmark is.
     Null and wordless texts have no hits; rows of one item_id are one item, a null id is named ``null``; an
     empty benchmark finds nothing; repeated rows each get a row; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
-    blocks = list(_blocks(benchmark, window, block_bytes))
+    n = _block_count(benchmark, block_bytes)
     frame = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.lit(None).cast("binary").alias("hit"), F.array().cast("array<string>").alias("items"),
                         F.lit(0).cast("long").alias("longest"), F.lit(None).cast("string").alias("longest_item"), F.lit(None).cast("long").alias("longest_at"))
-    for k, tests in enumerate(blocks):
-        frame = _pass(frame, tests, k + 1 == len(blocks))
+    for k, tests in enumerate(_blocks(benchmark, window, n)):
+        frame = _pass(stage(frame) if k else frame, tests, k + 1 == n)
     return frame
 
 
@@ -225,13 +230,13 @@ def _pass(frame: DataFrame, tests: Tests, last: bool) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that share no window with the benchmark, all columns kept and in place."""
+    """The rows of ``docs`` that share no window with the benchmark, all columns kept and in place; one pass a block, as above."""
     bounded_batches(docs.sparkSession)
-    for tests in _blocks(benchmark, window, block_bytes):
+    for k, tests in enumerate(_blocks(benchmark, window, _block_count(benchmark, block_bytes))):
         def run(batches: Iterator[pa.RecordBatch], tests=tests) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = pa.array([not f.items for f in scan(batch.column(batch.num_columns - 1).to_pylist(), tests)], pa.bool_())
                 yield batch.select(range(batch.num_columns - 1)).filter(keep)
 
-        docs = filter_batches(docs, run)
+        docs = filter_batches(stage(docs) if k else docs, run)
     return docs
