@@ -8,7 +8,7 @@ from itertools import islice, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,13 +102,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame, width: int = near_text.WIDTH, similarity: float = near_text.SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names its group, all columns kept; of rows with one doc_id the first by text stays.
+    """One row of ``docs`` for each group, the one with the smallest doc_id, all columns kept and in place.
 
-    Groups are tied by pairs whose sets of word shingles have at least this Jaccard similarity, not by fingerprints.
-    Rows without doc_id can't be named and stay.
+    Groups are tied by pairs whose sets of word shingles have at least this Jaccard similarity, not by fingerprints.  Rows
+    that share a doc_id are told apart by their shingle sets: each stays if its own group needs it; of those alike in
+    both, the one with the least text stays.  Rows without doc_id can't be named and stay.
     """
-    found = stage(near_text.near_groups(docs, width, similarity).groupBy("root").agg(F.min("low").alias("doc_id")).select("doc_id").filter("doc_id is not null").distinct())
-    place = free_name(docs.columns, "place")
-    stays = docs.filter(F.col("doc_id").isNotNull()).join(found, "doc_id", "left_semi")
-    first = stays.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(place) == 1)
-    return first.drop(place).union(docs.filter(F.col("doc_id").isNull()))
+    groups = near_text.near_groups(docs, width, similarity).filter("low is not null")
+    named = stage(groups.groupBy("root").agg(F.min(F.struct("low", "node")).alias("r")).select(F.col("r.low").alias("id"), F.col("r.node").alias("node")))
+    repeated = stage(docs.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"))
+    single = docs.join(repeated, docs["doc_id"] == repeated["id"], "left_anti")
+    single = single.join(named, single["doc_id"] == named["id"], "left_semi")
+    node, row = free_name(docs.columns, "node"), free_name(docs.columns, "row")
+    told = near_text.with_node(docs.join(repeated, docs["doc_id"] == repeated["id"], "left_semi"), width, node)
+    told = told.join(named, (told["doc_id"] == named["id"]) & (told[node] == named["node"]), "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row)
+    first = told.groupBy("doc_id", node).agg(F.min_by(whole, F.struct(F.col("text").isNotNull(), "text")).alias(row)).select(f"`{row}`.*")
+    return single.unionAll(first).unionAll(docs.filter(F.col("doc_id").isNull()))
