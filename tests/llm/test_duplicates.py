@@ -99,6 +99,15 @@ def test_odd_rows(odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == simhash.keep_representatives(no_docs).count() == 0
 
 
+def test_representatives_of_rows_with_one_id(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(30))
+    rows = [(1, text("a"), "x"), (1, text("b"), "y"), (2, text("c"), "z"), (2, text("a"), "v"), (3, text("b") + " ", "u"), (4, text("d"), "s"), (4, text("d"), "s"), (4, text("d") + "\n", "t"), (None, text("a"), "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    kept = sorted((r["doc_id"], r["node"]) for r in simhash.keep_representatives(docs).collect() if r["doc_id"])
+    assert kept == [(1, "x"), (1, "y"), (2, "z"), (4, "s")]
+    assert simhash.keep_representatives(docs).filter("doc_id is null").count() == 1
+
+
 def plain_jaccard_groups(texts):
     """doc -> smallest doc over links of 5-word Jaccard 0.8, over all pairs; and the linked pairs."""
     sets = {d: {tuple(t.lower().split()[i:i + 5]) for i in range(max(1, len(t.split()) - 4))} for d, t in texts.items()}

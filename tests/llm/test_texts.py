@@ -101,6 +101,9 @@ def test_leaks_odd_rows(spark, odd_docs, no_docs):
     key = lambda r: (str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"])
     assert sorted(map(key, rows)) == sorted(map(key, small)) and len(rows) == odd_docs.count()
     assert {r["doc_id"] for r in rows if r["contaminated"]} == {1, 2, 5, None}
+    copies = spark.createDataFrame([(i, "once upon a time there was a fox") for i in range(40)], items.schema)
+    sizes = [len(t.names) for t in decontaminate._blocks(copies, 10, decontaminate._block_count(copies, 200))]
+    assert max(sizes) < max(2, sum(sizes) / 2)  # copies of a text lie in several blocks
     kept = decontaminate.decontaminate(odd_docs, items, block_bytes=20)
     assert kept.columns == odd_docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "4", "6", "7", "8", "None"]
     assert decontaminate.contamination(no_docs, items).count() == 0
@@ -196,6 +199,42 @@ def test_toxicity_learns(spark, odd_docs, no_docs):
     assert all(0 <= r["score"] <= 1 for r in toxicity.toxicity(docs.limit(20), few).collect())
 
 
+def test_toxicity_fits_on_whole_texts(spark, monkeypatch):
+    """Telling words stand behind 20 000 bytes of prose; the byte bound passes over the texts that no longer fit, whole."""
+    random = np.random.default_rng(6)
+    prose = lambda n: " ".join("".join(random.choice(["th", "er", "an", "in", "ou", "st"], 3)) for _ in range(n))
+    rows = [(i, prose(3000) + (" wretched vermin cretinous" if i % 2 else " gentle meadow sunshine"), i % 2) for i in range(120)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels).collect()}
+    test = [(got[i]["predicted"], y) for i, _, y in rows if got[i]["held_out"]]
+    assert len(rows[0][1]) > 20_000 and sum(p == y for p, y in test) / len(test) > 0.9
+    model = toxicity.train(docs, labels)
+    score = model.scorer()
+    assert all(score(t.lower().encode()) == got[i]["score"] for i, t, _ in rows[:10])
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda toxic, ordinary, rate: seen.append((toxic, ordinary)))
+    toxicity.train(docs, labels, max_bytes=100_000)
+    texts = {t.encode() for _, t, _ in rows}
+    assert 0 < sum(map(len, seen[0][0] + seen[0][1])) <= 100_000 and set(seen[0][0] + seen[0][1]) <= texts
+
+
+def test_toxicity_gains_by_plain_compression():
+    """Window by window: what the ordinary dictionary alone needs, less what both need together, compressed afresh."""
+    import zstandard as zs
+    model = toxicity.fit([b"plain talk wretched vermin"] * 20, [b"plain talk gentle meadow"] * 20, 0.5)
+    data = b"some talk of a wretched vermin and then a gentle meadow, on and on and on " * 3
+
+    def size(content, part):
+        settings = zs.ZstdCompressionParameters(window_log=18, hash_log=14, chain_log=14, search_log=4, min_match=4, target_length=8, strategy=zs.STRATEGY_LAZY2,
+                                                write_content_size=0, write_dict_id=0, format=zs.FORMAT_ZSTD1_MAGICLESS)
+        return len(zs.ZstdCompressor(compression_params=settings, dict_data=zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)).compress(part))
+
+    parts = [data[i:i + 64] for i in range(0, len(data) - 16, 48)]
+    assert b"".join(p[:48] for p in parts) + parts[-1][48:] == data
+    expected = [size(model.ordinary, p) - size(model.toxic + model.ordinary, p) for p in parts]
+    assert toxicity._gains(model.toxic, model.ordinary)(data).tolist() == expected
+
+
 # --- personal data
 
 def base_by_hand(text):
