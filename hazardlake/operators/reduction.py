@@ -7,11 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardlake.operators.learning import features
+from hazardlake.operators.terms import TermSets, add_blocks
 from hazardlake.operators.validation import counts_of
 
 # Terms whose sums travel in one row: the thin matrix is never one value.
@@ -40,24 +39,6 @@ def _times(batch: pa.RecordBatch, thin: np.ndarray) -> np.ndarray:
     return np.stack(rows) if rows else np.zeros((0, thin.shape[1]))
 
 
-def _summed(parts: DataFrame, blocks: int, width: int) -> np.ndarray:
-    """Sums of ``(block, cells)`` rows over all tasks; each block is added up in one task, a row at a time."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.frombuffer(cells.as_py(), "<f8")
-                held[block] = held[block] + own if block in held else own
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()])], names=["block", "cells"])
-
-    out = np.zeros((blocks, width))
-    for r in parts.repartition(max(1, min(blocks, parts.sparkSession.sparkContext.defaultParallelism)), "block").mapInArrow(add, "block int, cells binary").collect():
-        out[r["block"]] += np.frombuffer(bytes(r["cells"]), "<f8")
-    return out
-
-
 def _gathered(rows: DataFrame, thin: np.ndarray) -> np.ndarray:
     """``X.T (X thin)`` over all rows, as many numbers as the thin matrix has."""
     terms, width = thin.shape
@@ -71,7 +52,7 @@ def _gathered(rows: DataFrame, thin: np.ndarray) -> np.ndarray:
         for k in range(blocks):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k * BLOCK:(k + 1) * BLOCK].tobytes()])], names=["block", "cells"])
 
-    found = _summed(rows.select("indices", "values").mapInArrow(run, "block int, cells binary"), blocks, BLOCK * width)
+    found = add_blocks(rows.select("indices", "values").mapInArrow(run, "block int, cells binary"), blocks, BLOCK * width)
     return found.reshape(blocks * BLOCK, width)[:terms]
 
 
@@ -159,7 +140,7 @@ def discriminant(rows: DataFrame, k: int = 300, ridge: float = 1e-6) -> Discrimi
             for line in range(width + 1):
                 yield pa.RecordBatch.from_arrays([pa.array([c * (width + 1) + line], pa.int32()), pa.array([total[c, line].tobytes()])], names=["block", "cells"])
 
-    moments = _summed(rows.select("label", "indices", "values").mapInArrow(run, "block int, cells binary"), 2 * (width + 1), width + 1).reshape(2, width + 1, width + 1)
+    moments = add_blocks(rows.select("label", "indices", "values").mapInArrow(run, "block int, cells binary"), 2 * (width + 1), width + 1).reshape(2, width + 1, width + 1)
     counts = moments[:, -1, -1]
     means = moments[:, -1, :-1] / np.maximum(counts, 1)[:, None]
     scatter = sum(moments[c, :-1, :-1] - counts[c] * np.outer(means[c], means[c]) for c in (0, 1))
@@ -171,11 +152,10 @@ def discriminant(rows: DataFrame, k: int = 300, ridge: float = 1e-6) -> Discrimi
 
 def discriminant_folds(df: DataFrame, folds: int, write: Callable[[DataFrame], DataFrame], k: int = 300, vocabulary: int = 5_000, fold: str = "fold") -> list[tuple]:
     """``(fold, components, tp, fp, fn, tn)``: each fold's terms, components and discriminant come from the other folds' rows."""
-    df = write(df.select("clean", "label", F.col(fold).alias("outer")))
+    sets = TermSets(df.select("clean", "label", F.col(fold).alias("outer")), [F.col("outer") != n for n in range(folds)], vocabulary, ["outer"])
     out = []
     for n in range(folds):
-        prepared = Pipeline(stages=features(vocabulary)).fit(df.filter(F.col("outer") != n))
-        rows = write(sparse_rows(prepared.transform(df), "label", "outer"))
+        rows = write(sparse_rows(sets.features(n), "label", "outer"))
         made = discriminant(rows.filter(F.col("outer") != n), k)
         out.append((n, made.components.directions.shape[1], *counts_of(made.predict(rows.filter(F.col("outer") == n), "label"))))
     return out
