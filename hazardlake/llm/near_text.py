@@ -1,8 +1,8 @@
-"""Near duplicates by the share of common word shingles: MinHash bands propose pairs, their whole shingle sets decide."""
+"""Near duplicates by the share of common word shingles: SimHash under covering masks and MinHash bands propose pairs, their whole shingle sets decide."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import repeat
 
 import numpy as np
@@ -38,23 +38,35 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(b.tobytes(), SEED) for b in least.reshape(BANDS, ROWS)), np.uint64, BANDS).view(np.int64)
 
 
+def set_print(found: np.ndarray) -> np.uint64:
+    """64-bit SimHash of a shingle set: a bit is 1 if set in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for start in range(0, len(found), _BLOCK):
+        counts += np.unpackbits(found[start:start + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(found), bitorder="little").view(np.uint64)[0]
+
+
 def _node(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, node, n, keys)`` of every row: a digest of its shingle set, the set's size and its band keys."""
+def sketches(docs: DataFrame, width: int, covering: Sequence[int] = ()) -> DataFrame:
+    """``(doc_id, node, n, fp, keys)`` of every row: a digest of its shingle set, the set's size and SimHash, its band keys and its
+    SimHash under each covering mask."""
     bounded_batches(docs.sparkSession)
+    cover = np.array(covering, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
+            prints = [set_print(s) for s in sets]
+            keys = [np.concatenate((band_keys(s), (p & cover).view(np.int64))) for s, p in zip(sets, prints, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(_node, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))],
-                names=["doc_id", "node", "n", "keys"])
+                [batch.column(0), pa.array(map(_node, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "node", "n", "fp", "keys"])
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, T.StructType(
-        [field(docs, "doc_id"), T.StructField("node", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+        [field(docs, "doc_id"), T.StructField("node", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
 
 
 def with_node(docs: DataFrame, width: int, name: str) -> DataFrame:
@@ -114,17 +126,18 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def near_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+def near_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, covering: Sequence[int] = (), radius: int = 0) -> DataFrame:
     """``(node, low, root)`` of every distinct shingle set: its smallest doc_id, and the group over links of this similarity.
 
-    Sets that share a band key are candidates.  Two rounds compare each bucket with one of its members, first the one
+    Sets whose SimHash differ in at most ``radius`` bits are candidates; they agree under one of the ``covering`` masks.  So are sets that
+    share a MinHash band key, since most pairs of this similarity lie more bits apart.  Two rounds compare each bucket with one of its members, first the one
     with the least text of its own, so a large group of near copies is tied without listing its pairs; pairs of
     a bucket that are still in different groups are then all compared.  Pairs that can't reach the similarity by
     their sizes and the shingles no other candidate has are passed over.
     """
-    rows = sketches(docs, width)
-    nodes = stage(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    keyed = nodes.select("node", "n", F.posexplode("keys").alias("t", "k"))
+    rows = sketches(docs, width, covering)
+    nodes = stage(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    keyed = nodes.select("node", "n", "fp", F.posexplode("keys").alias("t", "k"))
     shared = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("t", "k")
     met = stage(keyed.join(shared, ["t", "k"]))
     named = nodes.join(met.select("node").distinct(), "node", "left_semi").select("low").distinct()
@@ -132,16 +145,17 @@ def near_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILAR
     met = stage(met.join(_held(sets), "node").filter(F.col("held") >= F.lit(similarity) * F.col("n") - 1e-9))
     # No pair has more in common than either one holds together with any other set.
     near = F.least("p.held", "m.held") * (1 + similarity) >= F.lit(similarity) * (F.col("p.n") + F.col("m.n")) - 1e-9
+    near = near & ((F.col("m.t") < BANDS) | (F.bit_count(F.col("m.fp").bitwiseXOR(F.col("p.fp"))) <= radius))
     roots = None
     for turn in range(PIVOTS + 1):
         here = met.withColumn("root", F.col("node")) if roots is None else met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        order = F.struct((-F.col("held") / F.col("n") if turn == 0 else F.xxhash64("node", F.lit(turn))).alias("o"), "node", "n", "held", "root")
+        order = F.struct((-F.col("held") / F.col("n") if turn == 0 else F.xxhash64("node", F.lit(turn))).alias("o"), "node", "n", "held", "fp", "root")
         mixed = here.groupBy("t", "k").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min(order).alias("p")).filter("r <> s")
         if turn < PIVOTS:
-            pivots = mixed.select("t", "k", "p.node", "p.n", "p.held", "p.root")
+            pivots = mixed.select("t", "k", "p.node", "p.n", "p.held", "p.fp", "p.root")
         else:
             pivots = here = stage(here.join(mixed.select("t", "k"), ["t", "k"], "left_semi"))
-        meet = here.alias("m").join(pivots.alias("p"), ["t", "k"]).filter((F.col("m.root") != F.col("p.root")) & near)
+        meet = here.alias("m").join(pivots.alias("p"), (F.col("m.t") == F.col("p.t")) & (F.col("m.k") == F.col("p.k"))).filter((F.col("m.root") != F.col("p.root")) & near)
         pairs = stage(meet.select(F.least("m.node", "p.node").alias("a"), F.greatest("m.node", "p.node").alias("b")).distinct())
         if pairs.isEmpty():
             if turn == PIVOTS or mixed.isEmpty():

@@ -104,11 +104,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_representatives(docs: DataFrame, width: int = near_text.WIDTH, similarity: float = near_text.SIMILARITY) -> DataFrame:
     """One row of ``docs`` for each group, the one with the smallest doc_id, all columns kept and in place.
 
-    Groups are tied by pairs whose sets of word shingles have at least this Jaccard similarity, not by fingerprints.  Rows
+    Candidates are fingerprints within ``RADIUS`` bits, found by the covering masks, and sets that meet in a MinHash band; of
+    them, pairs whose sets of word shingles have at least this Jaccard similarity tie a group.  Rows
     that share a doc_id are told apart by their shingle sets: each stays if its own group needs it; of those alike in
     both, the one with the least text stays.  Rows without doc_id can't be named and stay.
     """
-    groups = near_text.near_groups(docs, width, similarity).filter("low is not null")
+    groups = near_text.near_groups(docs, width, similarity, masks(), RADIUS).filter("low is not null")
     named = stage(groups.groupBy("root").agg(F.min(F.struct("low", "node")).alias("r")).select(F.col("r.low").alias("id"), F.col("r.node").alias("node")))
     repeated = stage(docs.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"))
     single = docs.join(repeated, docs["doc_id"] == repeated["id"], "left_anti")

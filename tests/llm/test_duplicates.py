@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from hazardlake.llm import exact_dedup, simhash
+from hazardlake.llm import exact_dedup, near_text, simhash
 from hazardlake.llm.components import components
 
 
@@ -216,3 +216,30 @@ def test_registered_sql(spark, folder):
         assert sorted(got.columns) == columns
         shown = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
         assert sorted([shown(r[c]) for c in columns] for r in got.collect()) == sorted([shown(r[i]) for i in at] for r in relation.fetchall()), name
+
+
+def test_near_duplicate_stage_searches_by_covering_masks(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(9999)}" for _ in range(600)]
+    docs = [(n, " ".join([*base[:599 - n], *(f"x{n}y{i}" for i in range(n)), base[599]])) for n in range(6)]
+    found = {r["doc_id"]: r for r in near_text.sketches(spark.createDataFrame(docs, "doc_id long, text string"), 5, simhash.masks()).collect()}
+    for n, text in docs:
+        hashes = {xxhash.xxh64_intdigest(" ".join(text.split()[i:i + 5]).encode(), 42) for i in range(596)}
+        assert found[n]["fp"] % 2**64 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    close = [(a, b) for a in found for b in found if a < b and ((found[a]["fp"] ^ found[b]["fp"]) % 2**64).bit_count() <= simhash.RADIUS]
+    assert close
+    for a, b in close:
+        assert any(x == y for x, y in zip(found[a]["keys"][near_text.BANDS:], found[b]["keys"][near_text.BANDS:], strict=True))
+
+
+def test_pairs_of_the_masks_alone_are_tied(spark):
+    # bands would need four equal least hashes: a similarity of 0.3 seldom has them, two bits are then the only tie
+    bands = lambda text: near_text.band_keys(near_text.shingles(text.encode(), 5))
+    other = next(t for t in (f"a b c d e {w}" for w in "ghijklmnop") if not (bands(t) == bands("a b c d e f")).any())
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, other), (3, "q r s t u v")], "doc_id long, text string")
+    prints = {r["doc_id"]: r["fp"] for r in near_text.sketches(docs, 5).collect()}
+    radius = ((prints[1] ^ prints[2]) % 2**64).bit_count()
+    tied = {r["low"]: r["root"] for r in near_text.near_groups(docs, 5, 0.3, [0], radius).collect()}
+    assert tied[1] == tied[2] != tied[3]
+    apart = {r["low"]: r["root"] for r in near_text.near_groups(docs, 5, 0.3, [0], radius - 1).collect()}
+    assert len(set(apart.values())) == 3
