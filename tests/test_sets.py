@@ -162,3 +162,18 @@ def test_sample_shares(spark):
     taken = ds.sample_shares(rows, "g", "id", {"a": 7, "b": None})
     assert {r["g"]: r["count"] for r in taken.groupBy("g").count().collect()} == {"a": 7, "b": 25}
     assert sorted(map(str, taken.collect())) == sorted(map(str, ds.sample_shares(rows.repartition(9), "g", "id", {"a": 7, "b": None}).collect()))
+
+
+def test_near_sets_are_found_without_reading_texts_again(spark):
+    rng = random.Random(5)
+    words = [f"w{n:03d}" for n in range(400)]
+    sets = [set(rng.sample(words, rng.randrange(3, 90))) for _ in range(60)]
+    sets += [set(rng.sample(sorted(s), max(1, int(len(s) * rng.choice([0.7, 0.76, 0.9]))))) | set(rng.sample(words, rng.randrange(4))) for s in sets]
+    rows = [(n, " ".join(sorted(s)), "r1" if n % 3 else "r2", "h", "a", ["b"]) for n, s in enumerate(sets)]
+    want = {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and a[2] == b[2] and 4 * len(set(a[1].split()) & set(b[1].split())) >= 3 * len(set(a[1].split()) | set(b[1].split()))}
+    df = spark.createDataFrame(rows, REPORT)
+    table = df.select("id", F.unhex(F.sha2("report_text", 256)).alias("set"), F.col("report_text").alias("tokens"), F.col("rule").alias("block"))
+    told = {bytes(r["set"]): r["tokens"] for r in table.collect()}
+    found = [tuple(sorted((told[bytes(r["a"])], told[bytes(r["b"])]))) for r in sm._token_pairs(table, 0.75).collect()]
+    assert want and len(found) == len(set(found)) and set(found) == want
+    assert "regexp_extract_all" not in sm.near_duplicates(df)._jdf.queryExecution().toString()
