@@ -177,3 +177,20 @@ def test_near_sets_are_found_without_reading_texts_again(spark):
     found = [tuple(sorted((told[bytes(r["a"])], told[bytes(r["b"])]))) for r in sm._token_pairs(table, 0.75).collect()]
     assert want and len(found) == len(set(found)) and set(found) == want
     assert "regexp_extract_all" not in sm.near_duplicates(df)._jdf.queryExecution().toString()
+
+
+def test_similar_reports_of_bounded_pairs_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(sm, "FIRST_ROWS", 40)
+    rng = random.Random(8)
+    words = [f"w{n:03d}" for n in range(120)]
+    rows = [(n, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 40))), rng.choice(["r1", "r2", "r3", "r4", None]), rng.choice(["h1", "h2"]),
+             rng.choice(["Lift", "Dig", None]), rng.sample([f"b{n}" for n in range(80)], rng.randrange(12))) for n in range(400)]
+    rows += [(400 + n, r[1] + " w000", rng.choice(["r1", "r2", None]), *r[3:]) for n, r in enumerate(rows[:200])]
+    df = spark.createDataFrame(rows, REPORT)
+    found = sm.similar_reports(df, df, k=3, block_rows=150)
+    assert "regexp_extract_all" not in found._jdf.queryExecution().toString()
+    got = {}
+    for r in found.orderBy("query_id", "place").collect():
+        got.setdefault(r["query_id"], []).append((r["match_id"], round(r["score"], 9)))
+    scored = {q[0]: sorted(((p[0], round(s, 9)) for p in rows if p[0] != q[0] and (s := _score(q, p)) >= 0.16 - 1e-12), key=lambda x: (-x[1], x[0]))[:3] for q in rows}
+    assert {i: got.get(i, []) for i in scored} == scored
