@@ -77,6 +77,6 @@ def duplicate_groups(df: DataFrame, text_col: str, id_col: str, min_length: int
 
 def dedupe_by_priority(df: DataFrame, text_col: str, rank: Column, id_col: str) -> DataFrame:
     """Keeps, per fingerprint, the row of the best source (lowest rank), then the smallest id."""
-    keyed = df.withColumn("_key", F.sha2(fingerprint(F.col(text_col)), 256))
+    keyed = df.withColumn("_key", fence(F.sha2(fingerprint(F.col(text_col)), 256)))
     best = keyed.groupBy("_key").agg(F.min(F.struct(rank.alias("r"), F.col(id_col).alias("i"))).alias("best"))
     return keyed.join(best, "_key").filter(F.col("best.i") == F.col(id_col)).drop("_key", "best")

@@ -60,3 +60,24 @@ def test_header_mapping():
 def test_rule_estimate(spark):
     df = spark.createDataFrame([("Residual pressure", ""), ("", "Crane work"), ("dust", "sweeping"), (None, None)], "h string, a string")
     assert [r[0] for r in df.select(nm.estimate_rule(F.col("h"), F.col("a"))).collect()] == ["Energy Isolation", "Safe Mechanical Lifting", None, None]
+
+
+def test_runs_of_blanks_and_acronyms_are_replaced_as_before(spark):
+    from hazardlake.functions import text as tx
+    rows = [("  a b\t c\n\nd e   f ",), ("PTW and LOTO, ba-ba ptws",), ("x--y  z!",), ("\t",), (None,)]
+    df = spark.createDataFrame(rows, "t string")
+    spelled = F.btrim(F.regexp_replace(F.lower(F.coalesce("t", F.lit(""))), tx.SPACE + "+", " "))
+    for short, full in tx.ACRONYMS:
+        spelled = F.regexp_replace(spelled, rf"\b{short}\b", full)
+    plain = [F.btrim(F.regexp_replace("t", tx.SPACE + "+", " ")), spelled, F.btrim(F.regexp_replace(F.lower(F.coalesce("t", F.lit(""))), r"[^a-z0-9\x{900}-\x{9ff}]+", " "))]
+    mine = [tx.collapse(F.col("t")), tx.model_text(F.col("t")), tx.fingerprint(F.col("t"))]
+    for r in df.select(F.array(*mine).alias("mine"), F.array(*plain).alias("plain")).collect():
+        assert r["mine"] == r["plain"]
+
+
+def test_a_field_is_filled_by_the_words_of_its_rows(spark):
+    from hazardlake.operators import learning as ml
+    rows = [(n, ("crane lifted load " if n % 2 else "welder sparks fire ") + f"n{n}", None if n % 5 == 0 else "lift" if n % 2 else "weld") for n in range(60)]
+    df = spark.createDataFrame(rows, "id long, clean string, activity string").withColumn("label", F.lit(0.0))
+    made = {r["id"]: r for r in ml.fill_field(df, "activity", 5, ["id"]).collect()}
+    assert len(made) == 60 and all(made[n]["activity"] == ("lift" if n % 2 else "weld") and made[n]["ml_filled"] == (n % 5 == 0) for n in range(60))
