@@ -114,6 +114,22 @@ def test_variants_are_new_and_distinct(spark):
     assert made and len(set(texts)) == len(texts) and not set(texts) & {r["text"] for r in seeds.collect()}
 
 
+def test_variants_are_made_where_the_partner_has_arrived(spark):
+    whole = "The pump {0} leaked in area {0}. The tanker left the tank. Then? It was shut {1}."
+    rows = [(n, whole.format(n, n), "ab"[n % 2] if n % 7 else None) for n in range(60)]
+    seeds = spark.createDataFrame([*rows, (60, "Only one sentence here", "a"), (61, None, "b")], "id int, text string, rule string")
+    made = ds.text_variants(seeds, "text", "id", "rule", 4)
+    got = {r["variant_text"] for r in made.collect()}
+    assert got & {f"The compressor {n} leaked in zone {n}. The tanker left the vessel. Then? It was shut {n}." for n in range(60)}
+    assert got & {whole.format(n, m) for n in range(60) for m in range(60) if n != m}
+    # a text travels once, not once for each variant
+    lines = made._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(n for n, line in enumerate(lines) if "Generate explode" in line)
+    below = lines[at].index("Generate")
+    inside = [line for line in lines[at + 1:] if len(line) - len(line.lstrip(" :+-")) > below]
+    assert any("Join LeftOuter" in line for line in inside[:8])
+
+
 def test_nothing_is_cut(spark):
     from hazardlake.operators import feedback as fb
     from hazardlake.operators import registry as rg
