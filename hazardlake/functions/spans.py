@@ -10,23 +10,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hazardlake.functions.columns import all_labels, any_of, let
+from hazardlake.functions.columns import all_labels, any_of, let, one_of
 from hazardlake.lexicon import Lexicon
 from hazardlake.vocab import english, foreign
 
 WORD = r"[a-z0-9_\-']"
 NEGATION_REACH = 60
+NEAR = 200
 # Characters stripped from evidence, and those that end a foreign token.
 EVIDENCE_TRIM = " ,;.:\"'"
 FOREIGN_BREAK = " \t\n.,;:!?()[]{}'\"|«»“”‘’—–"
 
-NEGATION = any_of(english.NEGATION_TOKENS)
-NULLIFY = any_of(english.NULLIFY_PHRASES)
+NEGATION = one_of(english.NEGATION_TOKENS)
+# A phrase behind one that it begins with never gets its turn.
+NULLIFY = one_of([p for i, p in enumerate(english.NULLIFY_PHRASES) if not p.startswith(tuple(english.NULLIFY_PHRASES[:i]))])
+# Windows without any of these words are settled by one search; they are most.
+NEGATION_OR_NULLIFY = f"(?=[{''.join(sorted({w[0] for w in english.NEGATION_TOKENS + english.NULLIFY_PHRASES}))}])(?:{NEGATION}|{NULLIFY})"
 # The nearest token before ends the greedy run; the nearest after ends the lazy one.
 # A nullifying phrase is stepped over as a whole, so nothing inside it counts.
-_STEP = f"(?:(?>{NULLIFY})|(?!{NULLIFY}).)"
+_STEP = f"(?>{NULLIFY}|.)"
 LAST_NEGATION = f"(?s)^{_STEP}*(?={NEGATION})(?!{NULLIFY})"
-FIRST_NEGATION = f"(?s)^{_STEP}*?(?<={NEGATION})"
+FIRST_NEGATION = f"(?s)^{_STEP}*?(?<={any_of(english.NEGATION_TOKENS)})"
 
 _SPAN = "struct<shorter:int,r:int,ord:int,start:int,end:int,phrase:string,negated:boolean>"
 
@@ -50,12 +54,16 @@ def positions(text: Column, phrase: Column, width: Column) -> Column:
 
 
 def run_before(text: Column, at: Column, pattern: str) -> Column:
-    """Length of the run of ``pattern`` characters that ends at ``at``."""
-    return F.length(F.regexp_extract(F.reverse(F.substring(text, 1, at)), f"^{pattern}*", 0))
+    """Length of the run of ``pattern`` characters that ends at ``at``; the whole text is looked at only for a long one."""
+    run = lambda part: F.length(F.regexp_extract(F.reverse(part), f"^{pattern}*", 0))
+    near = run(piece(text, at - NEAR, at))
+    return let(near, lambda n: F.when(n < NEAR, n).otherwise(run(F.substring(text, 1, at))))
 
 
 def run_after(text: Column, at: Column, pattern: str) -> Column:
-    return F.length(F.regexp_extract(F.substring(text, at + 1, F.length(text)), f"^{pattern}*", 0))
+    run = lambda part: F.length(F.regexp_extract(part, f"^{pattern}*", 0))
+    near = run(F.substring(text, at + 1, NEAR))
+    return let(near, lambda n: F.when(n < NEAR, n).otherwise(run(F.substring(text, at + 1, F.length(text)))))
 
 
 def starts_clean(text: Column, entry: Column, at: Column, edge: str) -> Column:
@@ -72,9 +80,9 @@ def occurrences(text: Column, entry: Column, edge: str) -> Column:
     return F.filter(found, lambda at: starts_clean(text, entry, at, edge))
 
 
-def _window_flags(before: Column, after: Column) -> Column:
-    strip = lambda w: F.regexp_replace(w, NULLIFY, "")
-    return strip(before).rlike(NEGATION) | strip(after).rlike(NEGATION)
+def _window_flags(w: Column) -> Column:
+    strip = lambda part: F.regexp_replace(part, NULLIFY, "")
+    return (w["left"] & strip(w["before"]).rlike(NEGATION)) | (w["right"] & strip(w["after"]).rlike(NEGATION))
 
 
 def _span_at(text: Column, low: Column, entry: Column, at: Column) -> Column:
@@ -83,9 +91,9 @@ def _span_at(text: Column, low: Column, entry: Column, at: Column) -> Column:
     def build(w: Column) -> Column:
         left = at - run_before(low, at, WORD)
         right = end + run_after(low, end, WORD)
-        neg_left = F.when(w["before"].rlike(LAST_NEGATION),
+        neg_left = F.when(w["left"] & w["before"].rlike(LAST_NEGATION),
                           w["from"] + F.length(F.regexp_extract(w["before"], LAST_NEGATION, 0)))
-        neg_right = F.when(w["after"].rlike(FIRST_NEGATION),
+        neg_right = F.when(w["right"] & w["after"].rlike(FIRST_NEGATION),
                            end + F.length(F.regexp_extract(w["after"], FIRST_NEGATION, 0)))
         bounds = F.struct(F.least(left, neg_left).alias("start"), F.greatest(right, neg_right).alias("end"))
         return F.when(~entry["neg"] | w["negated"], let(bounds, lambda b: F.struct(
@@ -97,9 +105,11 @@ def _span_at(text: Column, low: Column, entry: Column, at: Column) -> Column:
     start = F.greatest(at - NEGATION_REACH, F.lit(0))
     window = F.struct(start.alias("from"), piece(low, start, at).alias("before"),
                       F.substring(low, end + 1, NEGATION_REACH).alias("after"))
-    flagged = let(window, lambda w: F.struct(w["from"].alias("from"), w["before"].alias("before"),
-                                             w["after"].alias("after"),
-                                             _window_flags(w["before"], w["after"]).alias("negated")))
+    searched = let(window, lambda w: F.struct(w["from"].alias("from"), w["before"].alias("before"), w["after"].alias("after"),
+                                              w["before"].rlike(NEGATION_OR_NULLIFY).alias("left"),
+                                              w["after"].rlike(NEGATION_OR_NULLIFY).alias("right")))
+    flagged = let(searched, lambda w: F.struct(*[w[name].alias(name) for name in ("from", "before", "after", "left", "right")],
+                                               _window_flags(w).alias("negated")))
     return let(flagged, build)
 
 
@@ -109,9 +119,12 @@ def phrases_in(low: Column, groups: Column) -> Column:
     return F.array_sort(F.flatten(F.transform(near, lambda g: F.filter(g["entries"], lambda e: low.contains(e["p"])))))
 
 
-def english_candidates(text: Column, low: Column, lexicon: Lexicon) -> Column:
-    """All indicator spans that pass the boundary and negation tests, before selection."""
-    hit = phrases_in(low, lexicon.indicator_column())
+def english_candidates(text: Column, low: Column, lexicon: Lexicon, found: Column | None = None) -> Column:
+    """All indicator spans that pass the boundary and negation tests, before selection.
+
+    ``found`` may stand for ``low`` where only the presence of a phrase counts.
+    """
+    hit = phrases_in(low if found is None else found, lexicon.indicator_column())
 
     def spans(entry: Column) -> Column:
         return F.transform(occurrences(low, entry, WORD), lambda at: _span_at(text, low, entry, at))
@@ -134,9 +147,9 @@ def longest_per_rule(candidates: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k["s"])
 
 
-def foreign_candidates(text: Column, low: Column, lexicon: Lexicon) -> Column:
+def foreign_candidates(text: Column, low: Column, lexicon: Lexicon, found: Column | None = None) -> Column:
     """First occurrence of each foreign phrase; a later phrase of the same rule on the same spot is skipped."""
-    hit = phrases_in(low, lexicon.foreign_column())
+    hit = phrases_in(low if found is None else found, lexicon.foreign_column())
     edge = "[^" + "".join("\\" + c if c in "[]{}()|.?'\"" else c for c in FOREIGN_BREAK) + "]"
 
     def span(entry: Column) -> Column:
@@ -170,12 +183,12 @@ def named(spans: Column, lexicon: Lexicon, lang: str | None = None) -> Column:
         s["negated"].alias("negated"))))) 
 
 
-def english_matches(text: Column, low: Column, lexicon: Lexicon) -> Column:
-    return named(longest_per_rule(english_candidates(text, low, lexicon)), lexicon)
+def english_matches(text: Column, low: Column, lexicon: Lexicon, found: Column | None = None) -> Column:
+    return named(longest_per_rule(english_candidates(text, low, lexicon, found)), lexicon)
 
 
-def foreign_matches(text: Column, low: Column, lexicon: Lexicon) -> Column:
-    return named(foreign_candidates(text, low, lexicon), lexicon)
+def foreign_matches(text: Column, low: Column, lexicon: Lexicon, found: Column | None = None) -> Column:
+    return named(foreign_candidates(text, low, lexicon, found), lexicon)
 
 
 def merged_matches(english_part: Column, foreign_part: Column) -> Column:
@@ -190,8 +203,8 @@ def merged_matches(english_part: Column, foreign_part: Column) -> Column:
 # ---- clause-bounded windows ----------------------------------------------
 
 FAILURE_WORDS = sorted(set(english.NEGATION_TOKENS) | set(english.CONTROL_FAILURE_WORDS), key=lambda w: (-len(w), w))
-FAILURE = any_of(FAILURE_WORDS)
-FOREIGN_FAILURE = "(?<![a-z0-9])" + any_of(english.FOREIGN_NEGATION_TOKENS) + "(?![a-z0-9])"
+FAILURE = one_of(FAILURE_WORDS)
+FOREIGN_FAILURE = "(?<![a-z0-9])" + one_of(english.FOREIGN_NEGATION_TOKENS) + "(?![a-z0-9])"
 # Letters and digits of any script: a control term glued to one is part of another word.
 ALNUM = r"[\p{L}\p{N}]"
 REACH_BEFORE, REACH_AFTER = 45, 30

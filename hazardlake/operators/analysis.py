@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hazardlake.functions import spans
 from hazardlake.functions import text as tx
 from hazardlake.functions.columns import all_labels, blank_to_null, constant, fence, first_label, has_any, let, word_list
+from hazardlake.functions.presence import words_found
 from hazardlake.lexicon import DEFAULT, Lexicon
 from hazardlake.operators.conditions import breached_labels, rule_conditions, term_positions
 from hazardlake.vocab import english, foreign
@@ -20,7 +21,7 @@ NOTHING_TO_DO = "No precursor found: keep the report on file, nothing else to do
 
 
 # The functions below take the lowercased text where only its words matter, so that the
-# caller lowers each text once.
+# caller lowers each text once; where only their presence does, its ``words_found`` will do.
 
 # ---- predicates and scores -------------------------------------------------
 
@@ -110,9 +111,9 @@ def location(low: Column) -> Column:
     return F.aggregate(table, nothing, lambda found, e: F.coalesce(found, F.when(low.contains(e["term"]), e)))
 
 
-def equipment(text: Column, low: Column) -> Column:
+def equipment(text: Column, found: Column) -> Column:
     """English vocabulary first, then the terms of the other languages."""
-    return F.array_distinct(F.concat(english_equipment(low), spans.foreign_equipment(text)))
+    return F.array_distinct(F.concat(english_equipment(found), spans.foreign_equipment(text)))
 
 
 def english_equipment(low: Column) -> Column:
@@ -124,18 +125,19 @@ def hazards(low: Column, matches: Column) -> Column:
     return F.array_distinct(F.concat(F.transform(matches, lambda m: m["hazard"]), extra))
 
 
-def vocabulary_barriers(low: Column) -> Column:
+def vocabulary_barriers(low: Column, found: Column | None = None) -> Column:
     """Barriers whose term sits beside a failure word in its clause."""
+    found = low if found is None else found
     table = constant([{"label": label, "terms": terms} for label, terms in english.BARRIER_TERMS.items()],
                      "array<struct<label:string,terms:array<string>>>")
     failed = lambda term: F.exists(term_positions(low, term),
                                    lambda at: spans.fails_nearby(low, at, F.length(term)))
-    return F.transform(F.filter(table, lambda b: F.exists(b["terms"], failed)), lambda b: b["label"])
+    return F.transform(F.filter(table, lambda b: F.exists(F.filter(b["terms"], lambda t: found.contains(t)), failed)), lambda b: b["label"])
 
 
-def barrier_failures(low: Column, matches: Column) -> Column:
+def barrier_failures(low: Column, matches: Column, found: Column | None = None) -> Column:
     own = F.array_compact(F.transform(matches, lambda m: m["barrier"]))
-    return F.array_distinct(F.concat(own, vocabulary_barriers(low)))
+    return F.array_distinct(F.concat(own, vocabulary_barriers(low, found)))
 
 
 def languages(text: Column, low: Column) -> Column:
@@ -229,41 +231,56 @@ ANALYSIS_COLUMNS = [
 ]
 
 
-def with_matches(df: DataFrame, text_col: str = "report_text", lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """Adds ``clean_text``, ``low_text`` and the merged ``matches`` array."""
-    text, low = F.col("clean_text"), F.col("low_text")
+def searched_words(lexicon: Lexicon) -> list[str]:
+    """Every word and phrase whose presence in a text the analysis asks for."""
+    tables = [english.EXTRA_HAZARDS, english.BARRIER_TERMS, english.ACTIVITY_TERMS, english.EQUIPMENT_TERMS]
+    listed = [english.EXPOSURE_TERMS, english.ACT_ACTORS, english.CONDITION_WORDS, english.MISSING_CONTROL_TERMS, [term for term, _ in english.LOCATION_TERMS],
+              [e["p"] for e in lexicon.indicators + lexicon.foreign_phrases], *[words for table in tables for words in table.values()], *[words for _, words in english.EXPLICIT_ACTIVITIES],
+              *[c["terms"] + c["breach"] for conditions in lexicon.conditions.values() for c in conditions]]
+    return sorted({word for words in listed for word in words})
+
+
+def _searched(df: DataFrame, text_col: str, lexicon: Lexicon) -> DataFrame:
+    """As ``with_matches``, and ``_found``: the searched words that occur."""
+    text, low, words = F.col("clean_text"), F.col("low_text"), F.col("_found")
     found = spans.merged_matches(F.col("english_matches"), F.col("foreign_matches"))
     none = F.array().cast(f"array<{MATCH}>")
     return (df.withColumn("clean_text", tx.analysis_text(F.col(text_col)))
             .withColumn("low_text", fence(F.lower(text)))
-            .withColumns({"english_matches": F.coalesce(spans.english_matches(text, low, lexicon), none),
-                          "foreign_matches": F.coalesce(spans.foreign_matches(text, low, lexicon), none)})
+            .withColumn("_found", fence(words_found(low, searched_words(lexicon))))
+            .withColumns({"english_matches": F.coalesce(spans.english_matches(text, low, lexicon, words), none),
+                          "foreign_matches": F.coalesce(spans.foreign_matches(text, low, lexicon, words), none)})
             .withColumn("matches", fence(found))
             .drop("english_matches", "foreign_matches"))
 
 
+def with_matches(df: DataFrame, text_col: str = "report_text", lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """Adds ``clean_text``, ``low_text`` and the merged ``matches`` array."""
+    return _searched(df, text_col, lexicon).drop("_found")
+
+
 def analyze(df: DataFrame, text_col: str = "report_text", lexicon: Lexicon = DEFAULT) -> DataFrame:
     """Adds the structured analysis of each report; rows without text get status ``failed``.
 
     A narrow plan: every step is an expression on the row, so the input's partitioning is
     kept and nothing is shuffled.
     """
-    text, low, matches = F.col("clean_text"), F.col("low_text"), F.col("matches")
+    text, low, matches, found = F.col("clean_text"), F.col("low_text"), F.col("matches"), F.col("_found")
     rule, factors = F.col("life_saving_rule"), F.col("priority_factors")
     staged = (
-        with_matches(df, text_col, lexicon)
+        _searched(df, text_col, lexicon)
         .withColumns({
-            "priority_factors": priority_factors(matches, low),
+            "priority_factors": priority_factors(matches, found),
             "_rule": primary_rule(matches, low, lexicon),
-            "hazards": hazards(low, matches),
-            "barrier_failure": barrier_failures(low, matches),
-            "_stated_activity": activity(low),
-            "_location": location(low),
+            "hazards": hazards(found, matches),
+            "barrier_failure": barrier_failures(low, matches, found),
+            "_stated_activity": activity(found),
+            "_location": location(found),
             "sif_potential": F.size(matches) > 0,
             "potential_consequence": F.get(matches, F.lit(0))["consequence"],
             "evidence": F.array_distinct(F.transform(matches, lambda m: m["phrase"])),
-            "equipment": equipment(text, low),
-            "unsafe_type": act_or_condition(low),
+            "equipment": equipment(text, found),
+            "unsafe_type": act_or_condition(found),
             "languages": languages(text, low),
         })
         .withColumns({
@@ -276,7 +293,7 @@ def analyze(df: DataFrame, text_col: str = "report_text", lexicon: Lexicon = DEF
         })
         .withColumns({
             "analysis_activity": F.coalesce(F.col("_stated_activity"), implied_activity(rule)),
-            "rule_conditions": rule_conditions(text, low, rule, matches, lexicon),
+            "rule_conditions": rule_conditions(text, low, rule, matches, lexicon, found),
         })
     )
     fallback = ~F.col("sif_potential") & F.col("life_saving_rule").isNotNull()
@@ -298,7 +315,7 @@ def analyze(df: DataFrame, text_col: str = "report_text", lexicon: Lexicon = DEF
         "model": F.lit(MODEL_TAG),
         "processing_status": F.when(failed, F.lit("failed")).otherwise(F.lit("analyzed")),
         "error": F.when(failed, F.lit("Report text is required")),
-    }).drop("_rule", "_stated_activity", "_location", "low_text")
+    }).drop("_rule", "_stated_activity", "_location", "low_text", "_found")
     # A failed row keeps its report but carries no analysis.
     return done.select(*[F.when(~failed, F.col(c)).alias(c) if c in ANALYSIS_COLUMNS else F.col(c) for c in done.columns])
 
