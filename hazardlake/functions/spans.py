@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hazardlake.functions.columns import all_labels, any_of, let, one_of
+from hazardlake.functions.columns import all_labels, let, one_of
 from hazardlake.lexicon import Lexicon
 from hazardlake.vocab import english, foreign
 
@@ -30,7 +30,7 @@ NEGATION_OR_NULLIFY = f"(?=[{''.join(sorted({w[0] for w in english.NEGATION_TOKE
 # A nullifying phrase is stepped over as a whole, so nothing inside it counts.
 _STEP = f"(?>{NULLIFY}|.)"
 LAST_NEGATION = f"(?s)^{_STEP}*(?={NEGATION})(?!{NULLIFY})"
-FIRST_NEGATION = f"(?s)^{_STEP}*?(?<={any_of(english.NEGATION_TOKENS)})"
+FIRST_NEGATION = f"(?s)^{_STEP}*?(?<={NEGATION})"
 
 _SPAN = "struct<shorter:int,r:int,ord:int,start:int,end:int,phrase:string,negated:boolean>"
 
@@ -91,10 +91,10 @@ def _span_at(text: Column, low: Column, entry: Column, at: Column) -> Column:
     def build(w: Column) -> Column:
         left = at - run_before(low, at, WORD)
         right = end + run_after(low, end, WORD)
-        neg_left = F.when(w["left"] & w["before"].rlike(LAST_NEGATION),
-                          w["from"] + F.length(F.regexp_extract(w["before"], LAST_NEGATION, 0)))
-        neg_right = F.when(w["right"] & w["after"].rlike(FIRST_NEGATION),
-                           end + F.length(F.regexp_extract(w["after"], FIRST_NEGATION, 0)))
+        # No match is as long as nothing, so the left one takes a character of its token along; the right one has it whole.
+        run = lambda part, pattern, place: let(F.length(F.regexp_extract(part, pattern, 0)), lambda n: F.when(n > 0, place(n)))
+        neg_left = F.when(w["left"], run(w["before"], f"{LAST_NEGATION}.", lambda n: w["from"] + n - 1))
+        neg_right = F.when(w["right"], run(w["after"], FIRST_NEGATION, lambda n: end + n))
         bounds = F.struct(F.least(left, neg_left).alias("start"), F.greatest(right, neg_right).alias("end"))
         return F.when(~entry["neg"] | w["negated"], let(bounds, lambda b: F.struct(
             (b["start"] - b["end"]).alias("shorter"), entry["r"].alias("r"), entry["ord"].alias("ord"),

@@ -113,7 +113,7 @@ def rule_conditions(text: Column, low: Column, rule: Column, matches: Column, le
     def with_conds(conds: Column) -> Column:
         own = F.filter(matches, lambda m: m["rule"] == rule)
         attributed = F.transform(own, lambda m: F.struct(
-            m["phrase"].alias("phrase"), claimed_conditions(F.lower(m["phrase"]), conds).alias("claims")))
+            m["phrase"].alias("phrase"), let(F.lower(m["phrase"]), lambda low: claimed_conditions(low, conds)).alias("claims")))
 
         def rows(att: Column) -> Column:
             def judge(c: Column) -> Column:
