@@ -1,7 +1,7 @@
 """Row-local phrase spans: positions, negation windows, evidence bounds, longest-match selection.
 
 All of it is higher-order column expressions over the text of one row, so matching
-is a narrow step: no shuffle, no Python worker, and the texts never move.
+is a narrow step without a shuffle; which phrases occur at all may be told by ``presence.words_found``.
 Offsets count characters from zero; ``end`` is exclusive.
 """
 

@@ -1,4 +1,4 @@
-"""Report analysis: scoring, classification, extraction, explanation — all row-local column expressions."""
+"""Report analysis: scoring, classification, extraction, explanation — row-local column expressions and one Arrow function that finds words."""
 
 from __future__ import annotations
 
@@ -263,7 +263,7 @@ def analyze(df: DataFrame, text_col: str = "report_text", lexicon: Lexicon = DEF
     """Adds the structured analysis of each report; rows without text get status ``failed``.
 
     A narrow plan: every step is an expression on the row, so the input's partitioning is
-    kept and nothing is shuffled.
+    kept and nothing is shuffled.  Only the search for the lexicon's words goes through a Python worker.
     """
     text, low, matches, found = F.col("clean_text"), F.col("low_text"), F.col("matches"), F.col("_found")
     rule, factors = F.col("life_saving_rule"), F.col("priority_factors")
