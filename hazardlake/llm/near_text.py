@@ -133,11 +133,11 @@ def near_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILAR
     share a MinHash band key, since most pairs of this similarity lie more bits apart.  Two rounds compare each bucket with one of its members, first the one
     with the least text of its own, so a large group of near copies is tied without listing its pairs; pairs of
     a bucket that are still in different groups are then all compared.  Pairs that can't reach the similarity by
-    their sizes and the shingles no other candidate has are passed over.
+    their sizes and the shingles no other candidate has are passed over.  The set without a shingle has nothing in common with another one.
     """
     rows = sketches(docs, width, covering)
     nodes = stage(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
-    keyed = nodes.select("node", "n", "fp", F.posexplode("keys").alias("t", "k"))
+    keyed = nodes.filter("n > 0").select("node", "n", "fp", F.posexplode("keys").alias("t", "k"))
     shared = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("t", "k")
     met = stage(keyed.join(shared, ["t", "k"]))
     named = nodes.join(met.select("node").distinct(), "node", "left_semi").select("low").distinct()

@@ -243,3 +243,12 @@ def test_pairs_of_the_masks_alone_are_tied(spark):
     assert tied[1] == tied[2] != tied[3]
     apart = {r["low"]: r["root"] for r in near_text.near_groups(docs, 5, 0.3, [0], radius - 1).collect()}
     assert len(set(apart.values())) == 3
+
+
+def test_text_that_meets_the_empty_one_under_a_mask(spark):
+    # two shingles seldom have a bit in common: under some mask the print of such a text is zero, as that of the empty text
+    rng = random.Random(1)
+    texts = (" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(6)) for _ in range(100_000))
+    text = next(t for t in texts if any(int(near_text.set_print(near_text.shingles(t.encode(), 5))) & m == 0 for m in simhash.masks()))
+    docs = spark.createDataFrame([(1, ""), (2, text), (3, " "), (4, text.upper()), (5, "another " + text), (6, None)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_representatives(docs).collect()) == [1, 2, 5]
