@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from hazardlake.operators import datasets as ds
@@ -210,3 +211,42 @@ def test_similar_reports_of_bounded_pairs_against_brute_force(spark, monkeypatch
         got.setdefault(r["query_id"], []).append((r["match_id"], round(r["score"], 9)))
     scored = {q[0]: sorted(((p[0], round(s, 9)) for p in rows if p[0] != q[0] and (s := _score(q, p)) >= 0.16 - 1e-12), key=lambda x: (-x[1], x[0]))[:3] for q in rows}
     assert {i: got.get(i, []) for i in scored} == scored
+
+
+def test_near_sets_in_small_pieces_are_made_once(spark, monkeypatch):
+    monkeypatch.setattr(sm, "PAIRS", 5)
+    rng = random.Random(9)
+    words = [f"w{n:02d}" for n in range(25)]
+    made = [sorted(rng.sample(words, rng.randrange(1, 14))) for _ in range(120)]
+    made += [sorted({*s[1:], rng.choice(words)}) for s in made] + made[:40]
+    rows = [(n, " ".join(s), f"r{n % 2}") for n, s in enumerate(made)]
+    want = {tuple(sorted((a[1], b[1]))) for a in rows for b in rows if a[1] != b[1] and a[2] == b[2] and 4 * len(set(a[1].split()) & set(b[1].split())) >= 3 * len(set(a[1].split()) | set(b[1].split()))}
+    table = spark.createDataFrame(rows, "id long, tokens string, block string").withColumn("set", F.unhex(F.sha2("tokens", 256))).select("id", "set", "tokens", "block")
+    told = {bytes(r["set"]): r["tokens"] for r in table.collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        pairs = sm._token_pairs(table, 0.75)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = [tuple(sorted((told[bytes(r["a"])], told[bytes(r["b"])]))) for r in pairs.collect()]
+    assert want and len(found) == len(set(found)) and set(found) == want
+    plan = pairs._jdf.queryExecution().toString()  # what reads the pairs twice must not search them twice
+    assert "MapInArrow" not in plan and "Exchange" not in plan
+
+
+def test_odd_counts_leave_out_no_close_pair():
+    rng = random.Random(3)
+    code = lambda: rng.randrange(-2**63, 2**63)
+    a = [[code() for _ in range(n)] for n in (1, 31, 32, 33, 100, 700)]
+    b = [[*s[:len(s) - len(s) // 8], *(code() for _ in range(len(s) // 9))] for s in a]
+    close = [(x, y) for x, y in zip(a, b, strict=True) if len({*x} & {*y}) >= 0.75 * len({*x} | {*y})]
+    far = [(a[5], [code() for _ in a[5]]), (a[4], a[4][:70] + [code() for _ in range(30)])]
+    sides = []
+    for lists in zip(*close, *far, strict=True):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(lists))), pa.array(range(len(lists))), pa.array(lists, pa.list_(pa.int64()))], names=["s1", "s2", "codes"])
+        sides.append(next(sm._odd_counts(iter([batch]))))
+    (x, y) = sides
+    assert len({len(v) for v in x.column("marks").to_pylist()}) > 3 and any(len(p) != len(q) for p, q in zip(x.column("marks").to_pylist(), y.column("marks").to_pylist(), strict=True))
+    both = pa.RecordBatch.from_arrays([*x.columns[:2], *y.columns[:2], x.column("n"), y.column("n"), x.column("marks"), y.column("marks")], names=["a_s1", "a_s2", "b_s1", "b_s2", "a_n", "b_n", "x", "y"])
+    kept = next(sm._possible(0.75)(iter([both]))).column("a_s1").to_pylist()
+    assert len(close) == 6 and kept == list(range(6))
