@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -250,3 +251,49 @@ def test_odd_counts_leave_out_no_close_pair():
     both = pa.RecordBatch.from_arrays([*x.columns[:2], *y.columns[:2], x.column("n"), y.column("n"), x.column("marks"), y.column("marks")], names=["a_s1", "a_s2", "b_s1", "b_s2", "a_n", "b_n", "x", "y"])
     kept = next(sm._possible(0.75)(iter([both]))).column("a_s1").to_pylist()
     assert len(close) == 6 and kept == list(range(6))
+
+
+def test_search_scores_a_query_within_its_group_and_loses_no_match(monkeypatch):
+    rng = random.Random(12)
+    words = [rng.randrange(-2**62, 2**62) for _ in range(3_000)]
+    rows = []
+    for _ in range(70):
+        base = rng.sample(words, rng.randrange(20, 60))
+        of = [rng.choice([0, 11, 12, 13, 14]), rng.choice([21, 22]), rng.choice([0, 31, 32, 33, 34, 35, 36])]
+        for _ in range(9):
+            own = list(dict.fromkeys(base[:len(base) - rng.randrange(12)] + rng.sample(words, rng.randrange(9))))
+            now = [v if rng.random() < 0.7 else rng.choice([0, v + 1]) for v in of]
+            rows.append((len(rows), own, *now, rng.sample(range(40, 60), 2)))
+
+    def score(q, p):
+        common = len({*q[1]} & {*p[1]})
+        return 0.5 * common / (len(q[1]) + len(p[1]) - common) + sum(w for w, i in ((0.18, 2), (0.08, 3), (0.12, 4)) if q[i] and q[i] == p[i]) + 0.12 * bool({*q[5]} & {*p[5]})
+
+    def table(some):
+        lists = lambda i: pa.array([r[i] for r in some], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in some]), lists(1), *[pa.array([r[i] for r in some]) for i in (2, 3, 4)], lists(5)], names=["id", "codes", *sm._VALUES, "barriers"])
+
+    asked = table(rows[::3])
+    block = {c: asked.column(c).to_numpy() for c in ("id", *sm._VALUES)}
+    for sizes, items in (("n", "codes"), ("n_barriers", "barriers")):
+        block[sizes], block[items] = sm._lists(asked.column(items))
+    scored = []
+    keep = sm._Search._keep
+    monkeypatch.setattr(sm._Search, "_keep", lambda self, own, r, q, shared: scored.append(len(r)) or keep(self, own, r, q, shared))
+    monkeypatch.setattr(sm, "PAIRS", 5_000)
+    monkeypatch.setattr(sm, "HELD", 10_000)
+    first = sm._Search(block, 4, np.full(len(block["id"]), 0.16), grouped=True)
+    first.add(table(rows))
+    assert sum(scored) < 0.2 * len(rows) * len(block["id"])
+    second = sm._Search(block, 4, first.least.copy())
+    assert {*second.kind.tolist()} == {sm.BOTH, sm.BY_RULE, sm.BY_ACTIVITY, sm.EVERY}
+    scored.clear()
+    for start in range(0, len(rows), 100):
+        second.add(table(rows[start:start + 100]))
+    assert sum(scored) < 0.4 * len(rows) * len(block["id"])
+    got = {}
+    for q, i, s in zip(*second.best, strict=True):
+        got.setdefault(int(block["id"][q]), []).append((int(i), round(float(s), 9)))
+    for q in rows[::3]:
+        want = sorted(((p[0], round(s, 9)) for p in rows if p[0] != q[0] and (s := score(q, p)) >= 0.16), key=lambda x: (-x[1], x[0]))[:4]
+        assert got[q[0]] == want
